@@ -1,0 +1,6 @@
+"""Registered queries and their SQL for the engine's own operators."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
