@@ -63,8 +63,8 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(bits, pa.int64()), pa.array(mins, pa.binary())], names=names)
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
+def sketches(docs: DataFrame, doc_id: str, text: str, row: str | None) -> DataFrame:
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     return stage(rows.mapInArrow(_sketch, "row_id long, doc_id long, n_shingles long, set_hash long, bits long, mins binary"), "sketches")
 
 
@@ -203,9 +203,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long, link boolean")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, trees: int = 16, depth: int = 3, block: int = 512) -> DataFrame:
-    """Per input row: doc_id, n_shingles, set_hash, component_id, kept."""
-    rows = sketches(docs, doc_id, text)
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, trees: int = 16, depth: int = 3, block: int = 512, row: str | None = None) -> DataFrame:
+    """Per input row: row, doc_id, n_shingles, set_hash, component_id, kept. ``row``: a column that numbers the rows, which then comes back."""
+    rows = sketches(docs, doc_id, text, row)
     named = rows.where("set_hash is not null and doc_id is not null")
     classes = stage(named.groupBy(F.col("set_hash").alias("node")).agg(F.min("doc_id").alias("first"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("mins").alias("mins")), "classes")
     near = stage(forest(paths(classes.select("node", "n", "bits", "mins"), trees, depth), percent, block), "forest")
@@ -229,7 +229,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of = linked.join(least, "comp").select(F.col("node").alias("set_hash"), "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.when(F.col("doc_id").isNotNull(), (F.col("row_id") % SALTS).cast("int")))
     out = salted.join(of, ["set_hash", "salt"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "set_hash", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("row_id").alias("row"), "doc_id", "n_shingles", "set_hash", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, with all their columns; of rows that repeat such an id and text, one.
+
+    Kept rows are found by id and set; a repeated id whose texts lie in different components is judged for each text by itself."""
+    columns = docs.columns
+    tag = "__webskein_row"
+    marked = stage(docs.withColumn(tag, F.monotonically_increasing_id()), "marked")
+    found = stage(near_duplicates(marked, doc_id, text, row=tag, **how).select("row", "doc_id", "set_hash", "kept"), "found")
+    copies = found.where("kept and doc_id is not null and set_hash is not null").groupBy("doc_id", "set_hash").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = found.where("kept").join(copies, ["doc_id", "set_hash"]).where("row <> first").select(F.col("row").alias(tag))
+    # what goes is the smaller part, and written, so that the planner knows its size
+    gone = stage(found.where("not kept").select(F.col("row").alias(tag)).union(again), "gone")
+    return marked.join(gone, tag, "left_anti").select(*(F.col(f"`{c}`") for c in columns))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,9 +74,9 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("hash").agg(F.count("*").alias("n_rows"), F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "source", owner: str = "source", common: int = 3) -> DataFrame:
-    """Per input row: row_id, doc_id, ``base`` and ``spans`` (array of start, ord, end, value; ord counts KINDS), n_owned, n_copied."""
-    keep = {"row_id": F.monotonically_increasing_id(), "doc_id": F.col(doc_id), "repo": F.col(repo), "owner": F.col(owner)}
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "source", owner: str = "source", common: int = 3, row: str | None = None) -> DataFrame:
+    """Per input row: row_id, doc_id, ``base`` and ``spans`` (array of start, ord, end, value; ord counts KINDS), n_owned, n_copied. ``row``: a column that numbers the rows."""
+    keep = {"row_id": F.col(row) if row else F.monotonically_increasing_id(), "doc_id": F.col(doc_id), "repo": F.col(repo), "owner": F.col(owner)}
     scanned = stage(find_spans(docs, text, keep), "spans")
     each = scanned.where((F.size("base") > 0) | (F.size("tokens") > 0)).select("row_id", "repo", "owner", F.explode(F.concat("base", "tokens")).alias("s"))
     each = each.withColumn("hash", F.sha2("s.value", 256))
@@ -114,6 +114,18 @@ def masked(text: Column, spans: str, mark: str = "<secret>") -> Column:
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
+def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str = "n_chars", **how) -> DataFrame:
+    """``docs`` with the spans of each text masked, and ``size``, where there is such a column, following; all other columns as they are."""
+    columns, tag = docs.columns, "__webskein_row"
+    marked = stage(docs.withColumn(tag, F.monotonically_increasing_id()), "marked")
+    # rows with spans are few, and written, so that the planner knows their size before it moves texts
+    found = stage(scan_secrets(marked, doc_id, text, row=tag, **how).where(F.size("spans") > 0).select(F.col("row_id").alias("__row"), F.col("spans").alias("__spans")), "found")
+    hit = marked.join(found, F.col(tag) == F.col("__row"), "left")
+    new = F.when(F.col("__spans").isNotNull(), masked(F.col(f"`{text}`"), "__spans")).otherwise(F.col(f"`{text}`"))
+    out = [F.when(F.col("__spans").isNotNull(), F.length(new)).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c) if c == size else new.alias(c) if c == text else F.col(f"`{c}`") for c in columns]
+    return hit.select(*out)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     of = lambda k: F.size(F.filter("base", lambda s: s["ord"] == k)).cast("long")
