@@ -88,10 +88,15 @@ def paths(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     return classes.mapInArrow(walk, "key long, node long, n long, bits long")
 
 
+def _differing(b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """Sketch bits in which each two differ; of unsigned numbers, as the count of a negative one is that of its absolute value."""
+    return np.bitwise_count((b1[:, None] ^ b2[None, :]).view(np.uint64))
+
+
 def _passing(n1, b1, n2, b2, percent: int) -> np.ndarray:
     """Which pairs of a block may be links, by size and sketch."""
     small, large = np.minimum(n1[:, None], n2[None, :]), np.maximum(n1[:, None], n2[None, :])
-    return (np.bitwise_count(b1[:, None] ^ b2[None, :]) <= FAR) & (100 * small >= percent * large)
+    return (_differing(b1, b2) <= FAR) & (100 * small >= percent * large)
 
 
 def _runs(batches, columns: list[str]):
@@ -129,7 +134,7 @@ def forest(nodes: DataFrame, percent: int, block: int) -> DataFrame:
                 ok &= p[0][:, None] != both[0][None, :]
                 some = ok.any(1)
                 if some.any():
-                    far = np.where(ok, np.bitwise_count(p[2][:, None] ^ both[2][None, :]), 255)
+                    far = np.where(ok, _differing(p[2], both[2]), 255)
                     out.append((p[0][some], both[0][far.argmin(1)[some]]))
                 if len(held[0]) < block:
                     held = [x[:block] for x in both]
