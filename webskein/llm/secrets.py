@@ -121,9 +121,11 @@ def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     # rows with spans are few, and written, so that the planner knows their size before it moves texts
     found = stage(scan_secrets(marked, doc_id, text, row=tag, **how).where(F.size("spans") > 0).select(F.col("row_id").alias("__row"), F.col("spans").alias("__spans")), "found")
     hit = marked.join(found, F.col(tag) == F.col("__row"), "left")
-    new = F.when(F.col("__spans").isNotNull(), masked(F.col(f"`{text}`"), "__spans")).otherwise(F.col(f"`{text}`"))
-    out = [F.when(F.col("__spans").isNotNull(), F.length(new)).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c) if c == size else new.alias(c) if c == text else F.col(f"`{c}`") for c in columns]
-    return hit.select(*out)
+    # in a step of its own: a later column of the same step would see the new text within lambdas
+    hit = hit.withColumn("__new", F.when(F.col("__spans").isNotNull(), masked(F.col(f"`{text}`"), "__spans")).otherwise(F.col(f"`{text}`")))
+    length = F.when(F.col("__spans").isNotNull(), F.length("__new"))
+    special = {text: F.col("__new")} | ({size: F.coalesce(length, F.col(f"`{size}`")).cast(docs.schema[size].dataType)} if size in columns else {})
+    return hit.select(*(special.get(c, F.col(f"`{c}`")).alias(c) for c in columns))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
