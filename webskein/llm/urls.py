@@ -72,7 +72,7 @@ def window_scores(distinct: DataFrame, keys: DataFrame, totals: tuple[float, ...
     pick = lambda role, col: F.coalesce(F.max(F.when(F.col("role") == role, F.col(col))), F.lit(0)).cast("double")
     cols = [pick(f"n{k}", c).alias(f"n{k}_{c}") for k in range(1, ORDER + 2) for c in ("a", "r")]
     cols += [pick(f"c{k}", c).alias(f"c{k}_{c}") for k in range(1, ORDER + 1) for c in ("a", "ad", "r", "rd")]
-    got = asked.join(keys, "key", "left").groupBy("w").agg(*cols)
+    got = asked.hint("merge").join(keys, "key", "left").groupBy("w").agg(*cols)
 
     def p(c: str, total: float, kinds: float) -> Column:
         x = (F.col(f"n1_{c}") + kinds / 256) / (total + kinds) if total else F.lit(1 / 256)
@@ -94,7 +94,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     keys, totals = models(rows.where("ruled is not null and not held").select((F.col("ruled") == "allow").alias("allowed"), F.explode(windows(F.col("t"))).alias("w")))
     judged = rows.where("(ruled is null or held) and host <> ''").select("row_id", F.explode(windows(F.col("t"))).alias("w"))
     scores = window_scores(judged.select("w").distinct(), keys, totals).select("w", "lr", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    by_row = stage(judged.withColumn("salt", (F.col("row_id") % SALTS).cast("int")).join(scores, ["w", "salt"]).groupBy("row_id").agg(F.avg("lr").alias("score")), "scores")
+    # exploded rows look as small to the planner as what they come from: they are merged, never broadcast
+    by_row = stage(judged.withColumn("salt", (F.col("row_id") % SALTS).cast("int")).hint("merge").join(scores.hint("merge"), ["w", "salt"]).groupBy("row_id").agg(F.avg("lr").alias("score")), "scores")
     scored = rows.join(by_row, "row_id", "left")
     fit = scored.where("held and ruled is not null").agg(F.avg(F.when(F.col("ruled") == "allow", F.col("score"))), F.avg(F.when(F.col("ruled") == "block", F.col("score")))).first()
     threshold = (fit[0] + fit[1]) / 2 if fit[0] is not None and fit[1] is not None else 0.0
