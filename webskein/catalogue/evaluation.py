@@ -1,2 +1,187 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Retrieval evaluation and strategy comparison: benchmark passages as queries, documents that hold them as relevant."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webskein.catalogue.retrieval import _toks, docs, index, term_scores_sql
+from webskein.functions.text import token_estimate
+from webskein.operators import compare, evaluate, fusion, lexical
+from webskein.plans.sizing import sized
+from webskein.plans.staging import stage
+
+KS = (1, 3, 5, 10)
+WORDS = 4
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, query (the first words of a passage), category."""
+    b = spark.read.parquet(f"{d}/benchmark.parquet")
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(lexical.tokens(F.col("text")), 1, WORDS), " ").alias("query"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), "text")
+
+
+def judgments(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, judgment_id, document_id, relevance: documents that hold a passage, found through its longest inner word."""
+    q = questions(spark, d).select("query_id", "text", F.slice(F.split("text", r"\s+"), 2, F.greatest(F.size(F.split("text", r"\s+")) - 2, F.lit(1))).alias("w"))
+    q = q.select("query_id", F.col("text").alias("passage"), F.element_at(F.array_sort(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"].alias("word"))
+    each = docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    # the text goes along only where a word fits
+    hit = each.select("doc_id", "word").hint("merge").join(sized(q), "word").select("doc_id", "query_id", "passage")
+    found = docs(spark, d).select("doc_id", "text").join(sized(hit), "doc_id").where(F.contains("text", F.col("passage")))
+    return found.select("query_id", F.col("doc_id").cast("string").alias("judgment_id"), F.col("doc_id").alias("document_id"), (F.lit(1) + F.col("doc_id") % 3).cast("int").alias("relevance"))
+
+
+def retrieved(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, strategy, rank, key of two strategies and their fusion, 10 deep."""
+    phrases, ix = lexical.parsed(questions(spark, d)), index(spark, d)
+    found = stage(lexical.bm25(ix, phrases), "bm25")
+    a = lexical.top(found, 10, F.round("score", 9), F.col("key")).select("query_id", F.lit("bm25").alias("strategy"), "rank", "key", F.col("score").alias("raw_score"))
+    tf = lexical.matches(ix, phrases).groupBy("query_id", "key").agg(F.sum("tf").alias("raw_score"))
+    b = lexical.top(tf, 10, F.desc("raw_score"), F.col("key")).select("query_id", F.lit("semantic").alias("strategy"), "rank", "key", "raw_score")
+    both = stage(a.union(b), "rankings")
+    f = fusion.fuse(both.withColumn("weight", F.lit(1.0)), limit=10).select("query_id", F.lit("hybrid").alias("strategy"), "rank", "key", F.col("score").alias("raw_score"))
+    return both.union(f)
+
+
+def credits(spark: SparkSession, d: str) -> DataFrame:
+    """query_id (with its strategy), rank, grade, judgment_id; judged by document id alone."""
+    r = retrieved(spark, d).select(F.struct("query_id", "strategy").alias("query_id"), "rank", F.col("key").alias("document_id"))
+    j = judgments(spark, d).crossJoin(F.broadcast(spark.range(3))).select(F.struct("query_id", F.get(F.array(*map(F.lit, ("bm25", "semantic", "hybrid"))), F.col("id").cast("int")).alias("strategy")).alias("query_id"), "judgment_id", "document_id", "relevance")
+    m = r.join(j, ["query_id", "document_id"]).select("query_id", "rank", "judgment_id", "relevance")
+    return evaluate.credited(r, m).select("query_id.query_id", "query_id.strategy", "rank", "grade", "judgment_id")
+
+
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, strategy, category, k and metrics."""
+    q, j = questions(spark, d), judgments(spark, d)
+    s = q.select("query_id").crossJoin(F.broadcast(spark.createDataFrame([("bm25",), ("semantic",), ("hybrid",)], "strategy string"))).select(F.struct("query_id", "strategy").alias("query_id"))
+    jj = s.join(j.select(F.col("query_id").alias("qq"), "relevance"), F.col("query_id.query_id") == F.col("qq")).select("query_id", "relevance")
+    g = credits(spark, d).select(F.struct("query_id", "strategy").alias("query_id"), "rank", "grade")
+    m = evaluate.metrics(s, g, jj, KS)
+    return m.select("query_id.*", *(c for c in m.columns if c != "query_id")).join(q.select("query_id", "category"), "query_id")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def judgment_set(spark: SparkSession, d: str) -> DataFrame:
+    return judgments(spark, d).select("query_id", "document_id", "relevance")
+
+
+def ir_metrics_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metric_rows(spark, d).drop("category"))
+
+
+def map_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.summary(metric_rows(spark, d), "strategy"))
+
+
+def metrics_by_category(spark: SparkSession, d: str) -> DataFrame:
+    m = metric_rows(spark, d).where("strategy = 'bm25'")
+    return rounded(evaluate.by_category(m.drop("category"), m.select("query_id", "category").distinct()))
+
+
+def strategy_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(compare.deltas(evaluate.summary(metric_rows(spark, d), "strategy"), "bm25", "hybrid"))
+
+
+def win_loss(spark: SparkSession, d: str) -> DataFrame:
+    m = metric_rows(spark, d).where("k = 5").withColumn("failed", F.lit(False)).withColumn("ndcg", F.round("ndcg", 9)).withColumn("rr", F.round("rr", 9))
+    return compare.outcomes(m, "bm25", "hybrid").groupBy("outcome", "success").agg(F.count("*").alias("n"))
+
+
+def overlap_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(compare.overlap(retrieved(spark, d), KS))
+
+
+def coverage_partition(spark: SparkSession, d: str) -> DataFrame:
+    return compare.coverage(judgments(spark, d), credits(spark, d), "bm25", "semantic", 5)
+
+
+def oracle_union_recall(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(compare.oracle_recall(judgments(spark, d), credits(spark, d), "bm25", "semantic", 5))
+
+
+def fusion_recovery(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(compare.recovery(judgments(spark, d), credits(spark, d), "bm25", "semantic", "hybrid", 5))
+
+
+def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
+    m = metric_rows(spark, d).where("k = 5 and n_relevant > 0")
+    p = m.groupBy("query_id").agg(*(F.round(F.max(F.when(F.col("strategy") == "hybrid", F.col(c))) - F.max(F.when(F.col("strategy") == "bm25", F.col(c))), 9).alias(c) for c in ("recall", "ndcg", "rr")))
+    long = p.select("query_id", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("delta")) for c in ("recall", "ndcg", "rr")))).alias("x")).select("query_id", "x.*")
+    return rounded(compare.bootstrap(long))
+
+
+def latency_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.latency(spark.read.parquet(f"{d}/events.parquet"), "value", "event_type"))
+
+
+def context_quality(spark: SparkSession, d: str) -> DataFrame:
+    size = docs(spark, d).select(F.col("doc_id").alias("key"), token_estimate(F.col("text")).alias("n_tokens"))
+    r = retrieved(spark, d).where("strategy = 'bm25'").join(size, "key").join(credits(spark, d).where("strategy = 'bm25'").select("query_id", "rank", "grade"), ["query_id", "rank"])
+    return rounded(evaluate.context_quality(r))
+
+
+def dataset_problems(spark: SparkSession, d: str) -> DataFrame:
+    """The judgment set with some faults planted."""
+    dd = docs(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.when(F.col("doc_id") % 400 == 1, F.lit("ftp://")).otherwise(F.lit("https://")), F.lit("h/"), (F.col("doc_id") - F.col("doc_id") % 300 / 299).cast("int").cast("string")).alias("url"), F.col("text").alias("content"))
+    s = dd.where("document_id % 50 = 0").select(F.concat(F.lit("s"), "document_id").alias("section_id"), F.when(F.col("document_id") % 100 == 0, F.lit("none")).otherwise(F.col("document_id")).alias("document_id"), F.array(F.lit("h")).alias("heading_path"))
+    q = questions(spark, d).select("query_id", F.when(F.col("query_id") % 9 == 0, F.lit(" ")).otherwise(F.col("query")).alias("query"), "category")
+    nothing = F.lit(None).cast("string")
+    j = judgments(spark, d).select("query_id", "judgment_id", F.col("document_id").cast("string").alias("document_id"), nothing.alias("section_id"), F.when(F.col("document_id") % 4 == 0, F.lit("not in there, surely")).otherwise(nothing).alias("evidence"), (F.col("relevance") + 2 * (F.col("document_id") % 2)).alias("relevance"))
+    return evaluate.dataset_problems(dd, s, q, j)
+
+
+# SQL
+
+_BM25 = term_scores_sql("SELECT item_id AS query_id, p, tk[p] AS term FROM (SELECT item_id, tk, unnest(range(1, len(tk) + 1)) AS p FROM (SELECT item_id, list_filter(x[1:{n}], lambda y, i: list_position(x, y) = i) AS tk FROM (SELECT item_id, {t} AS x FROM benchmark)))".replace("{n}", str(WORDS)).replace("{t}", _toks("text")))
+RUN_SQL = f"""{_BM25},
+ra AS (SELECT query_id, 'bm25' AS strategy, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS rank FROM sc),
+rb AS (SELECT query_id, 'semantic' AS strategy, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY tf DESC, doc_id) AS rank FROM sc),
+rk AS (SELECT * FROM ra WHERE rank <= 10 UNION ALL SELECT * FROM rb WHERE rank <= 10),
+fu AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, count(*) AS n, min(rank) AS best, min(rank) FILTER (WHERE strategy = 'bm25') AS r1, min(rank) FILTER (WHERE strategy = 'semantic') AS r2 FROM rk GROUP BY ALL),
+fr AS (SELECT query_id, 'hybrid' AS strategy, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, n DESC, best, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS rank FROM fu),
+rt AS (SELECT * FROM rk UNION ALL SELECT * FROM fr WHERE rank <= 10),
+jd AS (SELECT item_id AS query_id, doc_id, 1 + doc_id % 3 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+gr AS (SELECT rt.*, coalesce(rel, 0) AS grade FROM rt LEFT JOIN jd USING (query_id, doc_id)),
+gs AS (SELECT *, sum((grade > 0)::INT) OVER (PARTITION BY query_id, strategy ORDER BY rank) AS seen FROM gr),
+qs AS (SELECT item_id AS query_id, strategy, k, 'c' || (item_id % 3) AS category FROM benchmark, (VALUES ('bm25'), ('semantic'), ('hybrid')) s(strategy), (VALUES (1), (3), (5), (10)) ks(k)),
+id AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC) AS i FROM jd),
+nr AS (SELECT query_id, count(*) AS n_relevant FROM jd GROUP BY ALL),
+idc AS (SELECT query_id, k, sum((2 ** rel - 1) / log2(i + 1)) AS idcg FROM id, (VALUES (1), (3), (5), (10)) ks(k) WHERE i <= k GROUP BY ALL),
+ag AS (SELECT query_id, strategy, k, count(*) FILTER (WHERE grade > 0 AND rank <= k) AS n, sum(seen / rank) FILTER (WHERE grade > 0 AND rank <= k) AS ap, sum((2 ** grade - 1) / log2(rank + 1)) FILTER (WHERE rank <= k) AS dcg, min(rank) FILTER (WHERE grade > 0) AS first, count(*) AS n_results FROM gs, (VALUES (1), (3), (5), (10)) ks(k) GROUP BY ALL),
+mt AS (SELECT q.query_id, q.strategy, q.category, q.k, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, coalesce(n / q.k, 0)::DOUBLE AS precision, coalesce(n / n_relevant, 0)::DOUBLE AS recall, coalesce(ap / least(n_relevant, q.k), 0)::DOUBLE AS ap,
+  coalesce(dcg / idcg, 0)::DOUBLE AS ndcg, coalesce(1 / first, 0)::DOUBLE AS rr, coalesce(n_results, 0) AS n_results, coalesce(n_relevant, 0) AS n_relevant
+  FROM qs q LEFT JOIN ag USING (query_id, strategy, k) LEFT JOIN nr USING (query_id) LEFT JOIN idc USING (query_id, k)),
+su AS (SELECT strategy, k, count(*) FILTER (WHERE n_relevant > 0) AS n_positive, count(*) FILTER (WHERE n_relevant = 0) AS n_negative, {", ".join(f"coalesce(avg({c}) FILTER (WHERE n_relevant > 0), 0) AS {n}" for c, n in (("hit", "hit"), ("precision", "precision"), ("recall", "recall"), ("ap", "map"), ("ndcg", "ndcg"), ("rr", "mrr")))},
+  avg((n_results = 0)::INT) FILTER (WHERE n_relevant = 0) AS no_result_accuracy FROM mt GROUP BY strategy, k),
+fb AS (SELECT j.query_id, j.doc_id, bool_or(coalesce(strategy = 'bm25', false)) AS in_a, bool_or(coalesce(strategy = 'semantic', false)) AS in_b, bool_or(coalesce(strategy = 'hybrid', false)) AS in_h FROM jd j LEFT JOIN rt ON rt.query_id = j.query_id AND rt.doc_id = j.doc_id AND rank <= 5 GROUP BY ALL)"""
+_r = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        judgment_set, ir_metrics_at_k, map_mrr_ndcg, metrics_by_category, strategy_deltas, win_loss, overlap_jaccard, coverage_partition, oracle_union_recall, fusion_recovery, bootstrap_interval, latency_summary, context_quality, dataset_problems,
+    )
+}
+ORACLES = {
+    "judgment_set": "SELECT item_id AS query_id, doc_id AS document_id, (1 + doc_id % 3)::INT AS relevance FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
+    "ir_metrics_at_k": f"WITH {RUN_SQL} SELECT query_id, strategy, k, {_r('hit', 'precision', 'recall', 'ap', 'ndcg', 'rr')}, n_results, n_relevant FROM mt",
+    "map_mrr_ndcg": f"WITH {RUN_SQL} SELECT strategy, k, n_positive, n_negative, {_r('hit', 'precision', 'recall', 'map', 'ndcg', 'mrr', 'no_result_accuracy')} FROM su",
+    "metrics_by_category": f"WITH {RUN_SQL} SELECT k, category, count(*) AS n, {', '.join(f'round(coalesce(avg({c}) FILTER (WHERE n_relevant > 0), 0), 6) AS {c}' for c in ('hit', 'precision', 'recall', 'ap', 'ndcg', 'rr'))} FROM mt WHERE strategy = 'bm25' GROUP BY GROUPING SETS ((k), (k, category))",
+    "strategy_deltas": f"WITH {RUN_SQL} " + " UNION ALL ".join(f"SELECT a.k, '{m}' AS metric, round(a.{m}, 6) AS a, round(b.{m}, 6) AS b, round(b.{m} - a.{m}, 6) AS delta FROM su a JOIN su b ON a.k = b.k WHERE a.strategy = 'bm25' AND b.strategy = 'hybrid'" for m in ("hit", "precision", "recall", "map", "ndcg", "mrr")),
+    "win_loss": f"""WITH {RUN_SQL}, ql AS (SELECT query_id, strategy, CASE WHEN n_relevant = 0 THEN (n_results = 0)::INT::DOUBLE ELSE round(ndcg, 9) END AS x, CASE WHEN n_relevant = 0 THEN -n_results::DOUBLE ELSE recall END AS y, CASE WHEN n_relevant = 0 THEN 0.0 ELSE round(rr, 9) END AS z FROM mt WHERE k = 5)
+SELECT CASE WHEN (b.x, b.y, b.z) > (a.x, a.y, a.z) THEN 'win' WHEN (b.x, b.y, b.z) < (a.x, a.y, a.z) THEN 'loss' ELSE 'tie' END AS outcome, CASE WHEN a.x > 0 AND b.x > 0 THEN 'both' WHEN a.x > 0 THEN 'bm25 only' WHEN b.x > 0 THEN 'hybrid only' ELSE 'neither' END AS success, count(*) AS n
+FROM ql a JOIN ql b USING (query_id) WHERE a.strategy = 'bm25' AND b.strategy = 'hybrid' GROUP BY ALL""",
+    "overlap_jaccard": f"""WITH {RUN_SQL}, l AS (SELECT q.query_id, s.strategy, k, list(doc_id) FILTER (WHERE rank <= k) AS x FROM (SELECT DISTINCT query_id FROM rt) q, (SELECT DISTINCT strategy FROM rt) s, (VALUES (1), (3), (5), (10)) ks(k), rt WHERE rt.query_id = q.query_id AND rt.strategy = s.strategy GROUP BY ALL),
+p AS (SELECT a.strategy AS a, b.strategy AS b, a.k, len(list_intersect(a.x, b.x)) AS i, len(a.x) + len(b.x) - len(list_intersect(a.x, b.x)) AS u FROM l a JOIN l b ON a.query_id = b.query_id AND a.k = b.k AND a.strategy < b.strategy)
+SELECT a, b, k, count(*) AS n_queries, sum(i)::BIGINT AS shared, sum(u)::BIGINT AS united, round(sum(i) / sum(u), 6) AS micro, round(avg(i / u), 6) AS macro FROM p GROUP BY ALL""",
+    "coverage_partition": f'WITH {RUN_SQL} SELECT count(*) FILTER (WHERE in_a AND in_b) AS "both", count(*) FILTER (WHERE in_a AND NOT in_b) AS a_only, count(*) FILTER (WHERE in_b AND NOT in_a) AS b_only, count(*) FILTER (WHERE NOT in_a AND NOT in_b) AS neither FROM fb',
+    "oracle_union_recall": f"WITH {RUN_SQL}, p AS (SELECT query_id, count(*) FILTER (WHERE in_a OR in_b) AS f, count(*) AS n FROM fb GROUP BY ALL) SELECT round(sum(f) / sum(n), 6) AS micro, round(avg(f / n), 6) AS macro FROM p",
+    "fusion_recovery": f"WITH {RUN_SQL} SELECT count(*) AS single, count(*) FILTER (WHERE in_h) AS recovered, round(count(*) FILTER (WHERE in_h) / nullif(count(*), 0), 6) AS rate FROM fb WHERE in_a <> in_b",
+    "latency_summary": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_disc(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY event_type",
+    "context_quality": f"WITH {RUN_SQL} SELECT round(1000.0 * count(*) FILTER (WHERE grade > 0) / sum((length(text) + 3) // 4), 6) AS relevant_per_1000, round(sum((length(text) + 3) // 4) FILTER (WHERE grade = 0) / sum((length(text) + 3) // 4), 6) AS irrelevant_share FROM gr JOIN documents USING (doc_id) WHERE strategy = 'bm25'",
+}

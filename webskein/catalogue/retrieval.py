@@ -80,6 +80,15 @@ w AS (SELECT query_id, p, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln(
 sc AS (SELECT query_id, doc_id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_tokens / a))) AS score, sum(tf) AS tf FROM mm JOIN w USING (query_id, p), st GROUP BY ALL)"""
 
 
+def term_scores_sql(q: str) -> str:
+    """The same for single terms, through an equi-join; q: query that gives query_id, p, term."""
+    each = " UNION ALL ".join(f"SELECT doc_id, n_tokens, unnest({f}) AS term, {w}::DOUBLE AS w FROM il" for f, w in (("f0", 1), ("f1", 5), ("f2", 3)))
+    general = scores_sql("SELECT 1")
+    return f"""{INDEX_SQL}, {STATS_SQL}, q AS ({q}), tx AS (SELECT doc_id, n_tokens, term, sum(w) AS tf FROM ({each}) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+mm AS (SELECT query_id, p, doc_id, n_tokens, tf FROM q JOIN tx USING (term)),
+{general[general.index("df AS (SELECT query_id"):]}"""
+
+
 def _topk(q: dict[str, str]) -> str:
     return f"""WITH {scores_sql(f"SELECT * FROM (VALUES {_values(q)}) v(query_id, p, ph)")},
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM sc)
@@ -144,7 +153,7 @@ def two_rankings(spark: SparkSession, d: str) -> DataFrame:
     return a.union(b)
 
 
-RANKINGS_SQL = f"""{scores_sql(f"SELECT * FROM (VALUES {_values(TERMS)}) v(query_id, p, ph)")},
+RANKINGS_SQL = f"""{term_scores_sql(f"SELECT query_id, p, ph[1] AS term FROM (VALUES {_values(TERMS)}) v(query_id, p, ph)")},
 ra AS (SELECT query_id, 'bm25' AS strategy, 1.0 AS weight, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS rank FROM sc),
 rb AS (SELECT query_id, 'semantic' AS strategy, 0.5 AS weight, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY tf DESC, doc_id) AS rank FROM sc),
 rk AS (SELECT * FROM ra WHERE rank <= 20 UNION ALL SELECT * FROM rb WHERE rank <= 20),
