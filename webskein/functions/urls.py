@@ -8,6 +8,7 @@ from urllib.parse import quote, unquote_to_bytes
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webskein.operators.html import http_url
 
@@ -48,13 +49,13 @@ def canonical_host(h: Column) -> Column:
     return F.when(ok, x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolved(href: pd.Series, base: pd.Series) -> pd.Series:
     """The absolute http(s) url of a reference, without fragment, or null."""
     return pd.Series([http_url(h, b) if h is not None and b is not None else None for h, b in zip(href, base)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_host(h: pd.Series) -> pd.Series:
     """IDNA form of international host names."""
 
@@ -67,7 +68,7 @@ def ascii_host(h: pd.Series) -> pd.Series:
     return h.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def address_class(h: pd.Series) -> pd.Series:
     """public, private, loopback, link_local, multicast, reserved or unspecified for addresses; null for names."""
 
@@ -85,7 +86,7 @@ def address_class(h: pd.Series) -> pd.Series:
     return h.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def percent_normal(path: pd.Series) -> pd.Series:
     """Percent encoding in one form: unreserved characters plain, all others upper-case escapes."""
     return path.map(lambda p: None if p is None else quote(unquote_to_bytes(p), safe="/?&=*$:@!'(),;+~-._"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webskein.functions.urls import address_class, host, is_http, percent_normal, port
 from webskein.plans.staging import stage
@@ -106,7 +107,8 @@ def parse_robots(text: str) -> list[dict]:
     return groups
 
 
-GROUPS = "array<struct<user_agents:array<string>,allow:array<string>,disallow:array<string>,crawl_delay:double>>"
+_strings = T.ArrayType(T.StringType())
+GROUPS = T.ArrayType(T.StructType([T.StructField("user_agents", _strings), T.StructField("allow", _strings), T.StructField("disallow", _strings), T.StructField("crawl_delay", T.DoubleType())]))
 
 
 @F.pandas_udf(GROUPS)
