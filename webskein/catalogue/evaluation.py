@@ -29,7 +29,7 @@ def judgments(spark: SparkSession, d: str) -> DataFrame:
     # the text goes along only where a word fits
     hit = each.select("doc_id", "word").hint("merge").join(sized(q), "word").select("doc_id", "query_id", "passage")
     found = docs(spark, d).select("doc_id", "text").join(sized(hit), "doc_id").where(F.contains("text", F.col("passage")))
-    return found.select("query_id", F.col("doc_id").cast("string").alias("judgment_id"), F.col("doc_id").alias("document_id"), (F.lit(1) + F.col("doc_id") % 3).cast("int").alias("relevance"))
+    return stage(found.select("query_id", F.col("doc_id").cast("string").alias("judgment_id"), F.col("doc_id").alias("document_id"), (F.lit(1) + F.col("doc_id") % 3).cast("int").alias("relevance")), "judgments")
 
 
 def retrieved(spark: SparkSession, d: str) -> DataFrame:
@@ -44,10 +44,11 @@ def retrieved(spark: SparkSession, d: str) -> DataFrame:
     return both.union(f)
 
 
-def credits(spark: SparkSession, d: str) -> DataFrame:
+def credits(spark: SparkSession, d: str, j: DataFrame | None = None) -> DataFrame:
     """query_id (with its strategy), rank, grade, judgment_id; judged by document id alone."""
+    judged = judgments(spark, d) if j is None else j
     r = retrieved(spark, d).select(F.struct("query_id", "strategy").alias("query_id"), "rank", F.col("key").alias("document_id"))
-    j = judgments(spark, d).crossJoin(F.broadcast(spark.range(3))).select(F.struct("query_id", F.get(F.array(*map(F.lit, ("bm25", "semantic", "hybrid"))), F.col("id").cast("int")).alias("strategy")).alias("query_id"), "judgment_id", "document_id", "relevance")
+    j = judged.crossJoin(F.broadcast(spark.range(3))).select(F.struct("query_id", F.get(F.array(*map(F.lit, ("bm25", "semantic", "hybrid"))), F.col("id").cast("int")).alias("strategy")).alias("query_id"), "judgment_id", "document_id", "relevance")
     m = r.join(j, ["query_id", "document_id"]).select("query_id", "rank", "judgment_id", "relevance")
     return evaluate.credited(r, m).select("query_id.query_id", "query_id.strategy", "rank", "grade", "judgment_id")
 
@@ -57,7 +58,7 @@ def metric_rows(spark: SparkSession, d: str) -> DataFrame:
     q, j = questions(spark, d), judgments(spark, d)
     s = q.select("query_id").crossJoin(F.broadcast(spark.createDataFrame([("bm25",), ("semantic",), ("hybrid",)], "strategy string"))).select(F.struct("query_id", "strategy").alias("query_id"))
     jj = s.join(j.select(F.col("query_id").alias("qq"), "relevance"), F.col("query_id.query_id") == F.col("qq")).select("query_id", "relevance")
-    g = credits(spark, d).select(F.struct("query_id", "strategy").alias("query_id"), "rank", "grade")
+    g = credits(spark, d, j).select(F.struct("query_id", "strategy").alias("query_id"), "rank", "grade")
     m = evaluate.metrics(s, g, jj, KS)
     return m.select("query_id.*", *(c for c in m.columns if c != "query_id")).join(q.select("query_id", "category"), "query_id")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webskein.functions.text import FOLD_FROM, FOLD_TO, TOKEN, token_estimate
 from webskein.operators import context, fusion, lexical, semantic
+from webskein.plans.staging import stage
 
 TERMS = {"q1": "license Public", "q2": "stupid idiot clown", "q3": "der und die", "q4": "que los token", "q5": "Zzyzx ???"}
 PHRASES = {"p1": "General-Public", "p2": "All.rights reserved", "p3": "example.com"}
@@ -17,7 +18,8 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.tokenised(docs(spark, d), "doc_id", "text", "source", "lang")
+    """Token arrays, written once: every later step reads only these."""
+    return stage(lexical.tokenised(docs(spark, d), "doc_id", "text", "source", "lang"), "index")
 
 
 def queries_frame(spark: SparkSession, q: dict[str, str]) -> DataFrame:
@@ -35,7 +37,7 @@ def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.corpus_stats(index(spark, d)).select("n_chunks", F.round("avg_tokens", 6).alias("avg_tokens"))
+    return lexical.corpus_stats(lexical.tokenised(docs(spark, d), "doc_id", "text", "source", "lang")).select("n_chunks", F.round("avg_tokens", 6).alias("avg_tokens"))
 
 
 def term_df_topk(spark: SparkSession, d: str) -> DataFrame:

@@ -30,7 +30,8 @@ FOLD_FROM, FOLD_TO = _fold_map()
 
 
 def folded(text: Column) -> Column:
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
 
 
 def tokens(text: Column) -> Column:
