@@ -20,7 +20,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("script style noscript template".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BLOCKS = frozenset((*HEADINGS, "code", "ol", "p", "pre", "table", "ul"))
-INLINE = frozenset("a abbr b bdi bdo cite code data del em i ins kbd mark q s samp small span strong sub sup time u var".split())
+INLINE = frozenset("strong em b i u s small mark span a code kbd samp var sub sup q cite abbr time data del ins bdo bdi".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup hr main menu nav ol p pre section summary table ul".split()) | set(HEADINGS)
 #: A start tag closes these, if open within the nearest of the listed scopes.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
