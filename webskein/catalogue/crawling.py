@@ -111,7 +111,7 @@ def queue_states(spark: SparkSession, d: str) -> DataFrame:
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d)
-    return p.select("url", F.lit("t").alias("title"), F.substr("html", F.lit(1), F.lit(40)).alias("text"), F.array(F.col("url")).alias("links"), F.create_map(F.lit("k"), (F.col("page_id") % 3).cast("string")).alias("metadata"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("crawled_at"), F.when(F.col("page_id") % 11 == 0, 700).otherwise(200).alias("status_code"), F.when(F.col("page_id") % 13 != 0, "text/html").alias("content_type"))
+    return p.select("url", F.lit("t").alias("title"), F.col("html").alias("text"), F.array(F.col("url")).alias("links"), F.create_map(F.lit("k"), (F.col("page_id") % 3).cast("string")).alias("metadata"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("crawled_at"), F.when(F.col("page_id") % 11 == 0, 700).otherwise(200).alias("status_code"), F.when(F.col("page_id") % 13 != 0, "text/html").alias("content_type"))
 
 
 def record_problems(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +180,7 @@ s(host, i, id, start) AS (SELECT host, i, id, a FROM o WHERE i = 1 UNION ALL SEL
     "crawl_progress": f"WITH {LOG_SQL}, x AS (SELECT count(*) AS pages, count(*) FILTER (WHERE status < 400) AS succeeded, count(*) FILTER (WHERE status >= 400) AS failed, max(event_id / 10.0::DOUBLE) AS s FROM lg) SELECT pages, succeeded, failed, round(pages / s, 6) AS rate, round(100.0::DOUBLE * pages / 20000, 6) AS percent, round(greatest(0, 20000 - pages) / (pages / s), 6) AS eta FROM x",
     "queue_states": f"WITH {LOG_SQL} SELECT count(*) FILTER (WHERE status = 429) AS queued, count(*) FILTER (WHERE status = 404) AS active, count(*) FILTER (WHERE status = 200) AS processed, count(*) FILTER (WHERE status >= 500) AS failed FROM lg",
     "record_problems": "SELECT CASE WHEN page_id % 13 = 0 THEN 'missing content_type' ELSE 'status out of range' END AS problem, count(*) AS n FROM pages WHERE page_id % 13 = 0 OR page_id % 11 = 0 GROUP BY 1",
-    "record_keys": "SELECT sha256(url || chr(0) || 't' || chr(0) || substr(html, 1, 40) || chr(0) || url || chr(0) || 'k=' || (page_id % 3) || chr(0) || '2024-01-01T00:00:00.000000Z' || chr(0) || CASE WHEN page_id % 11 = 0 THEN 700 ELSE 200 END || chr(0) || CASE WHEN page_id % 13 <> 0 THEN 'text/html' ELSE '' END) AS record_key, 2 * count(*) AS times FROM pages GROUP BY 1",
+    "record_keys": "SELECT sha256(url || chr(0) || 't' || chr(0) || html || chr(0) || url || chr(0) || 'k=' || (page_id % 3) || chr(0) || '2024-01-01T00:00:00.000000Z' || chr(0) || CASE WHEN page_id % 11 = 0 THEN 700 ELSE 200 END || chr(0) || CASE WHEN page_id % 13 <> 0 THEN 'text/html' ELSE '' END) AS record_key, 2 * count(*) AS times FROM pages GROUP BY 1",
     "bounded_output": """WITH j AS (SELECT page_id % 5 AS query_id, page_id // 5 AS rank, strlen('{"rank":' || (page_id // 5) || ',"url":"' || url || '"}') AS b FROM pages), c AS (SELECT *, sum(b) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM j) SELECT query_id, count(*) AS n, max(used)::BIGINT AS bytes FROM c WHERE used <= 1500 GROUP BY query_id""",
     "sitemap_urls": "SELECT DISTINCT url, 1::INT AS depth FROM pages",
     "event_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

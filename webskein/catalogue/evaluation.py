@@ -12,13 +12,14 @@ from webskein.plans.sizing import sized
 from webskein.plans.staging import stage
 
 KS = (1, 3, 5, 10)
-WORDS = 4
+#: Words of a passage that make up its query: of so many characters and more.
+LETTERS = 8
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, query (the first words of a passage), category."""
+    """query_id, query (the longer words of a passage), category."""
     b = spark.read.parquet(f"{d}/benchmark.parquet")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(lexical.tokens(F.col("text")), 1, WORDS), " ").alias("query"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), "text")
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.filter(lexical.tokens(F.col("text")), lambda t: F.length(t) >= LETTERS), " ").alias("query"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), "text")
 
 
 def judgments(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +139,7 @@ def dataset_problems(spark: SparkSession, d: str) -> DataFrame:
 
 # SQL
 
-_BM25 = term_scores_sql("SELECT item_id AS query_id, p, tk[p] AS term FROM (SELECT item_id, tk, unnest(range(1, len(tk) + 1)) AS p FROM (SELECT item_id, list_filter(x[1:{n}], lambda y, i: list_position(x, y) = i) AS tk FROM (SELECT item_id, {t} AS x FROM benchmark)))".replace("{n}", str(WORDS)).replace("{t}", _toks("text")))
+_BM25 = term_scores_sql("SELECT item_id AS query_id, p, tk[p] AS term FROM (SELECT item_id, tk, unnest(range(1, len(tk) + 1)) AS p FROM (SELECT item_id, list_filter(x, lambda y, i: length(y) >= {n} AND list_position(x, y) = i) AS tk FROM (SELECT item_id, {t} AS x FROM benchmark)))".replace("{n}", str(LETTERS)).replace("{t}", _toks("text")))
 RUN_SQL = f"""{_BM25},
 ra AS (SELECT query_id, 'bm25' AS strategy, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS rank FROM sc),
 rb AS (SELECT query_id, 'semantic' AS strategy, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY tf DESC, doc_id) AS rank FROM sc),

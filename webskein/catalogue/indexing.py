@@ -24,7 +24,7 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hard_slices(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).where("doc_id % 7 = 0").select("doc_id", F.posexplode(slices(F.col("text"), 500)).alias("pos", "s")).select("doc_id", "pos", F.length("s").alias("n"), F.md5(F.col("s").cast("binary")).alias("slice_md5"))
+    return docs(spark, d).select("doc_id", F.posexplode(slices(F.col("text"), 500)).alias("pos", "s")).select("doc_id", "pos", F.length("s").alias("n"), F.md5(F.col("s").cast("binary")).alias("slice_md5"))
 
 
 def overlap_suffixes(spark: SparkSession, d: str) -> DataFrame:
@@ -180,12 +180,16 @@ ORACLES = {
     "size_stats": "SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes, sum((length(text) + 3) // 4)::BIGINT AS tokens FROM documents GROUP BY lang",
     "sentence_split": r"""WITH m AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
 f AS (SELECT doc_id, list_filter(s, lambda x: trim(x) <> '') AS s FROM m) SELECT doc_id, (unnest(range(0, len(s))))::INT AS pos, md5(unnest(s)) AS sentence_md5 FROM f""",
-    "hard_slices": "WITH p AS (SELECT doc_id, text, unnest(range(0, (length(text) + 499) // 500)) AS i FROM documents WHERE doc_id % 7 = 0) SELECT doc_id, i::INT AS pos, length(substr(text, 500 * i + 1, 500))::INT AS n, md5(substr(text, 500 * i + 1, 500)) AS slice_md5 FROM p",
+    "hard_slices": "WITH p AS (SELECT doc_id, text, unnest(range(0, (length(text) + 499) // 500)) AS i FROM documents) SELECT doc_id, i::INT AS pos, length(substr(text, 500 * i + 1, 500))::INT AS n, md5(substr(text, 500 * i + 1, 500)) AS slice_md5 FROM p",
     "overlap_suffixes": r"""WITH t AS (SELECT doc_id, text, right(text, 160) AS s, position(' ' IN right(text, 160)) AS b FROM documents)
 SELECT doc_id, CASE WHEN length(text) <= 160 THEN text ELSE regexp_replace(CASE WHEN b > 0 AND b < length(s) THEN substr(s, b + 1) ELSE s END, '^\s+|\s+$', '', 'g') END AS suffix FROM t""",
     "evidence_form": f"SELECT doc_id, md5({EVIDENCE_SQL}) AS evidence_md5 FROM documents",
     "chunk_documents": CHUNK_SQL,
     "page_titles": r"SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title, regexp_replace(url, '#.*$', '') AS effective_url FROM pages",
+    "page_headings": r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS x FROM pages), e AS (SELECT page_id, unnest(range(0, len(x))) AS pos, unnest(x) AS t FROM h) SELECT page_id, pos::INT AS pos, 1 AS level, trim(replace(t, '&amp;', '&')) AS text FROM e""",
+    "page_links": r"""WITH a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS x FROM pages),
+e AS (SELECT page_id, unnest(range(0, len(x))) AS i, CASE WHEN starts_with(unnest(x), '/') THEN origin || unnest(x) ELSE unnest(x) END AS link FROM a),
+f AS (SELECT page_id, link, min(i) AS i FROM (SELECT page_id, i, regexp_replace(replace(link, '&amp;', '&'), '#.*$', '') AS link FROM e) GROUP BY ALL) SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, link FROM f""",
     "exact_dedup_contents": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1",
     "provenance_pick": f"WITH {LINES_SQL}, r AS (SELECT chunk_hash, canonical_url, d.document_id, ordinal, row_number() OVER (PARTITION BY chunk_hash ORDER BY canonical_url, d.document_id, ordinal) AS k FROM (SELECT DISTINCT content_hash, ordinal, chunk_hash FROM b) x JOIN dd d USING (content_hash)) SELECT chunk_hash, canonical_url, document_id, ordinal::INT AS ordinal FROM r WHERE k = 1",
     "dedup_counts": f"""WITH {LINES_SQL}, n AS (SELECT count(*) AS documents, count(DISTINCT content_hash) FILTER (WHERE content_hash NOT IN (SELECT content_hash FROM dd WHERE document_id % 2 = 0)) AS new_contents FROM dd WHERE document_id % 2 = 1),

@@ -106,12 +106,12 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    q = v.where(F.col("key") % 100 == 7).select(F.col("key").alias("query_id"), "vector")
+    q = v.where(F.col("key") % 100 == 0).select(F.col("key").alias("query_id"), "vector")
     return semantic.search(v, q, 5).select("query_id", "rank", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 COSINE_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, greatest(-1.0, least(1.0, list_sum(list_transform(list_zip(e.v, q.v), lambda p: p[1] * p[2])))) AS score FROM e, e q WHERE q.vec_id % 100 = 7),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, greatest(-1.0, least(1.0, list_sum(list_transform(list_zip(e.v, q.v), lambda p: p[1] * p[2])))) AS score FROM e, e q WHERE q.vec_id % 100 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id)::INT AS rank, vec_id, round(score, 6) AS score FROM s)
 SELECT * FROM r WHERE rank <= 5"""
 
