@@ -1,7 +1,7 @@
 """Corpus pipeline: documents to token ids, in five stages.
 
 1 language identification: documents whose language the model rejects go (a row without text or letters too).
-2 near-duplicates: of each group one document stays, that with the smallest id.
+2 near-duplicates: of each group one document stays, that with the smallest id. Linked are documents whose sets of five-word shingles have a similarity of 0.80 or more.
 3 benchmark decontamination: documents that hold a passage of a benchmark item go.
 4 secret scan: each found secret is replaced by a mark; documents stay, n_chars follows.
 5 BPE: one row per document with its ids, the digests of ids and decoded text.
@@ -21,13 +21,17 @@ from webskein.llm import bpe, decontaminate, langid, neardup, secrets
 from webskein.plans.staging import stage
 
 
+#: Similarity of near-duplicates, of 100; op4_neardup has its own, 85.
+NEAR = 80
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, ~langid.held_out("doc_id", 3, 1))
     return langid.known_languages(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.one_of_each(docs)
+    return neardup.one_of_each(docs, percent=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,19 @@ def test_stages_keep_columns_and_handle_odd_rows(spark, sf):
         assert {"doc_id", "n_tokens", "ids"} <= set(corpus_pipeline.STAGES[-1][1](spark, now, sf).columns)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language", "near_duplicates", "decontamination", "secrets", "bpe"] and np.all([callable(f) for _, f in corpus_pipeline.STAGES])
+
+
+def test_near_duplicates_of_the_stage_link_from_080(spark, sf):
+    words = [f"w{i}" for i in range(305)]
+    changed = lambda n: " ".join("z" if i % 50 == 20 and i // 50 < n else w for i, w in enumerate(words))
+    texts = [" ".join(words), changed(6), " ".join(f"v{i}" for i in range(305)), " ".join(f"v{i}" if i < 265 else f"u{i}" for i in range(305))]
+    # 271 of 331 shingles in common, 0.82; 261 of 341, 0.77
+    assert brute_components(texts)[0] == [0, 1, 2, 3] and brute_components(texts, 80)[0] == [0, 0, 2, 3]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, texts), sf).collect()) == [0, 2, 3]
+
+
+def test_near_duplicates_of_the_stage_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet").where("length(text) < 4000").orderBy("doc_id").limit(700)
+    rows = docs.collect()
+    want = brute_components([r.text for r in rows], 80)[0]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == [r.doc_id for i, r in enumerate(rows) if want[i] == i]

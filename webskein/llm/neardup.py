@@ -6,8 +6,8 @@ compared there exhaustively by size and a 64-bit sketch (one bit of each minwise
 forest (each member with its closest earlier one), then, after components are known, all remaining pairs whose ends lie in
 different components. So no pair within a group of copies is confirmed more often than needed, and none that could join two groups is left out.
 
-Equal sets are one class from the start; all links are between classes. For a pair at similarity 0.85 a tree of depth 3 meets with
-0.61, 16 trees with 1 - 3e-7.
+Equal sets are one class from the start; all links are between classes. Trees and sketch follow ``percent``: for a pair at similarity 0.85 a tree of
+depth 3 meets with 0.61, 16 trees with 1 - 3e-7, and 16 sketch bits may differ; at 0.80 a tree meets with 0.51, 21 trees with 1 - 3e-7, and 19 bits may differ.
 
 Defined results. A null or wordless text is an empty set: linked with nothing, component its own id. Each input row gives one row.
 A null id is linked with nothing. Rows that repeat an id with another text are linked by their own texts. An empty table gives no rows. Only the two named columns are read.
@@ -18,6 +18,9 @@ holds one block of ``block`` members; nodes with more are taken block by block a
 
 from __future__ import annotations
 
+from functools import cache
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +31,28 @@ from webskein.llm.text import GOLD, mix, shingles
 from webskein.plans.staging import stage
 
 K = 64  # minwise tokens
-FAR = 16  # sketch bits in which a link may differ: at 0.85 more do with 6e-6
+MISSED_MEETING, MISSED_SKETCH = 3e-7, 5e-6  # of pairs just at the threshold, at most
 BROADCAST_ROWS = 1_000_000
 SALTS = 8
 
 _SEEDS = mix(np.arange(1, K + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
 
 
+@cache
+def far_for(percent: int) -> int:
+    """Sketch bits in which a link may differ. A minwise token differs with 1 - similarity, its bit with half of that."""
+    p = (100 - percent) / 200
+    return next(f for f in range(K + 1) if sum(comb(K, i) * p**i * (1 - p) ** (K - i) for i in range(f + 1, K + 1)) <= MISSED_SKETCH)
+
+
+def trees_for(percent: int, depth: int) -> int:
+    """Trees so that a pair at the threshold meets in one of them."""
+    trees, apart = 1, 1 - (percent / 100) ** depth
+    while apart**trees > MISSED_MEETING:
+        trees += 1
+    return trees
+
+
 def minwise(s: np.ndarray) -> np.ndarray:
     """K minwise tokens (32 bits of each) of a non-empty set of hashes."""
     out = np.full(K, np.uint32(0xFFFFFFFF))
@@ -96,7 +114,7 @@ def _differing(b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
 def _passing(n1, b1, n2, b2, percent: int) -> np.ndarray:
     """Which pairs of a block may be links, by size and sketch."""
     small, large = np.minimum(n1[:, None], n2[None, :]), np.maximum(n1[:, None], n2[None, :])
-    return (_differing(b1, b2) <= FAR) & (100 * small >= percent * large)
+    return (_differing(b1, b2) <= far_for(percent)) & (100 * small >= percent * large)
 
 
 def _runs(batches, columns: list[str]):
@@ -208,8 +226,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long, link boolean")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, trees: int = 16, depth: int = 3, block: int = 512, row: str | None = None) -> DataFrame:
-    """Per input row: row, doc_id, n_shingles, set_hash, component_id, kept. ``row``: a column that numbers the rows, which then comes back."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, trees: int | None = None, depth: int = 3, block: int = 512, row: str | None = None) -> DataFrame:
+    """Per input row: row, doc_id, n_shingles, set_hash, component_id, kept. ``row``: a column that numbers the rows, which then comes back. ``trees``: as many as ``percent`` needs, if None."""
+    trees = trees_for(percent, depth) if trees is None else trees
     rows = sketches(docs, doc_id, text, row)
     named = rows.where("set_hash is not null and doc_id is not null")
     classes = stage(named.groupBy(F.col("set_hash").alias("node")).agg(F.min("doc_id").alias("first"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("mins").alias("mins")), "classes")
