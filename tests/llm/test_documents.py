@@ -87,6 +87,15 @@ def test_near_duplicates_of_a_large_group(spark):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)[0]
 
 
+def test_near_duplicates_of_a_lone_pair_in_large_nodes(spark):
+    passage = " ".join(f"p{i}" for i in range(200))
+    with_tail = lambda name, n: passage + " " + " ".join(f"{name}x{i}" for i in range(n))
+    # holders of the passage are like nobody; the pair is in the middle and at the end of its nodes
+    texts = [with_tail(f"h{k}", 100 + k % 40) for k in range(300)] + [with_tail("t44", 10), with_tail("t50", 10)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(table(spark, texts), block=2).collect()}
+    assert got == {i: i for i in range(301)} | {301: 300}
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     t = sentence(3)
     df = table(spark, [t, t, t, t, "other words here now yes"], ids=[5, None, 3, 3, 5])

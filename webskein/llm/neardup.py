@@ -3,8 +3,8 @@
 A document is the set of its 5-word shingles. Each of ``trees`` independent trees sends a document down a path: a node picks one
 of the document's minwise tokens, and documents with the same token go on together. What meets in a node at depth ``depth`` is
 compared there exhaustively by size and a 64-bit sketch (one bit of each minwise token). Candidates are then confirmed on full sets, in two turns: first a
-forest (each member with its closest earlier one), then, after components are known, all remaining pairs whose ends lie in
-different components. So no pair within a group of copies is confirmed more often than needed, and none that could join two groups is left out.
+forest (each member with its closest earlier one; in nodes of more than ``block`` members, each that has none yet with its closest one of the whole node), then,
+after components are known, all remaining pairs whose ends lie in different components. So no pair within a group of copies is confirmed more often than needed, and none that could join two groups is left out.
 
 Equal sets are one class from the start; all links are between classes. Trees and sketch follow ``percent``: for a pair at similarity 0.85 a tree of
 depth 3 meets with 0.61, 16 trees with 1 - 3e-7, and 16 sketch bits may differ; at 0.80 a tree meets with 0.51, 21 trees with 1 - 3e-7, and 19 bits may differ.
@@ -13,7 +13,7 @@ Defined results. A null or wordless text is an empty set: linked with nothing, c
 A null id is linked with nothing. Rows that repeat an id with another text are linked by their own texts. An empty table gives no rows. Only the two named columns are read.
 
 Scale. Texts are read once for sketches and once more for documents that have a candidate. Nodes are streamed from sorted partitions: a task
-holds one block of ``block`` members; nodes with more are taken block by block against others. Sets move only for candidates.
+holds one block of ``block`` members; nodes with more are taken block by block against others, for members without a candidate only blocks of like sizes. Sets move only for candidates.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webskein.llm.graph import components
@@ -34,6 +34,7 @@ K = 64  # minwise tokens
 MISSED_MEETING, MISSED_SKETCH = 3e-7, 5e-6  # of pairs just at the threshold, at most
 BROADCAST_ROWS = 1_000_000
 SALTS = 8
+WIDE = 8  # blocks of ``lone`` are so many times larger, which move less often
 
 _SEEDS = mix(np.arange(1, K + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
 
@@ -136,12 +137,18 @@ def _runs(batches, columns: list[str]):
 
 
 def forest(nodes: DataFrame, percent: int, block: int) -> DataFrame:
-    """Candidate pairs (a, b): each member of a node with its closest earlier one of those held (the node's first ``block`` and its own piece)."""
+    """Candidate pairs (a, b): each member of a node with its closest earlier one of those held (the node's first ``block`` and its own piece).
+
+    A node of more than ``block`` members is a row too: its key as a, b null."""
 
     def link(batches):
         held: list[np.ndarray] = []
-        for (_, node, n, bits), new in _runs(batches, ["key", "node", "n", "bits"]):
+        m = 0
+        for (key, node, n, bits), new in _runs(batches, ["key", "node", "n", "bits"]):
             out = []
+            m = len(node) if new else m + len(node)
+            if m > block >= m - len(node):
+                yield pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.array([None], pa.int64())], names=["a", "b"])
             for at in range(0, len(node), block):
                 p = [x[at : at + block] for x in (node, n, bits)]
                 if new and not at:
@@ -163,6 +170,39 @@ def forest(nodes: DataFrame, percent: int, block: int) -> DataFrame:
     return nodes.repartition("key").sortWithinPartitions("key", "node").mapInArrow(link, "a long, b long").distinct()
 
 
+def lone(nodes: DataFrame, active: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): each member of ``nodes`` (key, node, n, bits) that isn't in ``active`` (node) with the closest one of all nodes that it is in.
+
+    Members are put in blocks by size, and only blocks of which some sizes may link meet."""
+
+    def packed(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("key").orderBy("n", "node"))
+        blocks = rows.withColumn("part", F.floor((place - 1) / (WIDE * block))).groupBy("key", "part")
+        return blocks.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_list(F.struct("node", "n", "bits")).alias("x"))
+
+    asking = stage(packed(nodes.join(active, "node", "left_anti").select("key", "node", "n", "bits")), "asking")
+    asked = stage(packed(nodes.join(asking.select("key").distinct(), "key", "left_semi")), "asked")
+    one, two = asking.select("key", F.col("part").alias("i"), "lo", "hi", F.col("x").alias("xi")), asked.select("key", F.col("part").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("x").alias("xj"))
+    like = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
+    met = one.drop("xi").join(two.drop("xj"), "key").where(like).select("key", "i", "j")
+    met = met.join(one.select("key", "i", "xi"), ["key", "i"]).join(two.select("key", "j", "xj"), ["key", "j"]).select("xi", "xj")
+
+    def link(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, y = ([c.values.field(k).to_numpy(zero_copy_only=False) for k in range(3)] for c in (batch.column(0)[r], batch.column(1)[r]))
+                for at in range(0, len(x[0]), block):
+                    p = [v[at : at + block] for v in x]
+                    ok = _passing(p[1], p[2], y[1], y[2], percent) & (p[0][:, None] != y[0][None, :])
+                    some = ok.any(1)
+                    if some.any():
+                        far = np.where(ok, _differing(p[2], y[2]), 255)[some]
+                        yield pa.RecordBatch.from_arrays([pa.array(p[0][some]), pa.array(y[0][far.argmin(1)]), pa.array(far.min(1).astype(np.int32))], names=["node", "other", "far"])
+
+    closest = met.mapInArrow(link, "node long, other long, far int").groupBy("node").agg(F.min(F.struct("far", "other"))["other"].alias("other"))
+    return closest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def crossing(nodes: DataFrame, percent: int, block: int) -> DataFrame:
     """All candidate pairs of a node whose ends lie in different components. nodes: key, node, n, bits, comp.
 
@@ -232,7 +272,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = sketches(docs, doc_id, text, row)
     named = rows.where("set_hash is not null and doc_id is not null")
     classes = stage(named.groupBy(F.col("set_hash").alias("node")).agg(F.min("doc_id").alias("first"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("mins").alias("mins")), "classes")
-    near = stage(forest(paths(classes.select("node", "n", "bits", "mins"), trees, depth), percent, block), "forest")
+    first = stage(forest(paths(classes.select("node", "n", "bits", "mins"), trees, depth), percent, block), "forest")
+    near, large = first.where("b is not null"), first.where("b is null").select(F.col("a").alias("key"))
+    if n_large := large.count():
+        keys = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+        members = stage(paths(classes.select("node", "n", "bits", "mins"), trees, depth).join(keys, "key", "left_semi"), "large")
+        near = stage(near.union(lone(members, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), percent, block)), "near")
     active = stage(near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(classes, "node"), "active")
     ids = active.select(F.col("first").alias("__first"))
     if active.count() <= BROADCAST_ROWS:  # ids of 8 bytes; beyond, the planner joins by shuffling
