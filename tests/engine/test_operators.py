@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from webskein.catalogue import crawling
 from webskein.functions import text as T
 from webskein.functions import urls as U
 from webskein.operators import chunk, compare, context, crawl, evaluate, fusion, html, lexical, semantic
@@ -279,3 +280,8 @@ def test_dataset_subset_and_fingerprint(spark):
         with pytest.raises(ValueError):
             datasets.subset(q, **bad)
     assert datasets.fingerprint({"b": 1, "a": 2}) == datasets.fingerprint({"a": 2, "b": 1})
+
+
+def test_sitemap_urls_keeps_all_of_a_large_page_table(spark, tmp_path):
+    spark.range(50_010).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a.com/"), "id").alias("url"), F.lit("").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    assert crawling.sitemap_urls(spark, str(tmp_path)).count() == 50_010

@@ -136,7 +136,7 @@ def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     sets = sets.select(F.concat(F.lit("s"), "s").alias("url"), F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.lit("</urlset>")).alias("xml"))
     index = "<sitemapindex>" + "".join(f"<sitemap><loc>s{i}</loc></sitemap>" for i in range(5)) + "<sitemap><loc>index</loc></sitemap></sitemapindex>"
     root = spark.createDataFrame([("index", index)], "url string, xml string")
-    return sitemap.expand(root.select("url"), root.union(sets)).select("url", "depth")
+    return sitemap.expand(root.select("url"), root.union(sets), max_urls=None).select("url", "depth")
 
 
 def event_tumbling(spark: SparkSession, d: str) -> DataFrame:

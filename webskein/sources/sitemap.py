@@ -45,8 +45,8 @@ def parsed(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(x) for x in xml], columns=["kind", "locations", "problem"])
 
 
-def expand(roots: DataFrame, documents: DataFrame, max_depth: int = 10, max_sitemaps: int = 100, max_urls: int = 50_000) -> DataFrame:
-    """url, depth of all pages below root sitemaps. roots: url; documents: url, xml. Each sitemap is read once, whatever cycles there are; limits count in breadth-first order."""
+def expand(roots: DataFrame, documents: DataFrame, max_depth: int = 10, max_sitemaps: int = 100, max_urls: int | None = 50_000) -> DataFrame:
+    """url, depth of all pages below root sitemaps. roots: url; documents: url, xml. Each sitemap is read once, whatever cycles there are; limits count in breadth-first order. ``max_urls`` None: no limit of pages."""
     docs = documents.select("url", parsed("xml").alias("s"))
     level = stage(roots.select("url").distinct().limit(max_sitemaps).select("url", F.lit(0).alias("depth")), "sitemaps")
     seen, pages, left = level, None, max_sitemaps - level.count()
@@ -61,4 +61,6 @@ def expand(roots: DataFrame, documents: DataFrame, max_depth: int = 10, max_site
             break
         left, seen = left - n, seen.union(level)
     once = pages.groupBy("url").agg(F.min(F.struct("depth", "via", "pos")).alias("o"))
-    return once.orderBy("o.depth", "o.via", "o.pos").limit(max_urls).select("url", F.col("o.depth").alias("depth"))
+    if max_urls is not None:
+        once = once.orderBy("o.depth", "o.via", "o.pos").limit(max_urls)
+    return once.select("url", F.col("o.depth").alias("depth"))
