@@ -2,7 +2,8 @@
 
 An operator that reads an intermediate result more than once, or that cuts a long lineage, writes it as Parquet below
 the folder named by ``spark.checkpoint.dir``. Such a table survives the loss of any executor, and a later plan knows
-its size, so that the planner's own size check decides whether a join may broadcast it.
+its size, so that the planner's own size check decides whether a join may broadcast it. The shuffle files of the job that
+wrote a table go with that job, and an operator frees a table after its last reader, so that disk holds what is still needed.
 """
 
 from __future__ import annotations
@@ -10,10 +11,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,12 +43,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is executed within gives its shuffle files back at its end; for plans that run once."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads; other DataFrames are left alone."""
+    for t in tables:
+        if path := _path_of.pop(t, None):
+            delete(t.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
