@@ -1,19 +1,20 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is the set of its 5-word shingles. Each of ``trees`` independent trees sends a document down a path: a node picks one
-of the document's minwise tokens, and documents with the same token go on together. What meets in a node at depth ``depth`` is
-compared there exhaustively by size and a 64-bit sketch (one bit of each minwise token). Candidates are then confirmed on full sets, in two turns: first a
-forest (each member with its closest earlier one; in nodes of more than ``block`` members, each that has none yet with its closest one of the whole node), then,
-after components are known, all remaining pairs whose ends lie in different components. So no pair within a group of copies is confirmed more often than needed, and none that could join two groups is left out.
+A document is the set of its 5-word shingles. In each of ``trees`` independent trees it branches from node to node by minwise tokens: a node's path picks which of the document's tokens leads on, and documents with the
+same token stay together. A node of at most ``block`` members is compared exhaustively at the depth where it becomes that small; larger ones branch further, to ``depth`` at most, where they are
+compared block by block. Candidates pass sizes, a 64-bit sketch (one bit of each minwise token) and then the agreement of 64 bytes (one byte of each), and are confirmed on full
+sets, in two turns: first a forest (each member with its closest one), then, after components are known, all remaining pairs whose ends lie in different components. So no pair within a group of copies
+is confirmed more often than needed, and none that could join two groups is left out.
 
-Equal sets are one class from the start; all links are between classes. Trees and sketch follow ``percent``: for a pair at similarity 0.85 a tree of
-depth 3 meets with 0.61, 16 trees with 1 - 3e-7, and 16 sketch bits may differ; at 0.80 a tree meets with 0.51, 21 trees with 1 - 3e-7, and 19 bits may differ.
+Equal sets, found by size and a 128-bit hash, are one class from the start; all links are between classes. Trees and sketches follow ``percent``: for a pair at similarity 0.85 a tree of
+depth 3 meets with 0.61 at least, 16 trees with 1 - 3e-7; 16 sketch bits may differ and 39 bytes must agree; at 0.80 a tree meets with 0.51, 21 trees with 1 - 3e-7; 19 bits may differ and 35 bytes must agree.
 
 Defined results. A null or wordless text is an empty set: linked with nothing, component its own id. Each input row gives one row.
-A null id is linked with nothing. Rows that repeat an id with another text are linked by their own texts. An empty table gives no rows. Only the two named columns are read.
+A null id is linked with nothing. Rows that repeat an id with another text are linked by their own texts. An empty table gives no rows. Very long texts are read whole; a task holds one
+text and its set at a time. Only the two named columns are read.
 
-Scale. Texts are read once for sketches and once more for documents that have a candidate. Nodes are streamed from sorted partitions: a task
-holds one block of ``block`` members; nodes with more are taken block by block against others, for members without a candidate only blocks of like sizes. Sets move only for candidates.
+Scale. Texts are read once for sketches and again only for documents that a confirmation needs. Nodes are streamed from sorted partitions: a task holds one block of ``block`` members. A hot node is cut into blocks that
+meet pairwise, where members of the node's commonest component are never held against each other. Sets move only for candidates. Each intermediate table is freed after its last reader.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webskein.llm.graph import components
-from webskein.llm.text import GOLD, mix, shingles
-from webskein.plans.staging import stage
+from webskein.llm.text import GOLD, M2, mix, shingles, text_keys, unused
+from webskein.plans.staging import free, stage
 
 K = 64  # minwise tokens
 MISSED_MEETING, MISSED_SKETCH = 3e-7, 5e-6  # of pairs just at the threshold, at most
@@ -46,6 +47,13 @@ def far_for(percent: int) -> int:
     return next(f for f in range(K + 1) if sum(comb(K, i) * p**i * (1 - p) ** (K - i) for i in range(f + 1, K + 1)) <= MISSED_SKETCH)
 
 
+@cache
+def agreeing_for(percent: int) -> int:
+    """Bytes of minwise tokens in which a link must agree."""
+    p = percent / 100
+    return max(a for a in range(K + 1) if sum(comb(K, i) * p**i * (1 - p) ** (K - i) for i in range(a)) <= MISSED_SKETCH)
+
+
 def trees_for(percent: int, depth: int) -> int:
     """Trees so that a pair at the threshold meets in one of them."""
     trees, apart = 1, 1 - (percent / 100) ** depth
@@ -55,7 +63,7 @@ def trees_for(percent: int, depth: int) -> int:
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
-    """K minwise tokens (32 bits of each) of a non-empty set of hashes."""
+    """K minwise tokens (32 bits of each) of a non-empty set of hashes. Tables hold them by bytes: the lowest of all tokens come first."""
     out = np.full(K, np.uint32(0xFFFFFFFF))
     for at in range(0, len(s), 4096):
         part = s[at : at + 4096]
@@ -64,47 +72,84 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return tuple(int(mix(s ^ x).sum(dtype=np.uint64).view(np.int64)) for x in (np.uint64(0), M2))
+
+
 def _sketch(batches):
-    names = ["row_id", "doc_id", "n_shingles", "set_hash", "bits", "mins"]
+    names = ["row_id", "doc_id", "k1", "k2", "n_shingles", "h1", "h2", "bits", "mins"]
     for b in batches:
-        rows, ids, texts = (c.to_pylist() for c in b.columns)
         n, h, bits, mins = [], [], [], []
-        for t in texts:
-            s = shingles(t)
+        for t in b.column(4):
+            s = shingles(t.as_py())
             n.append(len(s))
             if len(s):
                 m = minwise(s)
-                h.append(int((mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s))).view(np.int64)))
+                h.append(set_hash(s))
                 bits.append(int(np.packbits(((m * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).view(np.int64)[0]))
-                mins.append(m.tobytes())
+                mins.append(m.view(np.uint8).reshape(K, 4).T.tobytes())
             else:
-                h.append(None), bits.append(None), mins.append(None)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(bits, pa.int64()), pa.array(mins, pa.binary())], names=names)
+                h.append((None, None)), bits.append(None), mins.append(None)
+        found = [n, [x[0] for x in h], [x[1] for x in h], bits]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(x, pa.int64()) for x in found), pa.array(mins, pa.binary())], names=names)
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str, row: str | None) -> DataFrame:
-    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    return stage(rows.mapInArrow(_sketch, "row_id long, doc_id long, n_shingles long, set_hash long, bits long, mins binary"), "sketches")
+def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), *text_keys(F.col(text)), F.col(text).cast("binary").alias("t"))
+    return stage(rows.mapInArrow(_sketch, "row_id long, doc_id long, k1 long, k2 long, n_shingles long, h1 long, h2 long, bits long, mins binary"), "sketches")
 
 
-def paths(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(key, node, n, bits) for every class and tree: the node that it reaches at ``depth``. A node's path picks the token."""
+def steps(classes: DataFrame, trees: int, depth: int, keep: tuple[str, ...]) -> DataFrame:
+    """(key1 .. key ``depth``, keep's columns) for every class and tree: the nodes on its path. A node's path picks the token."""
+    keys = [f"key{d}" for d in range(1, depth + 1)]
 
     def walk(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             c = dict(zip(b.schema.names, b.columns))
-            m = np.frombuffer(b"".join(c["mins"].to_pylist()), np.uint32).reshape(-1, K).astype(np.uint64)
+            m = np.ascontiguousarray(np.frombuffer(b"".join(c["mins"].to_pylist()), np.uint8).reshape(-1, 4, K).transpose(0, 2, 1)).view(np.uint32)[:, :, 0].astype(np.uint64)
             at = np.arange(len(m))
             for t in range(trees):
-                path = np.full(len(m), mix(np.array([t + 1], np.uint64) * GOLD)[0])
+                path, on = np.full(len(m), mix(np.array([t + 1], np.uint64) * GOLD)[0]), []
                 for _ in range(depth):
                     pick = (mix(path) % np.uint64(K)).astype(np.int64)
                     path = mix(path ^ (m[at, pick] * GOLD + pick.astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *(c[x] for x in ("node", "n", "bits"))], names=["key", "node", "n", "bits"])
+                    on.append(pa.array(path.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*on, *(c[x] for x in keep)], names=[*keys, *keep])
+
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
+    return classes.select("mins", *keep).mapInArrow(walk, ", ".join([f"{k} long" for k in keys] + [f"{x} {kinds[x]}" for x in keep]))
+
 
-    return classes.mapInArrow(walk, "key long, node long, n long, bits long")
+def bounded(keys: DataFrame) -> DataFrame:
+    """Staged keys of 8 bytes: broadcast up to a counted bound; beyond it the planner joins by shuffling."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def large_nodes(classes: DataFrame, trees: int, depth: int, block: int) -> list[DataFrame]:
+    """For each depth the nodes there (key) that have more than ``block`` members and aren't below a smaller one."""
+    found = []
+    for d in range(1, depth + 1):
+        rows = steps(classes, trees, d, ())
+        if d > 1:
+            rows = rows.join(bounded(found[-1].withColumnRenamed("key", f"key{d - 1}")), f"key{d - 1}", "left_semi")
+        found.append(stage(rows.groupBy(F.col(f"key{d}").alias("key")).count().where(F.col("count") > block).select("key"), f"large{d}"))
+        if found[-1].isEmpty():
+            break
+    return found
+
+
+def nodes(classes: DataFrame, trees: int, depth: int, large: list[DataFrame], keep: tuple[str, ...]) -> DataFrame:
+    """(key, keep's columns): every class with the node of each tree where its branching ends: the first small one on its path, or that at ``depth``."""
+    rows = steps(classes, trees, depth, keep)
+    key = F.col(f"key{depth}")
+    for d in range(min(depth - 1, len(large)), 0, -1):
+        # with large[d - 1] empty, all paths end at depth d
+        key = F.when(F.col(f"big{d}").isNull(), F.col(f"key{d}")).otherwise(key)
+        rows = rows.join(bounded(large[d - 1]).select(F.col("key").alias(f"key{d}"), F.lit(True).alias(f"big{d}")), f"key{d}", "left")
+    return rows.select(key.alias("key"), *keep)
 
 
 def _differing(b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
@@ -137,18 +182,12 @@ def _runs(batches, columns: list[str]):
 
 
 def forest(nodes: DataFrame, percent: int, block: int) -> DataFrame:
-    """Candidate pairs (a, b): each member of a node with its closest earlier one of those held (the node's first ``block`` and its own piece).
-
-    A node of more than ``block`` members is a row too: its key as a, b null."""
+    """Candidate pairs (a, b): each member with the closest of those that it is held against: earlier ones of its nodes (of a larger node the first ``block`` and its own piece)."""
 
     def link(batches):
         held: list[np.ndarray] = []
-        m = 0
-        for (key, node, n, bits), new in _runs(batches, ["key", "node", "n", "bits"]):
+        for (_, node, n, bits), new in _runs(batches, ["key", "node", "n", "bits"]):
             out = []
-            m = len(node) if new else m + len(node)
-            if m > block >= m - len(node):
-                yield pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.array([None], pa.int64())], names=["a", "b"])
             for at in range(0, len(node), block):
                 p = [x[at : at + block] for x in (node, n, bits)]
                 if new and not at:
@@ -159,15 +198,21 @@ def forest(nodes: DataFrame, percent: int, block: int) -> DataFrame:
                 ok &= p[0][:, None] != both[0][None, :]
                 some = ok.any(1)
                 if some.any():
-                    far = np.where(ok, _differing(p[2], both[2]), 255)
-                    out.append((p[0][some], both[0][far.argmin(1)[some]]))
+                    far = np.where(ok, _differing(p[2], both[2]), 255)[some]
+                    out.append((p[0][some], both[0][far.argmin(1)], far.min(1)))
                 if len(held[0]) < block:
                     held = [x[:block] for x in both]
             if out:
-                a, b = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                a, b, far = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far.astype(np.int32))], names=["node", "other", "far"])
+
+    return closest(nodes.repartition("key").sortWithinPartitions("key", "node").mapInArrow(link, "node long, other long, far int"))
 
-    return nodes.repartition("key").sortWithinPartitions("key", "node").mapInArrow(link, "a long, b long").distinct()
+
+def closest(found: DataFrame) -> DataFrame:
+    """(a, b): each node with the other one that differs in the fewest bits."""
+    best = found.groupBy("node").agg(F.min(F.struct("far", "other"))["other"].alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def lone(nodes: DataFrame, active: DataFrame, percent: int, block: int) -> DataFrame:
@@ -199,52 +244,73 @@ def lone(nodes: DataFrame, active: DataFrame, percent: int, block: int) -> DataF
                         far = np.where(ok, _differing(p[2], y[2]), 255)[some]
                         yield pa.RecordBatch.from_arrays([pa.array(p[0][some]), pa.array(y[0][far.argmin(1)]), pa.array(far.min(1).astype(np.int32))], names=["node", "other", "far"])
 
-    closest = met.mapInArrow(link, "node long, other long, far int").groupBy("node").agg(F.min(F.struct("far", "other"))["other"].alias("other"))
-    return closest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return closest(met.mapInArrow(link, "node long, other long, far int"))
 
 
 def crossing(nodes: DataFrame, percent: int, block: int) -> DataFrame:
-    """All candidate pairs of a node whose ends lie in different components. nodes: key, node, n, bits, comp.
-
-    Nodes of one component have none. Others are cut into blocks of about ``block`` members by hash, and each two blocks of a node meet once."""
-    sizes = nodes.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    parts = F.ceil(F.col("m") / block).cast("int")
-    mixed = nodes.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # the block pair (i, j), i <= j, is named by both; a member of block p goes to (p, j) for j >= p and to (i, p) for i < p
-    met = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "bits", "comp")
+    """All candidate pairs of a node whose ends lie in different components. nodes: key, node, n, bits, low, comp.
+
+    Nodes of one component have none. In others the members of the commonest component come last, and blocks of them meet only blocks of the rest: where m - r of m members are of
+    one component, r * m pairs are compared, in blocks of about ``block`` members by hash, of which each two that may hold a pair meet once."""
+    of = nodes.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    size = of.select("key", F.col("most.comp").alias("common"), F.ceil((F.col("m") - F.col("most.m")) / block).cast("int").alias("rest"), F.ceil(F.col("most.m") / block).cast("int").alias("same"))
+    mixed = nodes.join(size, "key").withColumn("common", F.col("comp") == F.col("common"))
+    mixed = mixed.withColumn("part", F.when(F.col("common"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("same"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int"))
+    # the block pair (i, j), i <= j, i < rest, is named by both
+    met = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("common"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("same") - 1))))
+    met = met.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "bits", "low", "comp")
     tagged = met.withColumn("pair", F.xxhash64("key", "i", "j"))
+    agree = agreeing_for(percent)
 
     def link(batches):
         kept: list[np.ndarray] = []
 
         def pairs(x):
-            i, j, part, node, n, bits, comp = x
+            i, j, part, node, n, bits, low, comp = x
             first, second = part == i, part == j
-            a, b = [y[first] for y in (node, n, bits, comp)], [y[second] for y in (node, n, bits, comp)]
+            a, b = [y[first] for y in (node, n, bits, comp, low)], [y[second] for y in (node, n, bits, comp, low)]
             ok = _passing(a[1], a[2], b[1], b[2], percent) & (a[3][:, None] != b[3][None, :])
             u, v = np.nonzero(ok)
+            if len(u):
+                left, right = (np.frombuffer(b"".join(y[4]), np.uint8).reshape(-1, K) for y in (a, b))
+                same = np.concatenate([(left[u[k : k + 65536]] == right[v[k : k + 65536]]).sum(1) for k in range(0, len(u), 65536)]) >= agree
+                u, v = u[same], v[same]
             u, v = a[0][u], b[0][v]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
-        for (_, *x), new in _runs(batches, ["pair", "i", "j", "part", "node", "n", "bits", "comp"]):
+        for (_, *x), new in _runs(batches, ["pair", "i", "j", "part", "node", "n", "bits", "low", "comp"]):
             if new and kept:
                 yield pairs(kept)
             kept = x if new else [np.concatenate(y) for y in zip(kept, x)]
         if kept:
             yield pairs(kept)
 
-    return tagged.repartition("pair").sortWithinPartitions("pair").mapInArrow(link, "a long, b long").distinct()
+    return tagged.repartition("pair").sortWithinPartitions("pair", "node").mapInArrow(link, "a long, b long").distinct()
 
 
-def _sets(batches):
-    for b in batches:
-        h, s = [], []
-        for t in b.column(0).to_pylist():
-            x = shingles(t)
-            h.append(int((mix(x).sum(dtype=np.uint64) ^ np.uint64(len(x))).view(np.int64)))
-            s.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s, pa.binary())], names=["node", "s"])
+def agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose minwise tokens agree in enough bytes. classes: node, low."""
+    agree = agreeing_for(percent)
+
+    def judge(batches):
+        for b in batches:
+            left, right = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, K) for c in b.columns[2:])
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array((left == right).sum(1) >= agree))
+
+    one, two = classes.select(F.col("node").alias("a"), F.col("low").alias("x")), classes.select(F.col("node").alias("b"), F.col("low").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def sets_of(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(node, s): the full sets of the classes ``wanted`` (node, first, k1, k2), read anew from their first row's text."""
+
+    def read(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["node", "s"])
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("first"), *text_keys(F.col(text)), F.col(text).cast("binary").alias("t")).where(F.col("t").isNotNull())
+    found = texts.join(bounded(wanted), ["first", "k1", "k2"]).select("node", "t").mapInArrow(read, "node long, s binary")
+    return stage(found.groupBy("node").agg(F.first("s").alias("s")), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,54 +332,72 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long, link boolean")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, trees: int | None = None, depth: int = 3, block: int = 512, row: str | None = None) -> DataFrame:
-    """Per input row: row, doc_id, n_shingles, set_hash, component_id, kept. ``row``: a column that numbers the rows, which then comes back. ``trees``: as many as ``percent`` needs, if None."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, trees: int | None = None, depth: int = 3, block: int = 512) -> DataFrame:
+    """Per input row: row_id, doc_id, k1 and k2 (a hash of the text), n_shingles, component_id, kept. ``trees``: as many as ``percent`` needs, if None."""
     trees = trees_for(percent, depth) if trees is None else trees
-    rows = sketches(docs, doc_id, text, row)
-    named = rows.where("set_hash is not null and doc_id is not null")
-    classes = stage(named.groupBy(F.col("set_hash").alias("node")).agg(F.min("doc_id").alias("first"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("mins").alias("mins")), "classes")
-    first = stage(forest(paths(classes.select("node", "n", "bits", "mins"), trees, depth), percent, block), "forest")
-    near, large = first.where("b is not null"), first.where("b is null").select(F.col("a").alias("key"))
-    if n_large := large.count():
-        keys = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
-        members = stage(paths(classes.select("node", "n", "bits", "mins"), trees, depth).join(keys, "key", "left_semi"), "large")
-        near = stage(near.union(lone(members, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), percent, block)), "near")
-    active = stage(near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(classes, "node"), "active")
-    ids = active.select(F.col("first").alias("__first"))
-    if active.count() <= BROADCAST_ROWS:  # ids of 8 bytes; beyond, the planner joins by shuffling
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).join(ids, F.col("id") == F.col("__first"), "left_semi").select("t")
-    sets = stage(texts.mapInArrow(_sets, "node long, s binary").join(active.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sketched = sketches(docs, doc_id, text)
+    by_set = ["n_shingles", "h1", "h2"]
+    rest = F.struct("row_id", "doc_id", "k1", "k2", "bits", "mins")
+    first = F.min_by(rest, F.struct("doc_id", "row_id"))
+    named = sketched.where("h1 is not null and doc_id is not null").groupBy(*by_set).agg(first.alias("x"), F.count("*").alias("size"))
+    classes = stage(named.select(F.col("x.row_id").alias("node"), *by_set, F.col("x.doc_id").alias("first"), "size", "x.k1", "x.k2", F.col("n_shingles").alias("n"), "x.bits", "x.mins", F.substring("x.mins", 1, K).alias("low")), "classes")
+    rows = stage(sketched.select("row_id", "doc_id", "k1", "k2", *by_set), "rows")
+    free(sketched)
+    large = large_nodes(classes, trees, depth, block)
+    near = stage(forest(nodes(classes, trees, depth, large, ("node", "n", "bits")), percent, block), "near")
+    if len(large) == depth and not large[-1].isEmpty():
+        members = stage(nodes(classes, trees, depth, large, ("node", "n", "bits")).join(bounded(large[-1]), "key", "left_semi"), "members")
+        more = near.union(lone(members, ends(near), percent, block))
+        near, before = stage(more, "near"), near
+        free(members, before)
+    active = stage(classes.join(bounded(stage(ends(near), "ends")), "node", "left_semi"), "active")
+    near, before = stage(agreeing(near, active, percent), "near"), near
+    free(before)
+    wanted = ("node", "first", "k1", "k2")
+    sets = sets_of(docs, doc_id, text, stage(active.join(ends(near), "node", "left_semi").select(*wanted), "wanted"))
     tried = stage(confirm(near, sets, percent), "tried")
-    links = tried.where("link").select("a", "b")
-    comps = components(links)
-    nodes = paths(active.select("node", "n", "bits", "mins"), trees, depth)
-    labelled = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = crossing(labelled, percent, block).join(tried, ["a", "b"], "left_anti")
-    more = stage(confirm(rest, sets, percent).where("link").select("a", "b"), "more")
+    free(near, sets)
+    comps = components(tried.where("link").select("a", "b"))
+    placed = nodes(active, trees, depth, large, ("node", "n", "bits", "low")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    more = stage(crossing(placed, percent, block).join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        comps = components(links.union(more))
-    linked = classes.select("node", "first", "size").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = linked.groupBy("comp").agg(F.min("first").alias("component_id"), F.sum("size").alias("members")).where("members > 1")
-    of = linked.join(least, "comp").select(F.col("node").alias("set_hash"), "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        sets = sets_of(docs, doc_id, text, stage(active.join(ends(more), "node", "left_semi").select(*wanted), "wanted"))
+        linked = stage(confirm(more, sets, percent).where("link").select("a", "b").union(tried.where("link").select("a", "b")), "linked")
+        free(sets, comps)
+        comps = components(linked)
+    free(active, tried, more, *large)
+    members = classes.join(comps, "node").select("comp", *by_set, "first", "size")
+    ids = members.groupBy("comp").agg(F.min("first").alias("component_id"))
+    # a class is a component of its own, unless it is linked; a hot class is spread over tasks
+    of = members.join(ids, "comp").select(*by_set, "component_id").union(classes.where("size > 1").join(comps, "node", "left_anti").select(*by_set, F.col("first").alias("component_id")))
+    of = stage(of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "components")
+    free(classes)
     salted = rows.withColumn("salt", F.when(F.col("doc_id").isNotNull(), (F.col("row_id") % SALTS).cast("int")))
-    out = salted.join(of, ["set_hash", "salt"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(F.col("row_id").alias("row"), "doc_id", "n_shingles", "set_hash", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = salted.join(of, [*by_set, "salt"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("row_id", "doc_id", "k1", "k2", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with all their columns; of rows that repeat such an id and text, one.
 
-    Kept rows are found by id and set; a repeated id whose texts lie in different components is judged for each text by itself."""
+    Rows go by id and text; a repeated id whose texts lie in different components is judged for each text by itself. Of rows that repeat an id and a text but differ in other columns any one stays."""
     columns = docs.columns
-    tag = "__webskein_row"
-    marked = stage(docs.withColumn(tag, F.monotonically_increasing_id()), "marked")
-    found = stage(near_duplicates(marked, doc_id, text, row=tag, **how).select("row", "doc_id", "set_hash", "kept"), "found")
-    copies = found.where("kept and doc_id is not null and set_hash is not null").groupBy("doc_id", "set_hash").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = found.where("kept").join(copies, ["doc_id", "set_hash"]).where("row <> first").select(F.col("row").alias(tag))
-    # what goes is the smaller part, and written, so that the planner knows its size
-    gone = stage(found.where("not kept").select(F.col("row").alias(tag)).union(again), "gone")
-    return marked.join(gone, tag, "left_anti").select(*(F.col(f"`{c}`") for c in columns))
+    a, b, c = keys = unused(columns, "near_id", "near_k1", "near_k2")
+    named = [F.col("doc_id").alias(a), F.col("k1").alias(b), F.col("k2").alias(c)]
+    found = stage(near_duplicates(docs, doc_id, text, **how).where("doc_id is not null and n_shingles > 0").select("doc_id", "k1", "k2", "kept"), "found")
+    gone = stage(found.where("not kept").select(*named).distinct(), "gone")
+    copies = stage(found.where("kept").groupBy("doc_id", "k1", "k2").count().where("count > 1").select(*named), "copies")
+    free(found)
+    k1, k2 = text_keys(F.col(f"`{text}`"))
+    marked = docs.withColumn(a, F.col(f"`{doc_id}`").cast("long")).withColumn(b, k1).withColumn(c, k2)
+    out = marked.join(bounded(gone), keys, "left_anti")
+    if not copies.isEmpty():
+        out = out.join(bounded(copies), keys, "left_anti").unionByName(out.join(bounded(copies), keys, "left_semi").dropDuplicates(keys))
+    return out.select(*(F.col(f"`{x}`") for x in columns))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

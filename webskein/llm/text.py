@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -41,3 +43,19 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
 def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
     """The sorted set of shingle hashes of a text."""
     return np.unique(rolled(hashes(words(text or b"")), width))
+
+
+def text_keys(text: Column) -> list[Column]:
+    """128 bits of a text, by which a later plan finds its row again."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, or longer ones that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
