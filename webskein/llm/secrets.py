@@ -6,10 +6,10 @@ values' hashes are then counted over all documents by distinct repositories and
 base spans and its owner-specific tokens that overlap no base span.
 
 Defined results. A null text is an empty one; a null repository or owner counts as none. Each input row gives one row, repeated and null ids
-included; a span is found anew in every row. Long texts are scanned whole. An empty table gives no rows. Only the named columns are read.
+included; a span is found anew in every row. Long texts are scanned whole. An empty table gives no rows. Only the named columns are read; others may have any names.
 
-Scale. The scan's narrow result is written once, so that texts are read once. Counting combines before its shuffle, and
-the join of counts back to candidates is salted, so that one value in a third of all documents is spread over tasks.
+Scale. The scan's narrow result is written once, so that texts are read once. Matches get their places by running sums over a text's sorted matches, so that work
+is linear in them. Counting combines before its shuffle, and the join of counts back to candidates is salted, so that one value in a third of all documents is spread over tasks.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webskein.plans.staging import stage
+from webskein.llm.text import text_keys, unused
+from webskein.plans.staging import free, stage
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 characters and more: the run is taken to its end
@@ -28,45 +30,37 @@ TOKEN = r"[A-Za-z0-9+_=-]{20,}"
 KINDS = ("assign", "access", "hex", "token")
 SALTS = 16
 SPAN = "struct<start:int,ord:int,end:int,value:string>"
+MATCHES = "array<struct<ord:int,pos:int,gap:int,match:string>>"
 
 
-def _found(text: Column, pattern: str) -> tuple[Column, Column]:
-    """The matches, and the text before each of them."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-
-
-def _spans(matches: str, before: str, order: int, value) -> Column:
-    """array<SPAN> from the matches and the pieces before them, in code points."""
-    steps = F.zip_with(F.slice(before, 1, F.size(matches)), F.col(matches), lambda a, m: F.struct(F.length(a).alias("gap"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+def matches(docs: DataFrame, text: str, keep: dict[str, Column]) -> DataFrame:
+    """keep's columns and ``m``: for each match of a pattern its kind, number, the code points since the match before, and the match."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    kinds = {"a": ASSIGN, "k": ACCESS, "h": HEX, "t": TOKEN}
+    found = docs.select(*(c.alias(n) for n, c in keep.items()), t.alias("whole"), *(F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias(n) for n, p in kinds.items()))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["match"])
-        one = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), value(x["match"]).alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one).cast(f"array<{SPAN}>")).alias("out"))
+    def steps(order: int, name: str, pattern: str) -> Column:
+        gaps = F.transform(F.split("whole", pattern, -1), F.length)
+        return F.when(F.size(name) > 0, F.transform(F.array(gaps), lambda gaps: F.transform(F.col(name), lambda m, i: F.struct(F.lit(order).alias("ord"), i.alias("pos"), F.get(gaps, i).alias("gap"), m.alias("match"))))[0]).otherwise(F.array().cast(MATCHES))
 
-    return F.when(F.size(matches) > 0, F.aggregate(steps, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return found.select(*keep, F.concat(*(steps(i, n, p) for i, (n, p) in enumerate(kinds.items()))).alias("m"))
 
 
-def find_spans(docs: DataFrame, text: str, keep: dict[str, Column]) -> DataFrame:
-    """keep's columns, ``base`` (sorted base spans) and ``tokens`` (candidates that overlap none), row by row."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    kinds = {"a": ASSIGN, "k": ACCESS, "h": HEX, "t": TOKEN}
-    found = docs.select(*(c.alias(n) for n, c in keep.items()), t.alias("whole"), *(_found(t, p)[0].alias(n) for n, p in kinds.items()))
-    cut = found.select(*keep, *kinds, *(F.when(F.size(n) > 0, _found(F.col("whole"), p)[1]).alias(f"{n}_cut") for n, p in kinds.items()))
-    same = lambda m: m
-    spans = cut.select(
-        *keep,
-        F.filter(_spans("a", "a_cut", 0, lambda m: F.regexp_extract(m, ASSIGN, 2)), lambda s: F.length(s["value"]) >= 6).alias("a"),
-        _spans("k", "k_cut", 1, same).alias("k"),
-        _spans("h", "h_cut", 2, same).alias("h"),
-        _spans("t", "t_cut", 3, same).alias("t"),
-    ).select(*keep, F.array_sort(F.concat("a", "k", "h")).alias("base"), "t")
-    digits, letters = (lambda v, c: F.length(v) - F.length(F.regexp_replace(v, c, "")) for _ in range(2))
-    mixed = lambda v: (digits(v, "[0-9]") >= 4) & (letters(v, "[A-Za-z]") >= 4)
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return spans.select(*keep, "base", F.filter("t", lambda s: mixed(s["value"]) & clear(s)).alias("tokens"))
+def found_spans(matched: DataFrame) -> DataFrame:
+    """row_id, repo, owner, ord, start, end, value, hash: all base spans, and the token candidates that overlap none. A text's matches are sorted, never compared in pairs."""
+    each = matched.where(F.size("m") > 0).select("row_id", "repo", "owner", F.explode("m").alias("x")).select("row_id", "repo", "owner", "x.*").repartition("row_id")
+    to_here = W.partitionBy("row_id", "ord").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    size = F.length("match")
+    placed = each.withColumn("end", F.sum(F.col("gap") + size).over(to_here).cast("int")).withColumn("start", (F.col("end") - size).cast("int"))
+    placed = placed.withColumn("value", F.when(F.col("ord") == 0, F.regexp_extract("match", ASSIGN, 2)).otherwise(F.col("match")))
+    count = lambda c: F.length(F.regexp_replace("value", f"[^{c}]", ""))
+    token = F.col("ord") == 3
+    placed = placed.where(F.when(F.col("ord") == 0, F.length("value") >= 6).when(token, (count("0-9") >= 4) & (count("A-Za-z") >= 4)).otherwise(True))
+    up, down = (W.partitionBy("row_id").orderBy(o).rangeBetween(W.unboundedPreceding, 0) for o in (F.asc("start"), F.desc("start")))
+    before, after = F.max(F.when(~token, F.col("end"))).over(up), F.min(F.when(~token, F.col("start"))).over(down)
+    placed = placed.withColumn("before", before).withColumn("after", after)
+    overlaps = F.coalesce(F.col("before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("after") < F.col("end"), F.lit(False))
+    return placed.where(~token | ~overlaps).select("row_id", "repo", "owner", "ord", "start", "end", "value", F.sha2("value", 256).alias("hash"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -74,24 +68,33 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("hash").agg(F.count("*").alias("n_rows"), F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "source", owner: str = "source", common: int = 3, row: str | None = None) -> DataFrame:
-    """Per input row: row_id, doc_id, ``base`` and ``spans`` (array of start, ord, end, value; ord counts KINDS), n_owned, n_copied. ``row``: a column that numbers the rows."""
-    keep = {"row_id": F.col(row) if row else F.monotonically_increasing_id(), "doc_id": F.col(doc_id), "repo": F.col(repo), "owner": F.col(owner)}
-    scanned = stage(find_spans(docs, text, keep), "spans")
-    each = scanned.where((F.size("base") > 0) | (F.size("tokens") > 0)).select("row_id", "repo", "owner", F.explode(F.concat("base", "tokens")).alias("s"))
-    each = each.withColumn("hash", F.sha2("s.value", 256))
-    counts = ownership(each).select("hash", ((F.col("n_repos") >= common) & (F.col("n_owners") >= common)).alias("copied"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    judged = each.withColumn("salt", (F.col("row_id") % SALTS).cast("int")).join(counts, ["hash", "salt"])
-    token = F.col("s.ord") == 3
+def judged_spans(docs: DataFrame, text: str, repo: str, owner: str, common: int, keep: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """All rows (row_id, keep's columns), and their spans (row_id, ord, start, end, value, copied); both staged."""
+    columns = {"row_id": F.monotonically_increasing_id(), "repo": F.col(repo), "owner": F.col(owner)} | keep
+    matched = stage(matches(docs, text, columns), "matches")
+    rows = stage(matched.select("row_id", *keep), "rows")
+    spans = stage(found_spans(matched), "spans")
+    free(matched)
+    counts = ownership(spans).select("hash", ((F.col("n_repos") >= common) & (F.col("n_owners") >= common)).alias("copied"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    judged = stage(spans.withColumn("salt", (F.col("row_id") % SALTS).cast("int")).join(counts, ["hash", "salt"]).select("row_id", "ord", "start", "end", "value", "copied"), "judged")
+    free(spans)
+    return rows, judged
+
+
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "source", owner: str = "source", common: int = 3) -> DataFrame:
+    """Per input row: row_id, doc_id, ``base`` and ``spans`` (array of start, ord, end, value; ord counts KINDS), n_owned, n_copied."""
+    rows, judged = judged_spans(docs, text, repo, owner, common, {"doc_id": F.col(doc_id)})
+    span = F.struct("start", "ord", "end", "value")
+    is_base = F.col("ord") < 3
     by_row = judged.groupBy("row_id").agg(
-        F.collect_list(F.when(token & ~F.col("copied"), F.col("s"))).alias("added"),
+        F.array_sort(F.collect_list(F.when(is_base, span))).alias("base"),
+        F.array_sort(F.collect_list(F.when(is_base | ~F.col("copied"), span))).alias("spans"),
         F.count_if(~F.col("copied")).alias("n_owned"),
         F.count_if(F.col("copied")).alias("n_copied"),
     )
-    none = F.array().cast(f"array<{SPAN}>")
-    return scanned.join(by_row, "row_id", "left").select(
-        "row_id", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"), F.coalesce("n_owned", F.lit(0)).alias("n_owned"), F.coalesce("n_copied", F.lit(0)).alias("n_copied")
-    )
+    none, zero = F.array().cast(f"array<{SPAN}>"), F.lit(0).cast("long")
+    found = rows.join(by_row, "row_id", "left")
+    return found.select("row_id", "doc_id", *(F.coalesce(c, none).alias(c) for c in ("base", "spans")), *(F.coalesce(c, zero).alias(c) for c in ("n_owned", "n_copied")))
 
 
 def written(spans: str | Column) -> Column:
@@ -100,31 +103,40 @@ def written(spans: str | Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["ord"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def masked(text: Column, spans: str, mark: str = "<secret>") -> Column:
-    """The text with each run of overlapping spans replaced by ``mark``."""
-    t = F.coalesce(text, F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def masked(text: Column, runs: str, mark: str = "<secret>", piece: int = 1024) -> Column:
+    """The text with each of ``runs`` (disjoint, by start) replaced by ``mark``. It is cut into pieces once, as a position within a long string is found by counting from its start."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+
+    def between(cut: Column, begin: Column, end: Column) -> Column:
+        first = F.floor(begin / piece).cast("int")
+        some = F.array_join(F.slice(cut, first + 1, F.floor(end / piece).cast("int") - first + 1), "")
+        return F.substr(some, begin - first * piece + 1, end - begin)
 
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(t, acc["at"] + 1, s["start"] - acc["at"])
-        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+    n, length = F.size(runs), F.length(text)
+    gap = lambda cut, i: between(cut, F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0), F.when(i < n, F.get(runs, i)["start"]).otherwise(length))
+    return F.transform(F.array(pieces), lambda cut: F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: gap(cut, i)), mark))[0]
 
-    whole = F.aggregate(spans, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
+def mask_secrets(docs: DataFrame, text: str = "text", size: str = "n_chars", repo: str = "source", owner: str = "source", common: int = 3) -> DataFrame:
+    """``docs`` with the spans of each text masked, and ``size``, where there is such a column, following; all other columns as they are, whatever their names.
 
-def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str = "n_chars", **how) -> DataFrame:
-    """``docs`` with the spans of each text masked, and ``size``, where there is such a column, following; all other columns as they are."""
-    columns, tag = docs.columns, "__webskein_row"
-    marked = stage(docs.withColumn(tag, F.monotonically_increasing_id()), "marked")
-    # rows with spans are few, and written, so that the planner knows their size before it moves texts
-    found = stage(scan_secrets(marked, doc_id, text, row=tag, **how).where(F.size("spans") > 0).select(F.col("row_id").alias("__row"), F.col("spans").alias("__spans")), "found")
-    hit = marked.join(found, F.col(tag) == F.col("__row"), "left")
+    Rows are found again by a 128-bit hash of their text, as equal texts have equal spans."""
+    columns = docs.columns
+    rows, judged = judged_spans(docs, text, repo, owner, common, dict(zip(("k1", "k2"), text_keys(F.col(f"`{text}`")))))
+    hidden = judged.where("ord < 3 or not copied")
+    by_start = W.partitionBy("row_id").orderBy("start", "ord")
+    opens = (F.col("start") >= F.coalesce(F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).cast("int")
+    runs = hidden.withColumn("opens", opens).withColumn("run", F.sum("opens").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("row_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    k1, k2, at, new = unused(columns, "secret_k1", "secret_k2", "secret_runs", "secret_text")
+    found = stage(rows.join(runs, "row_id").groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.first("runs").alias(at)), "found")
+    free(rows, judged)
+    one, two = text_keys(F.col(f"`{text}`"))
     # in a step of its own: a later column of the same step would see the new text within lambdas
-    hit = hit.withColumn("__new", F.when(F.col("__spans").isNotNull(), masked(F.col(f"`{text}`"), "__spans")).otherwise(F.col(f"`{text}`")))
-    length = F.when(F.col("__spans").isNotNull(), F.length("__new"))
-    special = {text: F.col("__new")} | ({size: F.coalesce(length, F.col(f"`{size}`")).cast(docs.schema[size].dataType)} if size in columns else {})
+    hit = docs.withColumn(k1, one).withColumn(k2, two).join(found, [k1, k2], "left")
+    hit = hit.withColumn(new, F.when(F.col(at).isNotNull(), masked(F.col(f"`{text}`"), at)).otherwise(F.col(f"`{text}`")))
+    length = F.when(F.col(at).isNotNull(), F.length(new))
+    special = {text: F.col(new)} | ({size: F.coalesce(length, F.col(f"`{size}`")).cast(docs.schema[size].dataType)} if size in columns else {})
     return hit.select(*(special.get(c, F.col(f"`{c}`")).alias(c) for c in columns))
 
 
