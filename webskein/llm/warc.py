@@ -5,8 +5,10 @@
 capture through ``WARC-Concurrent-To`` and emits one nested row per capture.
 
 Defined results. A null payload is an empty one, a null url an empty target. A row without page id is always a response.
-A page id and payload that occur in several rows make one capture per distinct url. Payloads under ``min_revisit_bytes``
-are never revisited. An empty table gives no archives and no rows. Columns other than the three named are not read.
+Each input row makes one capture, rows that repeat another one wholly too: record ids hold the row's place in the input, so that these come back apart; of several rows of
+the smallest page id all are responses, and revisits name the first. Payloads under ``min_revisit_bytes`` are never revisited. A very long payload is held whole, as one record, by the task that writes or reads it.
+An empty table gives no archives and no rows. Columns other than the three named are not read, whatever their names.
+A place is that in the input's partitions: a scan of files has the same ones whenever it is read; an input that is shuffled without an order is to be staged first.
 
 Scale. Payloads move at most once: the table of repeated payloads is narrow and is written first, so the planner
 broadcasts it if its size allows and shuffles otherwise (its hot digests are salted). A task streams: it holds one record when
@@ -41,9 +43,9 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def record_id(kind: str, page: object, url: str, digest: str) -> str:
+def record_id(kind: str, row: int, page: object, url: str, digest: str) -> str:
     """The same for every attempt of a task, so that a revisit can name a record that another task writes."""
-    return "<urn:uuid:" + str(uuid.UUID(bytes=hashlib.sha256(f"{kind}\0{page}\0{url}\0{digest}".encode()).digest()[:16])) + ">"
+    return "<urn:uuid:" + str(uuid.UUID(bytes=hashlib.sha256(f"{kind}\0{row}\0{page}\0{url}\0{digest}".encode()).digest()[:16])) + ">"
 
 
 def _member(kind: str, rid: str, fields: list[tuple[str, str]], content_type: str, block: list[bytes]) -> bytes:
@@ -61,10 +63,10 @@ def _line(url: str) -> str:
     return url.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def capture(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, first_url: str | None) -> list[bytes]:
+def capture(row: int, page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, first_url: str | None, first_row: int | None) -> list[bytes]:
     """The three records of a capture. first: the page that this one revisits."""
     url = _line(url or "")
-    rid = record_id("response", page, url, digest)
+    rid = record_id("response", row, page, url, digest)
     path = url.split("://", 1)[-1]
     host, _, rest = path.partition("/")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -74,14 +76,14 @@ def capture(page: int | None, url: str | None, payload: bytes, digest: str, firs
         main = _member("response", rid, fields, "application/http; msgtype=response", [http, payload])
     else:
         note += f"refers-to-page-id: {first}\r\n"
-        fields += [("WARC-Refers-To", record_id("response", first, _line(first_url or ""), digest)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        fields += [("WARC-Refers-To", record_id("response", first_row, first, _line(first_url or ""), digest)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         main = _member("revisit", rid, fields, "application/http; msgtype=response", [http])
     beside = [("WARC-Target-URI", url), ("WARC-Concurrent-To", rid)]
     request = f"GET /{rest} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()
     return [
-        _member("request", record_id("request", page, url, digest), beside, "application/http; msgtype=request", [request]),
+        _member("request", record_id("request", row, page, url, digest), beside, "application/http; msgtype=request", [request]),
         main,
-        _member("metadata", record_id("metadata", page, url, digest), beside, "application/warc-fields", [note.encode()]),
+        _member("metadata", record_id("metadata", row, page, url, digest), beside, "application/warc-fields", [note.encode()]),
     ]
 
 
@@ -89,12 +91,12 @@ def write_archives(pages: DataFrame, out: str, page_id: str = "page_id", url: st
     """Write a capture per row below ``out``; return the manifest of the finished files (path, records, bytes).
 
     Writing is an action of this call. ``file_mb``: a task starts another file beyond so many compressed megabytes."""
-    p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(body), F.lit("")).cast("binary").alias("payload"))
-    p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("salt", F.abs(F.xxhash64("page_id", "url")) % SALTS)
-    seen = p.where((F.octet_length("payload") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
-    first = stage(seen.where("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), "first")
+    p = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(body), F.lit("")).cast("binary").alias("payload"))
+    p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    seen = p.where((F.octet_length("payload") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "row", "url")).alias("first"), F.count("*").alias("n"))
+    first = stage(seen.where("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first.row").alias("first_row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), "first")
     revisits = F.col("page_id") != F.col("first_id")
-    rows = p.join(first, ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", F.when(revisits, F.col("first_id")).alias("first_id"), F.when(revisits, F.col("first_url")).alias("first_url"))
+    rows = p.join(first, ["digest", "salt"], "left").select("row", "page_id", "url", "payload", "digest", F.when(revisits, F.col("first_id")).alias("first_id"), F.when(revisits, F.col("first_url")).alias("first_url"), F.when(revisits, F.col("first_row")).alias("first_row"))
 
     def write(batches):
         files, base = _open(out)
@@ -102,11 +104,11 @@ def write_archives(pages: DataFrame, out: str, page_id: str = "page_id", url: st
         token, seen, sink, name, records, size = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", set(), None, "", 0, 0
         done, part = [], 0
         for b in batches:
-            for page, at, payload, digest, ref, ref_url in zip(*(c.to_pylist() for c in b.columns)):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
                 if sink is None:
                     name = f"{base}/{token}-{part:04d}.warc.gz"
                     sink, records, size, part = files.open_output_stream(name, compression=None), 0, 0, part + 1
-                for x in capture(page, at, payload, digest, ref, ref_url):
+                for x in capture(*row):
                     sink.write(x)
                     records, size = records + 1, size + len(x)
                 if size > file_mb << 20:
