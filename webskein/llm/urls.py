@@ -5,9 +5,9 @@ of those they block: p_k(c | last k) = (n + D * p_{k-1}(c)) / (T + D) from order
 The score is the mean over the url's symbols of log(p_allowed / p_blocked). About 3 of 16 ruled urls, by digest, are kept from training; the middle between the mean
 scores of their two classes is the threshold (0 without both classes).
 
-Model text: the url after ``://``, A-Z lower-cased, digits as one symbol, with three starts before and an end after.
+Model text: the url after ``://`` (all of it, if it has none), A-Z lower-cased, digits as one symbol, with three starts before and an end after.
 
-Defined results. A url that is null or without ``://`` has empty host and path; an empty host is blocked unless a rule fits it. Without any ruled url all scores are 0: allowed.
+Defined results. A url that is null or without ``://`` has empty host and path; no rule fits it, so the models judge it like any other; a null url is an empty text. Without any ruled url all scores are 0: allowed.
 Each input row gives one row, repeated and null ids included. Long urls are taken whole. An empty table gives no rows. Only the named columns are read.
 
 Scale. Character windows are counted before any shuffle. The models live in tables by window, never on the driver; a url's windows are joined with the
@@ -31,11 +31,11 @@ SALTS = 8
 
 
 def host_and_path(url: Column) -> tuple[Column, Column, Column]:
-    """Host, path, and all after ``://``; empty where there is none."""
+    """Host and path, empty where there is no ``://``, and the model's text."""
     after = F.when(F.locate("://", url) > 0, F.substr(url, F.locate("://", url) + 3)).otherwise("")
     host = F.regexp_extract(after, "^[^/?#]*", 0)
     path = F.regexp_extract(F.substr(after, F.length(host) + 1), r"^[^?#]*", 0)
-    return F.translate(host, UPPER, LOWER), path, F.translate(F.translate(after, UPPER, LOWER), "123456789", "0" * 9)
+    return F.translate(host, UPPER, LOWER), path, F.translate(F.translate(F.when(F.locate("://", url) > 0, after).otherwise(url), UPPER, LOWER), "123456789", "0" * 9)
 
 
 def fitting(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -92,14 +92,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     held = F.substr(F.md5(F.col("t").cast("binary")), F.lit(1), F.lit(1)).isin("0", "1", "2")
     rows = stage(rows.select("*", name.alias("rule"), verdict.alias("ruled"), held.alias("held")), "urls")
     keys, totals = models(rows.where("ruled is not null and not held").select((F.col("ruled") == "allow").alias("allowed"), F.explode(windows(F.col("t"))).alias("w")))
-    judged = rows.where("(ruled is null or held) and host <> ''").select("row_id", F.explode(windows(F.col("t"))).alias("w"))
+    judged = rows.where("ruled is null or held").select("row_id", F.explode(windows(F.col("t"))).alias("w"))
     scores = window_scores(judged.select("w").distinct(), keys, totals).select("w", "lr", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     # exploded rows look as small to the planner as what they come from: they are merged, never broadcast
     by_row = stage(judged.withColumn("salt", (F.col("row_id") % SALTS).cast("int")).hint("merge").join(scores.hint("merge"), ["w", "salt"]).groupBy("row_id").agg(F.avg("lr").alias("score")), "scores")
     scored = rows.join(by_row, "row_id", "left")
     fit = scored.where("held and ruled is not null").agg(F.avg(F.when(F.col("ruled") == "allow", F.col("score"))), F.avg(F.when(F.col("ruled") == "block", F.col("score")))).first()
     threshold = (fit[0] + fit[1]) / 2 if fit[0] is not None and fit[1] is not None else 0.0
-    by_method = F.when((F.col("host") != "") & (F.coalesce("score", F.lit(0.0)) >= threshold), "allow").otherwise("block")
+    by_method = F.when(F.coalesce("score", F.lit(0.0)) >= threshold, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"), "score", F.lit(threshold).alias("threshold"))
 
 
@@ -122,10 +122,11 @@ def _sql() -> str:
     joins = " ".join(f"LEFT JOIN n n{k} ON n{k}.w = substr(u.w, {ORDER + 2 - k})" for k in range(1, ORDER + 2))
     joins += " " + " ".join(f"LEFT JOIN c c{k} ON c{k}.w = substr(u.w, {ORDER + 1 - k}, {k})" for k in range(1, ORDER + 1))
     return f"""
-WITH s AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS after FROM pages),
+WITH s AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS after,
+      CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE coalesce(url, '') END AS body FROM pages),
 h AS (SELECT page_id, after, translate(regexp_extract(after, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
       regexp_extract(substr(after, length(regexp_extract(after, '^[^/?#]*')) + 1), '^[^?#]*') AS path,
-      translate(translate(after, '{UPPER}', '{LOWER}'), '123456789', '000000000') AS t FROM s),
+      translate(translate(body, '{UPPER}', '{LOWER}'), '123456789', '000000000') AS t FROM s),
 r AS (SELECT row_number() OVER () AS i, *, CASE {rule} END AS rule, CASE {ruled} END AS ruled, substr(md5(t), 1, 1) IN ('0', '1', '2') AS held FROM h),
 x AS (SELECT *, repeat(chr(2), {ORDER}) || t || chr(3) AS padded FROM r),
 e AS (SELECT *, unnest(list_transform(range(1, length(t) + 2), lambda i: substr(padded, i, {ORDER + 1}))) AS w FROM x),
@@ -133,11 +134,11 @@ g4 AS (SELECT w, count(*) FILTER (WHERE ruled = 'allow') AS a, count(*) FILTER (
 n AS (SELECT substr(w, k) AS w, sum(a) AS a, sum(b) AS b FROM g4, range(1, {ORDER + 2}) q(k) GROUP BY ALL),
 c AS (SELECT substr(w, 1, length(w) - 1) AS w, sum(a) AS a, count(*) FILTER (WHERE a > 0) AS da, sum(b) AS b, count(*) FILTER (WHERE b > 0) AS db FROM n GROUP BY ALL),
 g AS (SELECT coalesce(sum(a), 0) AS ta, count(*) FILTER (WHERE a > 0) AS da, coalesce(sum(b), 0) AS tb, count(*) FILTER (WHERE b > 0) AS db FROM n WHERE length(w) = 1),
-u AS (SELECT DISTINCT w FROM e WHERE (ruled IS NULL OR held) AND host <> ''),
+u AS (SELECT DISTINCT w FROM e WHERE ruled IS NULL OR held),
 lr AS (SELECT u.w, ln({p("a")}) - ln({p("b")}) AS lr FROM u CROSS JOIN g {joins}),
-sc AS (SELECT i, avg(lr) AS score FROM e JOIN lr USING (w) WHERE (ruled IS NULL OR held) AND host <> '' GROUP BY i),
+sc AS (SELECT i, avg(lr) AS score FROM e JOIN lr USING (w) WHERE ruled IS NULL OR held GROUP BY i),
 th AS (SELECT coalesce((avg(score) FILTER (WHERE ruled = 'allow') + avg(score) FILTER (WHERE ruled = 'block')) / 2, 0) AS t FROM r JOIN sc USING (i) WHERE held)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host <> '' AND coalesce(score, 0) >= (SELECT t FROM th) THEN 'allow' ELSE 'block' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(score, 0) >= (SELECT t FROM th) THEN 'allow' ELSE 'block' END) AS verdict
 FROM r LEFT JOIN sc USING (i)
 """
 
