@@ -9,7 +9,8 @@ Prediction reads whole texts. As the softmax layer is linear, the embedding tabl
 and a column for each language, which the tasks get.
 
 Defined results. A null text, or one without a letter, is ``und`` with score 0. If no row is labelled, every text is ``und``.
-Labels beyond the ``most`` most frequent are not learned. Each input row gives one row; repeated rows give equal ones. A null id is never held out.
+All labels of the drawn rows are learned, however many. Equal probabilities go to the first label by name. An empty table
+gives no rows. Each input row gives one row; repeated rows give equal ones. A null id is never held out.
 Only the named columns are read.
 """
 
@@ -118,12 +119,11 @@ def drawn(rows: DataFrame, key: Column, n: int, sample: int, salt: str) -> DataF
     return rows if share == 1.0 else rows.where(F.xxhash64(key.cast("string"), F.lit(salt)) < F.lit(int(-(2**63) + share * 2.0**64)))
 
 
-def train(docs: DataFrame, labelled: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000, most: int = 200) -> Model:
+def train(docs: DataFrame, labelled: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000) -> Model:
     """Fit on at most ``sample`` rows of those that ``labelled`` admits; the driver holds these rows alone."""
     rows = docs.where(labelled & F.col(lang).isNotNull())
-    names = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most).collect()}
-    taken = drawn(rows.where(F.col(text).isNotNull()), F.col(doc_id), sum(names.values()), sample, "langid").select(F.col(lang).alias("lang"), F.col(text).alias("text")).collect()
-    taken = sorted((r.text, r.lang) for r in taken if r.lang in names and LETTER.search(r.text))[:sample]
+    taken = drawn(rows.where(F.col(text).isNotNull()), F.col(doc_id), rows.count(), sample, "langid").select(F.col(lang).alias("lang"), F.col(text).alias("text")).collect()
+    taken = sorted((r.text, r.lang) for r in taken if LETTER.search(r.text))[:sample]
     return fit([t for t, _ in taken], [x for _, x in taken])
 
 
