@@ -1,9 +1,12 @@
 """BPE as a bounded-lookahead streaming transducer, with an incremental decoder.
 
 ``lookahead`` is computed from the merge list: how far to the left what follows can still change tokens. A merge rule (w, x) of some rank can free or
-feed only rules of later rank whose right side begins with w, so that a longest chain of rules of rising rank bounds the reach; the longest token is added. ``encode_symbols``
-reads symbols into a window of at most twice that length, emits every token that ends before the lookahead, and goes on from the last boundary emitted: memory
-is constant however long a word is. As words end at blanks, words (and what stands between blanks) are memoised in a table of bounded size.
+feed only rules of later rank whose right side begins with w, so that a longest chain of rules of rising rank bounds the reach; the longest token is added.
+
+One path serves every text. ``Transducer`` takes text piece by piece. It cuts where neither normalising nor a special token can reach across, splits what is certain into words, and carries an unfinished word on; a word longer than a
+piece goes on as symbols. ``window`` reads a word's symbols, emits every token that ends before the lookahead as soon as twice that length is read, goes on from the last boundary
+emitted, and empties at the word's end. Short words come from a small memo of what the window gave. Memory is constant however long a text or a word is
+(only a run of combining marks is held whole).
 
 ``Decoder`` is a state machine that turns one id after the other into text: as the tokenizers library does without a decoder (tokens joined by blanks), or from the byte alphabet into UTF-8
 text, where it holds at most three bytes of an unfinished character.
@@ -11,7 +14,7 @@ text, where it holds at most three bytes of an unfinished character.
 Supported files: BPE with a byte alphabet, optional end-of-word suffix, special tokens taken from raw text, and the normalising and splitting steps of ``word_bpe_49k.json``; others are refused.
 
 Defined results. A null text is an empty one: no ids, the digests of nothing. Each input row gives one row, repeated and null ids included. Whole texts of any
-length are read. An empty table gives no rows. Only the two named columns are read.
+length are read. An empty table gives no rows. Only the named columns are read; kept ones may have any names but those of the results.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,13 @@ CONTROL = re.compile("[\x1c-\x1f]")
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 ANY_WORD = regex.compile(WORD.replace(r"\s", BLANK))
-MEMO = 700_000
+#: Runs of the same class, that a cut within a word goes on with: letters, or neither letters, numbers nor blanks.
+LETTERS, OTHERS = regex.compile(r"\p{L}+"), regex.compile(rf"[^{BLANK}\p{{L}}\p{{N}}]+")
+MEMO = 1 << 17  # words
+MEMO_LENGTH = 48
+PIECE = 1 << 16
 NEVER = 1 << 60
+HEAP = 96  # symbols from which merging takes a heap
 
 
 def byte_alphabet() -> list[str]:
@@ -84,9 +94,12 @@ class Bpe:
         one = lambda s: s[: -len(self.suffix) - 1] + chr(0xE000 + ord(s[-len(self.suffix) - 1])) if self.suffix and s.endswith(self.suffix) else s
         self.lookahead = lookahead([(one(a), one(b)) for a, b in merges])
         self.memo: dict[str, bytes] = {}
+        self.early = self.ended = 0  # tokens given out before their word's end; words that ended
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges within a window, lowest rank first, leftmost first."""
+        if len(ids) > HEAP:
+            return self.merge_long(ids)
         get = self.ranks.get
         found = [get(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:])]
         while found and (best := min(found)) != NEVER:
@@ -99,20 +112,25 @@ class Bpe:
                 found[i] = get(new << 20 | ids[i + 1], NEVER)
         return ids
 
-    def encode_symbols(self, symbols, length):
-        """Tokens of a stream of symbols, each as soon as it is stable. length: symbols of each token, by id."""
-        window: list[int] = []
-        for s in symbols:
-            window.append(s)
-            if len(window) >= 2 * self.lookahead:
-                at = 0
-                for t in self.merge(window[:]):
-                    if at + length(t) > len(window) - self.lookahead:
-                        break
-                    at += length(t)
-                    yield t
-                window = window[at:]
-        yield from self.merge(window)
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap of pairs and a linked list of symbols."""
+        get, n = self.ranks.get, len(ids)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1], NEVER)) != NEVER]
+        heapify(heap)
+        while heap:
+            best, i, a, b = heappop(heap)
+            j = after[i]
+            if j < 0 or ids[i] != a or ids[j] != b:
+                continue
+            ids[i], ids[j] = best & 0xFFFFF, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0 and y >= 0 and (r := get(ids[x] << 20 | ids[y], NEVER)) != NEVER:
+                    heappush(heap, (r, x, ids[x], ids[y]))
+        return [x for x in ids if x >= 0]
 
     def width(self, token: int) -> int:
         """Symbols of a token."""
@@ -121,11 +139,8 @@ class Bpe:
 
     def word(self, w: str) -> bytes:
         """The ids of a word, as little-endian 32-bit integers."""
-        raw = w.encode()
-        inner = self.inner
-        symbols = [inner[b] for b in raw]
-        symbols[-1] = self.last[raw[-1]]
-        return array("I", self.merge(symbols) if len(symbols) < 2 * self.lookahead else self.encode_symbols(symbols, self.width)).tobytes()
+        x = Window(self)
+        return array("I", x.push(w) + x.end()).tobytes()
 
     def chunk(self, c: str) -> bytes:
         """The ids of what stands between blanks."""
@@ -134,33 +149,140 @@ class Bpe:
         else:
             get, parts = self.memo.get, ASCII_WORD.findall(c) if c.isascii() else ANY_WORD.findall(c)
             out = b"".join([get(w) or self.word(w) for w in parts])
-        if len(c) <= 64:
+        if len(c) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[c] = out
         return out
 
-    def plain(self, text: str) -> bytes:
-        """A stretch without special tokens."""
+    def stream(self, text: str | None) -> Iterator[bytes]:
+        """Ids of a whole text piece by piece, as little-endian 32-bit integers."""
+        t = Transducer(self)
+        if len(text or "") <= PIECE:
+            t.raw = text or ""
+            yield from t.end()
+            return
+        for at in range(0, len(text), PIECE):
+            yield from t.push(text[at : at + PIECE])
+        yield from t.end()
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(self.stream(text))
+
+
+class Window:
+    """A word's symbols, of which at most twice the lookahead are held. push() gives the tokens that are stable, end() the rest."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe, self.held, self.last = bpe, [], -1  # the last byte waits, as its symbol is another one at the word's end
+
+    def push(self, part: str) -> list[int]:
+        bpe, raw = self.bpe, part.encode()
+        if self.last >= 0:
+            self.held.append(bpe.inner[self.last])
+        self.held += [bpe.inner[b] for b in raw[:-1]]
+        self.last = raw[-1]
+        out, full = [], 2 * bpe.lookahead
+        while len(self.held) >= full:
+            at = 0
+            for t in bpe.merge(self.held[:full]):
+                n = bpe.width(t)
+                if at + n > full - bpe.lookahead:
+                    break
+                at += n
+                out.append(t)
+                bpe.early += 1
+            del self.held[:at]
+        return out
+
+    def end(self) -> list[int]:
+        self.bpe.ended += 1
+        return self.bpe.merge([*self.held, self.bpe.last[self.last]])
+
+
+def apart(c: str) -> bool:
+    """Whether normalising never joins a character to what is before it."""
+    return c < "\u0300" or not (unicodedata.category(c)[0] == "M" or "\u1100" <= c <= "\u11ff")
+
+
+class Transducer:
+    """push() takes text and gives the ids that are certain by then, end() the rest.
+
+    Its state: raw text that what follows may still change, an unfinished word, and, of a word longer than a piece, the window that its symbols go through."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+        self.raw = self.open = ""
+        self.back = max(map(len, bpe.special), default=0)
+        self.window: Window | None = None
+        self.same = LETTERS  # the class of a long word's signs
+
+    def push(self, text: str) -> Iterator[bytes]:
+        self.raw += text
+        cut = len(self.raw) - self.back
+        while cut > 0:
+            across = [m.start() for m in self.bpe.cut.finditer(self.raw, max(0, cut - self.back + 1), cut + self.back - 1) if m.start() < cut < m.end()] if self.bpe.cut else []
+            if across:
+                cut = across[0]
+                continue
+            if apart(self.raw[cut]):
+                break
+            cut -= 1
+        if cut > 0:
+            sure, self.raw = self.raw[:cut], self.raw[cut:]
+            yield from self.pieces(sure, False)
+
+    def end(self) -> Iterator[bytes]:
+        sure, self.raw = self.raw, ""
+        yield from self.pieces(sure, True)
+
+    def pieces(self, text: str, final: bool) -> Iterator[bytes]:
+        at = 0
+        for m in self.bpe.cut.finditer(text) if self.bpe.cut else ():
+            yield from self.plain(text[at : m.start()], True)
+            yield self.bpe.special[m.group()].to_bytes(4, "little")
+            at = m.end()
+        yield from self.plain(text[at:] if at else text, final)
+
+    def plain(self, text: str, final: bool) -> Iterator[bytes]:
+        """A stretch without special tokens; ``final``: its last word ends with it."""
         if text.isascii():
             text = text.lower()
-            parts = CHUNK.findall(text) if CONTROL.search(text) else text.split()
         else:
             # character by character: without the rule for a final sigma
-            parts = CHUNK.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        get, chunk = self.memo.get, self.chunk
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if self.window:
+            m = self.same.match(text)
+            stop = m.end() if m else 0
+            if stop:
+                yield from self.go_on(text[:stop])
+            if stop == len(text) and not final:
+                return
+            yield array("I", self.window.end()).tobytes()
+            self.window, text = None, text[stop:]
+        text, self.open = self.open + text, ""
+        parts = text.split() if text.isascii() and not CONTROL.search(text) else CHUNK.findall(text)
+        if final or not parts or not text.endswith(parts[-1]):
+            yield self.joined(parts)
+            return
+        words = ANY_WORD.findall(parts.pop())
+        self.open = words.pop()
+        if self.open in ("r", "v", "l") and words and words[-1] == "'":  # perhaps 're, 've or 'll
+            self.open = words.pop() + self.open
+        yield self.joined(parts)
+        yield self.joined(words)
+        if len(self.open) >= PIECE:
+            self.same = LETTERS if LETTERS.match(self.open) else OTHERS
+            self.window, part, self.open = Window(self.bpe), self.open, ""
+            yield from self.go_on(part)
+
+    def joined(self, parts: list[str]) -> bytes:
+        get, chunk = self.bpe.memo.get, self.bpe.chunk
         return b"".join([get(p) or chunk(p) for p in parts])
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, as little-endian 32-bit integers."""
-        text = text or ""
-        if not self.cut or not self.cut.search(text):
-            return self.plain(text)
-        out, at = [], 0
-        for m in self.cut.finditer(text):
-            out += [self.plain(text[at : m.start()]), self.special[m.group()].to_bytes(4, "little")]
-            at = m.end()
-        return b"".join([*out, self.plain(text[at:])])
+    def go_on(self, part: str) -> Iterator[bytes]:
+        for at in range(0, len(part), 4096):
+            yield array("I", self.window.push(part[at : at + 4096])).tobytes()
 
 
 class Decoder:
@@ -171,7 +293,7 @@ class Decoder:
         self.rest = codecs.getincrementaldecoder("utf-8")("replace")
         self.of = {c: b for b, c in enumerate(byte_alphabet())}
 
-    def push(self, ids: list[int]) -> str:
+    def push(self, ids: list[int] | array) -> str:
         if not ids:
             return ""
         if self.joined:
@@ -204,8 +326,6 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
-STEP = 1 << 16
-
 
 def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, keep: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, keep's columns, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids. path: the tokenizer's file, at the same place on all executors."""
@@ -216,13 +336,16 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
         bpe = load(path)
         for b in batches:
             n, one, two, ids = [], [], [], []
-            for t in b.column(b.num_columns - 1).to_pylist():
-                raw = bpe.encode(t)
-                decoder, said = Decoder(bpe), hashlib.sha256()
-                for at in range(0, len(raw), 4 * STEP):
-                    said.update(decoder.push(np.frombuffer(raw[at : at + 4 * STEP], "<u4").tolist()).encode())
+            for t in b.column(b.num_columns - 1):
+                decoder, raw, said, count, own = Decoder(bpe), hashlib.sha256(), hashlib.sha256(), 0, []
+                for part in bpe.stream(t.as_py()):
+                    raw.update(part)
+                    said.update(decoder.push(array("I", part)).encode())
+                    count += len(part) // 4
+                    if with_ids:
+                        own.append(part)
                 said.update(decoder.end().encode())
-                n.append(len(raw) // 4), one.append(hashlib.sha256(raw).hexdigest()), two.append(said.hexdigest()), ids.append(raw)
+                n.append(count), one.append(raw.hexdigest()), two.append(said.hexdigest()), ids.append(b"".join(own))
             cols = [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
             names = [*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
