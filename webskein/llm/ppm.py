@@ -1,19 +1,18 @@
 """Language-model scoring: prediction by partial matching over bytes, beside a word unigram base.
 
-The model is a byte-context trie of depth 3 (contexts of two bytes), pretrained on all training documents. Symbols are the bytes
+The model is a byte-context trie pretrained on all training documents, with contexts of ``DEEP`` = 5 bytes, and of 2, 1 and none. Symbols are the bytes
 of the text with A-Z lower-cased and an end; no UTF-8 text holds 0xFE and 0xFF, so these stand for what is before the start and for the end. A symbol unseen in a context escapes
 to the next shorter one, with the escape estimate D / (T + D) (D distinct symbols, T occurrences), where the symbols of the longer context are excluded from the shorter one's counts.
 Below order 0 all remaining symbols are equally likely. ``score`` is the log10 probability of the text and its end.
 
-A trie of this depth has at most 2**16 contexts of 2**8 symbols: 67 MB as a table of log probabilities, which bounds the broadcast whatever the corpus.
-Counts cover all training documents.
+The trie's upper part has at most 2**16 contexts of 2**8 symbols: two tables of 67 MB, which bounds the broadcast whatever the corpus. The contexts of five bytes grow with the corpus, and so do the words of the base
+(n_tokens, n_known, train_tokens, base_score); no bound holds for either, and they stay distributed. A task codes its texts in batches of about ``batch_mb`` and writes them with tables of their own: distinct words, grams and contexts.
+These tables, not the texts, are joined with the counts over the corpus, and come back to the texts by batch, where symbols find their grams by hashing. A hot word or context is one row for a batch, however often it
+occurs; a context's symbols, 256 at most, move as one value.
 
-The base (n_tokens, n_known, train_tokens, base_score) has counts of whole words over all training documents, which no bound holds: they stay
-distributed. A task codes its words by tables of its own, one for about ``batch_mb`` of text, and writes them; the tables' words, not the texts' tokens, are joined with
-the counts and come back to the coded texts by batch. A hot word is one row for a batch, however often it occurs.
-
-Defined results. A null text is an empty one: its end is its only token. Each input row gives one row, repeated ids included. A null id is in
-training. Without training tokens N and V are 0: every symbol is equally likely. An empty table gives no rows. Only the two named columns are read.
+Defined results. A null text is an empty one: its end is its only token and symbol. Each input row gives one row, repeated ids included. A null id is in
+training. Without training tokens N and V are 0: every symbol is equally likely. Very long texts are scored whole; a task holds the batch that ends with one. An empty table gives no rows. Only the two named columns are read. Words are
+counted by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,94 +26,127 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from webskein.llm.text import hashes, words
-from webskein.plans.staging import stage
+from webskein.llm.text import GOLD, hashes, words
+from webskein.plans.staging import free, stage
 
 END_WORD = np.uint64(xxh3_64_intdigest(b"\xff"))  # no word has this byte
 START, END = 0xFE, 0xFF
-CODED = "batch long, doc_id array<long>, text_hash array<long>, held_out array<boolean>, n_tokens array<int>, tokens binary, words binary, counts binary, grams binary, gram_counts binary"
+DEEP = 5
+LISTS = "batch long, doc_id array<long>, held_out array<boolean>, n_tokens array<int>"
+BINARY = ("symbols", "tokens", "words", "word_counts", "contexts", "grams", "gram_counts", "short", "short_counts")
+CODED = ", ".join([LISTS, *(f"{x} binary" for x in BINARY)])
+STEP = 1 << 20
 
 
 def is_held_out(doc_id: int | None, parts: int, rest: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % parts == rest
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Code of each symbol with the two before it, the end's last; 24 bits."""
-    a = np.frombuffer(bytes((START, START)) + text.lower() + bytes((END,)), np.uint8).astype(np.uint32)
-    return a[:-2] << np.uint32(16) | a[1:-1] << np.uint32(8) | a[2:]
+def wrapped(text: bytes) -> bytes:
+    return bytes((START,)) * DEEP + text.lower() + bytes((END,))
+
 
+def grams(a: np.ndarray) -> np.ndarray:
+    """Each symbol with the DEEP ones before it, 48 bits, from the first that has so many. a: texts as wrapped() gives them, joined."""
+    out = np.zeros(len(a) - DEEP, np.int64)
+    for i in range(DEEP + 1):
+        out <<= 8
+        out |= a[i : i + len(out)]
+    return out
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return code, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(code)).astype(np.int64)
+
+def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with their counts' sums."""
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _coder(parts: int, rest: int, batch_mb: int):
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * len(BINARY)]
     names = [x.split()[0] for x in CODED.split(", ")]
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 5]
-
-    def row(values: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
     def run(batches):
-        first, k = TaskContext.get().partitionId() << 32, 0
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        ids, sums, held, lengths, coded, codes, size = [], [], [], [], [], [], 0
+        first, k, size = TaskContext.get().partitionId() << 32, 0, 0
+        ids, held, lengths, coded, texts = [], [], [], [], []
 
         def flush():
             nonlocal k, size
+            learned = ~np.array(held, bool)
             table, tokens = np.unique(np.concatenate(coded), return_inverse=True)
-            learned = np.repeat(~np.array(held, bool), lengths)
-            counts = np.bincount(tokens[learned], minlength=len(table)).astype("<i8")
-            if codes:
-                g, n = np.unique(np.concatenate(codes), return_counts=True)
-                found.append((g, n))
-            if len(found) > 8:
-                found[:] = [_merged(found)]
-            out = row([first + k, list(ids), list(sums), list(held), list(lengths), tokens.astype("<u4").tobytes(), table.tobytes(), counts.tobytes(), None, None])
+            counts = np.bincount(tokens[np.repeat(learned, lengths)], minlength=len(table))
+            a = np.frombuffer(b"".join(texts), np.uint8)
+            g = grams(a)
+            of = np.repeat(learned, [len(t) for t in texts])[DEEP:]
+            symbol = a[DEEP:] != START
+            code, n = np.unique(g[symbol & of], return_counts=True)
+            unseen = np.unique(g[symbol & ~of] >> 8)
+            contexts = np.unique(np.concatenate([code >> 8, unseen]))
+            short, m = summed(code & 0xFFFFFF, n)
+            packed = [a.tobytes(), tokens.astype("<u4").tobytes(), table.tobytes(), counts.astype("<i8").tobytes(), *(x.astype("<i8").tobytes() for x in (contexts, code, n, short, m))]
+            row = [first + k, list(ids), list(held), list(lengths), *packed]
             k, size = k + 1, 0
-            for x in (ids, sums, held, lengths, coded, codes):
+            for x in (ids, held, lengths, coded, texts):
                 x.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = t or b""
-                h = np.append(hashes(words(t)), END_WORD)
-                ids.append(i), sums.append(_hash(t)), lengths.append(len(h)), coded.append(h)
-                held.append(is_held_out(i, parts, rest))
-                if not held[-1]:
-                    codes.append(grams(t))
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                t = t.as_py() or b""
+                ids.append(i), coded.append(np.append(hashes(words(t)), END_WORD)), texts.append(wrapped(t))
+                lengths.append(len(coded[-1])), held.append(is_held_out(i, parts, rest))
                 size += len(t) + 64
                 if size > batch_mb << 20:
                     yield flush()
         if ids:
             yield flush()
-        if found:
-            g, n = _merged(found)
-            yield row([None, None, None, None, None, None, None, None, g.astype("<u4").tobytes(), n.astype("<i8").tobytes()])
 
     return run
 
 
-def _hash(text: bytes) -> int:
-    return int(np.uint64(xxh3_64_intdigest(text)).view(np.int64))
-
-
-def _pairs(names: tuple[str, str], kinds: tuple[str, str]):
-    """Rows of two packed columns."""
+def _rows(schema: str, numbered: bool = False):
+    """Rows of packed columns; with the batch and each row's number before them."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v, k).astype(np.int64) if k == "<u4" else np.frombuffer(v, k).view(np.int64)) for v, k in zip((x, y), kinds)], names=list(names))
+            for values in zip(*(c.to_pylist() for c in b.columns)):
+                packed = [np.frombuffer(v, np.int64) for v in values[numbered:]]
+                for at in range(0, len(packed[0]), 1 << 17):
+                    cols = [x[at : at + (1 << 17)] for x in packed]
+                    if numbered:
+                        cols = [np.full(len(cols[0]), values[0]), np.arange(at, at + len(cols[0])), *cols]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     return run
 
 
+def _contexts(batches):
+    """(context, dist) of grams in order: a context's symbols, as a byte each, then their counts, as four."""
+    rest = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def packed(code, n):
+        n = n.astype("<f4")
+        ctx, at = np.unique(code >> 8, return_index=True)
+        symbol, ends = (code & 0xFF).astype(np.uint8), [*at[1:], len(code)]
+        return pa.RecordBatch.from_arrays([pa.array(ctx), pa.array([symbol[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], names=["ctx", "dist"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        code, n = (np.concatenate([x, c.to_numpy()]) for x, c in zip(rest, b.columns))
+        code, n = summed(code, n)
+        cut = int(np.searchsorted(code, code[-1] >> 8 << 8))  # the last context may go on
+        if cut:
+            yield packed(code[:cut], n[:cut])
+        rest = code[cut:], n[cut:]
+    if len(rest[0]):
+        yield packed(*rest)
+
+
 class Trie:
-    """Log10 probabilities of a trie of contexts of two bytes: a row of 256 for each context seen, and for each last byte."""
+    """The trie's upper part, contexts of up to two bytes: log10 probabilities and counts, a row of 256 for each context seen, and for each last byte."""
 
     def __init__(self, code: np.ndarray, count: np.ndarray):
         code, count = code.astype(np.int64), count.astype(np.float64)
@@ -124,7 +156,7 @@ class Trie:
         rest = 256 - kinds
         # order 0 by what is excluded: the symbols seen after the last byte
         self.row = np.repeat(np.arange(256, dtype=np.int32)[None, :], 256, 0).reshape(-1)  # context -> row; unseen: that of its last byte
-        rows = [np.zeros((256, 256), np.float32)]
+        rows, numbers = [np.zeros((256, 256), np.float32)], [np.zeros((256, 256), np.float32)]
         order = np.argsort(code >> 8 & 0xFF, kind="stable")
         code, count = code[order], count[order]
         bounds = np.searchsorted(code >> 8 & 0xFF, np.arange(257))
@@ -149,9 +181,11 @@ class Trie:
             t3 = c3.sum(1)
             p = np.where(seen3, c3 / (t3 + d3)[:, None], (d3 / (t3 + d3))[:, None] * lower)
             rows.append(np.log10(np.maximum(p, 1e-300)).astype(np.float32))
+            numbers.append(c3.astype(np.float32))
             self.row[before << 8 | last] = n + np.arange(len(before))
             n += len(before)
-        self.table = np.concatenate(rows).reshape(-1)
+        self.table, counts = np.concatenate(rows).reshape(-1), np.concatenate(numbers)
+        self.total, self.kinds, self.counts = counts.sum(1, dtype=np.float64), (counts > 0).sum(1), counts.reshape(-1)
 
     @staticmethod
     def _escaped(counts: np.ndarray, total: np.ndarray, kinds: np.ndarray, below: np.ndarray, open_: np.ndarray) -> np.ndarray:
@@ -161,58 +195,119 @@ class Trie:
         counts = np.atleast_2d(counts)
         return np.where((counts > 0) & open_, counts / all_, escape * below)
 
-    def score(self, text: bytes) -> float:
-        g, total = grams(text), 0.0
-        for at in range(0, len(g), 1 << 16):
-            p = g[at : at + (1 << 16)]
-            total += float(self.table.take(self.row.take(p >> np.uint32(8)) * np.int64(256) + (p & np.uint32(0xFF))).sum(dtype=np.float64))
-        return total
 
-
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = 7, rest: int = 2, batch_mb: int = 16) -> DataFrame:
+class Places:
+    """Where each of some distinct codes stands, found by hashing."""
+
+    def __init__(self, codes: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (2 * len(codes)).bit_length()))
+        h = self.hashed(codes)
+        self.order = np.argsort(h, kind="stable")
+        self.codes, self.start = codes[self.order], np.concatenate([[0], np.cumsum(np.bincount(h, minlength=1 << (64 - int(self.shift))))]).astype(np.int32)
+
+    def hashed(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * GOLD) >> self.shift).astype(np.int64)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code, or -1."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = self.start.take(self.hashed(codes))
+        first = np.minimum(at, len(self.codes) - 1)
+        hit = self.codes.take(first) == codes
+        out = np.where(hit, self.order.take(first), -1)
+        left = np.flatnonzero(~hit)
+        at, end = at[left] + 1, self.start.take(self.hashed(codes[left]) + 1)
+        while len(left):
+            go = at < end
+            left, at, end = left[go], at[go], end[go]
+            hit = self.codes.take(at) == codes[left]
+            out[left[hit]] = self.order.take(at[hit])
+            left, at, end = left[~hit], at[~hit] + 1, end[~hit]
+        return out
+
+
+class Deep:
+    """The contexts of five bytes that a batch needs, over the upper trie."""
+
+    def __init__(self, trie: Trie, ctx: np.ndarray, dist: list[bytes]):
+        self.trie, kinds = trie, np.array([len(d) // 5 for d in dist], np.int64)
+        self.symbols = np.frombuffer(b"".join(d[:k] for d, k in zip(dist, kinds)), np.uint8)
+        self.n = np.frombuffer(b"".join(d[k:] for d, k in zip(dist, kinds)), "<f4").astype(np.float64)
+        self.owner, first = np.repeat(np.arange(len(ctx)), kinds), np.cumsum(kinds) - kinds
+        row = trie.row.take(ctx & 0xFFFF).astype(np.int64)
+        shorter = trie.counts.take(row.repeat(kinds) * 256 + self.symbols).astype(np.float64)
+        add = lambda x: np.add.reduceat(x, first) if len(ctx) else x
+        self.all = add(self.n) + kinds
+        # what the shorter context keeps, when this one's symbols are excluded
+        self.kinds, self.kept_kinds, self.kept = kinds, trie.kinds[row] - kinds, trie.total[row] - add(shorter)
+        self.log = np.log10(self.n / self.all[self.owner])
+        self.contexts, self.grams = Places(ctx), Places(ctx.repeat(kinds) << 8 | self.symbols)
+
+    def log10(self, g: np.ndarray) -> np.ndarray:
+        """Of each gram's last symbol after the others."""
+        trie, at = self.trie, self.grams.of(g)
+        out = self.log.take(at) if len(self.log) else np.zeros(len(g))
+        miss = np.flatnonzero(at < 0)
+        row, symbol = trie.row.take(g[miss] >> 8 & 0xFFFF).astype(np.int64), g[miss] & 0xFF
+        lower = trie.table.take(row * 256 + symbol).astype(np.float64)
+        ctx = self.contexts.of(g[miss] >> 8)
+        known = np.flatnonzero(ctx >= 0)
+        ctx, row, symbol = ctx[known], row[known], symbol[known]
+        n, kinds, kept = trie.counts.take(row * 256 + symbol), self.kept_kinds[ctx], self.kept[ctx]
+        all_, below = np.maximum(kept + kinds, 1e-300), lower[known] + np.log10((trie.total[row] + trie.kinds[row]) / np.maximum(trie.kinds[row], 1))
+        lower[known] = np.log10(self.kinds[ctx] / self.all[ctx]) + np.where(n > 0, np.log10(np.maximum(n, 1e-300) / all_), below + np.log10(np.where(kinds > 0, kinds / all_, 1.0)))
+        out[miss] = lower
+        return out
+
+    def scores(self, a: np.ndarray) -> np.ndarray:
+        """The sum for each text of a batch."""
+        ends = np.flatnonzero(a == END)
+        out = np.zeros(len(ends))
+        for at in range(0, len(a) - DEEP, STEP):
+            part = a[at : at + STEP + DEEP]
+            symbol = np.flatnonzero(part[DEEP:] != START)
+            p = self.log10(grams(part)[symbol])
+            out += np.bincount(np.searchsorted(ends, symbol + at + DEEP), weights=p, minlength=len(ends))
+        return out
+
+
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = 7, rest: int = 2, batch_mb: int = 8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from documents whose crc32(id) mod ``parts`` isn't ``rest``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     coded = stage(rows.mapInArrow(_coder(parts, rest, batch_mb), CODED), "coded")
-    texts = coded.where("batch is not null")
-    # the trie: at most 2**24 codes
-    found = coded.where("grams is not null").select("grams", "gram_counts").mapInArrow(_pairs(("code", "n"), ("<u4", "<i8")), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    # the upper trie: at most 2**24 codes
+    found = coded.select("short", "short_counts").mapInArrow(_rows("code long, n long"), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     trie = spark.sparkContext.broadcast(Trie(found["code"].to_numpy(), found["n"].to_numpy()))
-
-    def score(batches):
-        for b in batches:
-            t = [x or b"" for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_hash(x) for x in t], pa.int64()), pa.array([trie.value.score(x) for x in t], pa.float64())], names=["doc_id", "text_hash", "score"])
-
-    scored = rows.mapInArrow(score, "doc_id long, text_hash long, score double").dropDuplicates(["doc_id", "text_hash"])
-    # the base: words of the batches' tables with their counts over the corpus
-    counts = stage(texts.select("words", "counts").mapInArrow(_pairs(("word", "n"), ("<u8", "<i8")), "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    deep = coded.select("grams", "gram_counts").mapInArrow(_rows("code long, n long"), "code long, n long")
+    deep = stage(deep.repartition(F.shiftright("code", 8)).sortWithinPartitions("code").mapInArrow(_contexts, "ctx long, dist binary"), "contexts")
+    counts = stage(coded.select("words", "word_counts").mapInArrow(_rows("word long, n long"), "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-
-    def each(batches):
-        for b in batches:
-            for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = np.frombuffer(w, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(np.arange(len(h))), pa.array(h)], names=["batch", "k", "word"])
-
-    known = texts.select("batch", "words").mapInArrow(each, "batch long, k long, word long").join(counts, "word").select("batch", "k", "c")
-    out = ["doc_id", "text_hash", "held_out", "n_tokens", "n_known", "base_score"]
-
-    def base(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = np.zeros(right.num_rows, np.int64)
-        c[right["k"].to_numpy()] = right["c"].to_numpy()
-        x = left.to_pylist()[0]
-        lengths = np.array(x["n_tokens"], np.int64)
-        at, token = np.cumsum(lengths) - lengths, np.frombuffer(x["tokens"], "<u4")
-        sums = np.add.reduceat(np.log10(c + 1.0)[token], at) - lengths * np.log10(n + (v + 1.0))
-        got = np.add.reduceat((c > 0).astype(np.int64)[token], at)
-        cols = [pa.array(x["doc_id"], pa.int64()), pa.array(x["text_hash"], pa.int64()), pa.array(x["held_out"], pa.bool_()), pa.array(lengths), pa.array(got), pa.array(sums)]
-        return pa.Table.from_arrays(cols, names=out)
-
-    slim = texts.select("batch", "doc_id", "text_hash", "held_out", "n_tokens", "tokens")
-    based = slim.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(base, "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, base_score double")
-    same = [F.col("s.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("s.text_hash") == F.col("b.text_hash")]
-    return based.alias("b").join(scored.alias("s"), same).select("b.doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    # the batches' own tables with the corpus's counts
+    asked = lambda column, name: coded.select("batch", column).mapInArrow(_rows(f"batch long, k long, {name} long", True), f"batch long, k long, {name} long")
+    known = asked("words", "word").join(counts.where("c > 0"), "word").select("batch", F.col("k").alias("key"), "c", F.lit(None).cast("binary").alias("dist"))
+    known = stage(known.union(asked("contexts", "ctx").join(deep, "ctx").select("batch", F.col("ctx").alias("key"), F.lit(None).cast("long").alias("c"), "dist")), "known")
+    free(deep, counts)
+    out = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = {n: left[n][0].as_py() for n in left.column_names}
+        is_word = right["dist"].is_null().to_numpy()
+        key = right["key"].to_numpy()
+        lengths, token = np.array(x["n_tokens"], np.int64), np.frombuffer(x["tokens"], "<u4")
+        c = np.zeros(int(token.max()) + 1, np.int64)
+        c[key[is_word]] = right["c"].drop_null().to_numpy()
+        at = np.cumsum(lengths) - lengths
+        base = np.add.reduceat(np.log10(c + 1.0)[token], at) - lengths * np.log10(n + (v + 1.0))
+        seen = np.add.reduceat((c > 0).astype(np.int64)[token], at)
+        model = Deep(trie.value, key[~is_word], right["dist"].drop_null().to_pylist())
+        values = [pa.array(x["doc_id"], pa.int64()), pa.array(x["held_out"], pa.bool_()), pa.array(lengths), pa.array(seen), pa.array(base), pa.array(model.scores(np.frombuffer(x["symbols"], np.uint8)))]
+        return pa.Table.from_arrays(values, names=out)
+
+    slim = coded.select("batch", "doc_id", "held_out", "n_tokens", "symbols", "tokens")
+    scored = slim.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
