@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Tokens are words after lower-casing A-Z with ASCII signs taken as blanks. Each mask is slid over benchmark items and documents and hashes the
-tokens at its set positions, so that a hit survives substitutions at the others. Items shorter than the longest mask are sought by contiguous masks of their own
-length. Around a hit, item and document are aligned and the best stretch is found (+1 for an equal token, -4 for another one, so that at
+tokens at its set positions, so that a hit survives substitutions at the others. Items shorter than the longest mask have masks of their own length, one for each choice of as
+many free positions as may differ, so that none of their matches is missed. Around a hit, item and document are aligned and the best stretch is found (+1 for an equal token, -4 for another one, so that at
 least 80 % of it are equal). A pair is contaminated if that stretch has ``matched`` equal tokens, or 80 % of a shorter item.
 
 Defined results. Null or wordless texts and items have no tokens and are never found. A repeated item counts once, by its best stretch; repeated
@@ -14,6 +14,8 @@ read once for each block and never shuffled, so no key can be hot. Real test set
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,18 +45,29 @@ def seeds(t: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def needed(n: int, matched: int) -> int:
+    """Equal tokens that contaminate, of an item of n tokens."""
+    return min(matched, -(-4 * n // 5))
+
+
+def masks_for(n: int, matched: int) -> list[str]:
+    """The masks by which an item of n tokens is sought."""
+    if n >= LONGEST:
+        return list(MASKS)
+    return ["".join("0" if i in free else "1" for i in range(n)) for free in combinations(range(n), n - needed(n, matched))] if n else []
+
+
 class Index:
     """The seeds of one block of benchmark items."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], matched: int = 13):
         self.ids = [i for i, _ in items]
         self.tokens = [tokens(t) for _, t in items]
-        self.need = [min(matched, -(-4 * len(t) // 5)) for t in self.tokens]
-        self.short = sorted({len(t) for t in self.tokens if 0 < len(t) < LONGEST})
-        self.masks = [*MASKS, *("1" * n for n in self.short)]
+        self.need = [needed(len(t), matched) for t in self.tokens]
+        self.masks = sorted({m for n in {min(len(t), LONGEST) for t in self.tokens} for m in masks_for(n, matched)})
         found = []
         for i, t in enumerate(self.tokens):
-            for m in MASKS if len(t) >= LONGEST else ["1" * len(t)] if len(t) else []:
+            for m in masks_for(len(t), matched):
                 h = seeds(t, m)
                 found.append((h, np.full(len(h), i, np.int32), np.arange(len(h), dtype=np.int32)))
         h, self.item, self.at = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
