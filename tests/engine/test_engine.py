@@ -1,11 +1,16 @@
 """The engine's object, reports and command line end to end."""
 
+import functools
+import io
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from webskein import cli, report
+from webskein import cli, report, serving
+from webskein.config import CrawlConfig
 from webskein.engine import Engine
+from webskein.operators import fusion, semantic
 
 PAGES = [
     (1, "https://h.com/a", "<title>Retries</title><h1>Retries</h1><p>Requests are retried with growing pauses.</p><h2>Limits</h2><p>Three attempts at most.</p>"),
@@ -44,6 +49,47 @@ def test_semantic_and_hybrid(spark, engine):
         engine.search_hybrid(engine.queries("x"), vectors, q, 5, 2)
 
 
+def test_embedding_table_follows_the_store(spark, engine):
+    make = functools.partial(semantic.HashedWords, 32)
+    first = engine.embed(make)
+    assert first.count() == engine.store.read("chunks").count() and engine.readiness(first).first().ready
+    q = semantic.embedded(spark.createDataFrame([("q1", "retried pauses")], "chunk_hash string, text string"), make).select(F.col("chunk_hash").alias("query_id"), "vector")
+    assert "retried" in engine.search_semantic(first, q, 1).first().text
+    engine.index_pages(spark.createDataFrame([(1, "https://h.com/a", "<p>Something new.</p>")], "page_id long, url string, html string"))
+    assert not engine.readiness(first).first().ready
+    with pytest.raises(RuntimeError):
+        engine.search_semantic(first, q)
+    again = engine.embed(make, first)
+    assert engine.readiness(again).first().ready and again.count() == engine.store.read("chunks").count()
+    with pytest.raises(fusion.RetrievalError) as e:
+        engine.search_hybrid(engine.queries("x"), again.select("key"), q)
+    assert e.value.strategy == "semantic"
+
+
+def test_crawl_and_tools(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/store")
+    site = {"https://h.com/": "<p>Home of retries.</p><a href='/a'>a</a><a href='/no'>n</a><a href='http://127.0.0.1/'>x</a>", "https://h.com/a": "<p>About storage.</p>", "https://h.com/no": "<p>secret</p>", "https://h.com/robots.txt": "User-agent: *\nDisallow: /no"}
+    pages = spark.createDataFrame(list(site.items()), "url string, html string")
+    fetch = lambda u: u.join(pages, "url", "left").select("url", F.when(F.col("html").isNull(), 404).otherwise(200).alias("status"), "html", F.lit(None).cast("string").alias("problem"))
+    (tmp_path / "c.json").write_text(json.dumps({"max_depth": 2, "domains": ["h.com", "127.0.0.1"]}))
+    config = CrawlConfig.from_file(str(tmp_path / "c.json"))
+    got = {r.url: r.problem or r.status for r in e.crawl(spark.createDataFrame([("https://h.com/",)], "url string"), config, fetch).collect()}
+    assert got == {"https://h.com/": 200, "https://h.com/a": 200, "https://h.com/no": "Blocked by robots.txt"}
+    for bad in ({"max_pages": 0}, {"what": 1}, {"domains": [1]}, {"retries": "3"}):
+        with pytest.raises(ValueError):
+            CrawlConfig.of(bad)
+    asked = [{"id": 1, "method": "tools/list"}, {"id": 2, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "retries"}}}, {"id": 3, "method": "tools/call", "params": {"name": "search", "arguments": {"query": " "}}}, {"id": 4, "method": "tools/call", "params": {"name": "info"}}]
+    out = io.StringIO()
+    serving.serve(e, io.StringIO("\n".join(map(json.dumps, asked)) + "\nnot json\n"), out)
+    said = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [t["name"] for t in said[0]["result"]] == ["search", "context", "info", "fetch"] and said[1]["result"][0]["text"].startswith("Home of retries")
+    assert "needed" in said[2]["error"]["message"] and said[3]["result"]["documents"] == 2 and said[4]["error"]
+    chunk = said[1]["result"][0]
+    key = e.store.read("chunks").where(F.col("text") == chunk["text"]).first().chunk_hash
+    assert serving.Tools(e).fetch({"chunk_hash": key})["text"] == chunk["text"] and serving.Tools(e, 40).search({"query": "retries"}) == []
+    assert serving.Tools(e).context({"query": "storage", "budget": 5})["used_tokens"] <= 5
+
+
 def test_reports_and_command_line(spark, tmp_path, capsys):
     df = spark.createDataFrame([("a|b", 0.5, None)], "name string, x double, y int")
     for kind in ("md", "html", "json"):
@@ -55,4 +101,6 @@ def test_reports_and_command_line(spark, tmp_path, capsys):
     store = f"file://{tmp_path}/s"
     assert cli.main(["index", store, str(tmp_path / "pages")]) == 0
     assert cli.main(["search", store, "retries", "--limit", "1"]) == 0 and '"rank": 1' in capsys.readouterr().out
+    assert cli.main(["embed", store, str(tmp_path / "v")]) == 0 and cli.main(["search", store, "retries", "--vectors", str(tmp_path / "v")]) == 0 and '"rank": 1' in capsys.readouterr().out
+    assert cli.main(["embed", store, str(tmp_path / "v")]) == 0 and cli.main(["search", store, "retries", "--vectors", str(tmp_path / "v"), "--hybrid"]) == 0
     assert cli.main(["info", store]) == 0 and cli.main(["search", store, "x", "--limit", "0"]) == 2

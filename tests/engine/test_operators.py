@@ -1,5 +1,6 @@
 """Operators on small inputs with results worked out by hand, and state changes of the store."""
 
+import json
 import sqlite3
 
 import numpy as np
@@ -44,13 +45,13 @@ def test_bm25_equals_the_full_text_index(spark):
     con.executemany("INSERT INTO t(rowid, a, b, c) VALUES (?, ?, ?, ?)", rows)
     df = spark.createDataFrame(rows, "id int, a string, b string, c string")
     q = {"q1": "w5 w9", "q2": "w1 w30", "q3": "w2-w3 w7"}
-    got = lexical.bm25(lexical.tokenised(df, "id", "a", "b", "c"), lexical.parsed(spark.createDataFrame(list(q.items()), "query_id string, query string")))
+    got = lexical.bm25(lexical.build(lexical.tokenised(df, "id", "a", "b", "c")), lexical.parsed(spark.createDataFrame(list(q.items()), "query_id string, query string")))
     got = {(r.query_id, r.key): r.score for r in got.collect()}
     want = {}
     for k, text in q.items():
         match = " OR ".join(f'"{x}"' for x in text.split())
         want |= {(k, i): s for i, s in con.execute("SELECT rowid, bm25(t, 1.0, 5.0, 3.0) FROM t WHERE t MATCH ?", (match,))}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-10) for k in want)
 
 
 def test_slices_overlap_evidence(spark):
@@ -190,8 +191,8 @@ def test_store_states(spark, tmp_path):
     assert put(1, page(1, "alpha"), page(2, "alpha"), page(3, "beta")) == {"documents": 3, "new_contents": 2, "duplicate_contents": 1, "chunks": 3, "new_chunks": 2, "duplicate_chunks": 1}
     assert put(2, page(1, "alpha"))["new_contents"] == 0
     put(3, page(3, "gamma"))  # beta is an orphan now; alpha is shared and stays
-    assert sorted(r.text for r in s.read("chunks").collect()) == ["alpha", "gamma"] and s.info().first().asDict() == {"documents": 3, "cleaned_tokens": 6, "contents": 2, "chunks": 2}
-    assert s.history().count() == 3
+    assert sorted(r.text for r in s.read("chunks").collect()) == ["alpha", "gamma"] and {k: v for k, v in s.info().first().asDict().items() if "session" not in k and "finished" not in k} == {"documents": 3, "cleaned_tokens": 6, "contents": 2, "chunks": 2}
+    assert s.history().count() == 3 and s.info().first().latest_session == s.version()
     before = s.version()
     bad = ingest.batch_of(spark.createDataFrame([page(9, "x")], "page_id long, url string, html string"))
     with pytest.raises(ValueError):
@@ -199,6 +200,121 @@ def test_store_states(spark, tmp_path):
     assert s.version() == before
 
 
+def test_store_appends_and_compacts(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    put = lambda *ps: s.index(*ingest.batch_of(spark.createDataFrame(list(ps), "page_id long, url string, html string")))
+    texts = lambda at: sorted(r.text for r in at.read("chunks").collect())
+    put(page(1, "one"), page(2, "two"))
+    first = s.snapshot()
+    for k in range(3, 6):
+        put(page(1, f"one {k}"))
+    assert len(s.snapshot().parts["documents"]) == 4 and all(len(p) == 4 for p in s.snapshot().parts.values())  # a batch adds its own rows only
+    assert texts(first) == ["one", "two"] and texts(s.snapshot()) == ["one 5", "two"]  # what was opened before stays as it was
+    put(page(1, "one"))  # a content that was dead lives again
+    assert texts(s.snapshot()) == ["one", "two"] and sorted(r.text for r in s.read("contents").collect()) == ["one", "two"]
+    s.compact()
+    assert all(len(p) == 1 for p in s.snapshot().parts.values()) and texts(s.snapshot()) == ["one", "two"]
+    assert s.info().first().documents == 2 and put(page(3, "two"))["duplicate_contents"] == 1
+
+
+def test_store_reads_pointers_of_the_first_format(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    d, c, k = ingest.batch_of(spark.createDataFrame([page(1, "old")], "page_id long, url string, html string"))
+    for name, df in (("documents", d), ("contents", c), ("chunks", k.select("chunk_hash", "text", "title", "heading", "n_tokens")), ("content_chunks", k.select("content_hash", F.col("ordinal").cast("int").alias("ordinal"), "chunk_hash"))):
+        df.write.parquet(str(tmp_path / "store" / "v1" / name))
+    (tmp_path / "store" / "pointers").mkdir()
+    (tmp_path / "store" / "pointers" / "0000000000-v1").write_text('{"schema": 1, "documents": 1}')
+    assert [r.text for r in s.read("chunks").collect()] == ["old"]
+    s.index(*ingest.batch_of(spark.createDataFrame([page(2, "new")], "page_id long, url string, html string")))
+    assert sorted(r.text for r in s.read("chunks").collect()) == ["new", "old"]
+    (tmp_path / "store" / "pointers" / "9999999999-v9").write_text('{"schema": 9}')
+    with pytest.raises(ValueError):
+        s.snapshot()
+
+
+class Failing(semantic.HashedWords):
+    def embed(self, texts):
+        if "bad" in texts:
+            raise RuntimeError("out of memory")
+        return super().embed(texts)
+
+
+def test_embedding_goes_on_after_a_failed_batch(spark):
+    df = spark.createDataFrame([(str(i), "bad" if i == 5 else f"text {i}") for i in range(8)], "chunk_hash string, text string").coalesce(1)
+    got = {r.chunk_hash: r for r in semantic.embedded(df, lambda: Failing(8), batch=2).collect()}
+    assert [k for k in sorted(got) if got[k].error] == ["4", "5"] and got["4"].error == "RuntimeError: out of memory" and got["0"].size == 2
+    assert sum(x * x for x in got["7"].vector) == pytest.approx(1.0, abs=1e-6)
+    assert semantic.embedded(df.limit(0), lambda: Failing(8)).count() == 0
+
+
+def test_readiness_looks_for_each_chunk(spark):
+    chunks = spark.createDataFrame([("a",), ("b",)], "chunk_hash string")
+    v = spark.createDataFrame([("a", [1.0], "m"), ("gone", [1.0], "m")], "chunk_hash string, vector array<float>, model_fingerprint string")
+    r = semantic.readiness(chunks, v, "m").first()
+    assert (r.ready, r.n_missing, r.n_stale) == (False, 1, 1)
+    after = semantic.stored(v, spark.createDataFrame([("b", [1.0])], "chunk_hash string, vector array<float>"), chunks, "m", 1)
+    assert sorted(x.chunk_hash for x in after.collect()) == ["a", "b"] and semantic.readiness(chunks, after, "m").first().ready
+    with pytest.raises(Exception, match="must not be empty"):
+        spark.range(1).select(semantic.query_text(F.lit(" \n"))).collect()
+
+
+def test_runner_isolates_failures_and_sees_unstable_orders(spark):
+    q = spark.createDataFrame([("a", "x"), ("b", "boom"), ("c", "y")], "query_id string, query string")
+    calls = []
+
+    def search(df):
+        calls.append(df)
+        if not df.where("query = 'boom'").isEmpty():
+            raise RuntimeError("boom")
+        turn = len(calls) % 2
+        return df.select("query_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank")).withColumn("key", (F.col("rank") + turn) % 2)
+
+    got, samples, said = evaluate.run_queries(q, search)
+    assert {(r.query_id, r.failed) for r in got.collect()} == {("a", False), ("b", True), ("c", False)} and samples.count() == 0 and "b: RuntimeError" in said
+    got, samples, said = evaluate.run_queries(q.where("query_id <> 'b'"), search, repeats=2)
+    assert samples.count() == 2 and said == ["repeat 1 ranks 2 queries in another order"] and got.count() == 4
+
+
+def test_crawl_loop(spark):
+    site = {"https://h.com/": "<a href='/a'>a</a><a href='https://other.org/'>o</a>", "https://h.com/a": "<a href='/'>home</a><a href='/b'>b</a><a href='/skip'>s</a>", "https://h.com/b": "<a href='/c'>c</a>", "https://h.com/c": ""}
+    pages = spark.createDataFrame(list(site.items()), "url string, html string")
+    fetch = lambda u: u.join(pages, "url", "left").select("url", F.when(F.col("html").isNotNull(), 200).otherwise(404).alias("status"), "html", F.lit(None).cast("string").alias("problem"))
+    saved, tries = [], []
+
+    def save(df):
+        tries.append(1)
+        if len(tries) == 1:
+            raise OSError("once")
+        saved.extend(r.url for r in df.collect())
+
+    admit = lambda df: crawl.admitted(df, domains=["h.com"], exclude=["/skip"])
+    seeds = spark.createDataFrame([("https://h.com/",), ("https://h.com/",)], "url string")
+    got = {r.url: (r.depth, r.status) for r in crawl.crawl(seeds, fetch, max_depth=2, admit=admit, save=save).collect()}
+    assert got == {"https://h.com/": (0, 200), "https://h.com/a": (1, 200), "https://h.com/b": (2, 200)} and sorted(saved) == sorted(got)
+    assert crawl.crawl(seeds, fetch, max_depth=9, max_pages=2, admit=admit).count() == 2
+    with pytest.raises(OSError):
+        crawl.crawl(seeds, fetch, admit=admit, save=lambda df: (_ for _ in ()).throw(OSError("always")))
+
+
+def test_retry_accounts_and_progress_of_streams(spark, tmp_path):
+    spark.createDataFrame([("a", 503), ("b", 404), ("c", 200)], "url string, status int").coalesce(1).write.parquet(str(tmp_path / "r"))
+    live = spark.readStream.schema("url string, status int").parquet(str(tmp_path / "r"))
+    got = {r.url: (r.attempts, r.state) for r in ingest.drained(ingest.retry_accounts(live), "accounts", "update").collect()}
+    assert got == {"a": (1, "waiting"), "b": (1, "given up"), "c": (1, "done")}
+    spark.createDataFrame([("2024-01-01 00:00:00", 200), ("2024-01-01 00:00:10", 500)], "ts string, status int").select(F.col("ts").cast("timestamp").alias("ts"), "status").write.parquet(str(tmp_path / "p"))
+    live = spark.readStream.schema("ts timestamp, status int").parquet(str(tmp_path / "p"))
+    r = ingest.drained(ingest.live_progress(live, 10), "progress", "complete").first()
+    assert (r.pages, r.succeeded, r.failed, r.rate, r.percent, r.eta) == (2, 1, 1, 0.2, 20.0, 40.0)
+    spark.createDataFrame([("x", "2024-01-01 00:00:00"), ("x", "2024-01-01 00:00:05")], "t string, ts string").select("t", F.col("ts").cast("timestamp").alias("ts")).write.parquet(str(tmp_path / "f"))
+    assert ingest.drained(ingest.first_seen(spark.readStream.schema("t string, ts timestamp").parquet(str(tmp_path / "f")), "t"), "first").count() == 1
+
+
+def test_hosts_and_policies(spark):
+    assert one(spark, U.any_host(F.lit("Bücher.example."))) == "xn--bcher-kva.example" and one(spark, U.any_host(F.lit("a_b.com"))) is None
+    assert one(spark, U.origin(F.lit("HTTPS://H.com:8443/x"))) == "https://h.com:8443" and one(spark, U.robots_url(F.lit("http://h.com:80/x"))) == "http://h.com/robots.txt"
+    assert [one(spark, crawl.robots_available(F.lit(s))) for s in (None, 403, 500, 200, 404)] == ["deny", "deny", "deny", "read", "allow"]
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([page(1, "alpha"), page(2, "beta")], "page_id long, url string, html string").write.parquet(str(src))
@@ -221,6 +337,11 @@ def test_record_sinks(spark, tmp_path):
     assert [r.problem for r in bad.collect()] == ["status out of range"]
     path = str(tmp_path / "a")
     assert [records.archive(good.union(good), path), records.archive(good, path)] == [1, 0]
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "x.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):  # what can't be read isn't taken for an empty archive
+        records.archive(good, str(tmp_path / "broken"))
+    assert records.write_json_array(good, str(tmp_path / "a.json")) == 1 and json.loads((tmp_path / "a.json").read_text())[0]["url"] == "u"
     records.write_csv(good, str(tmp_path / "c"))
     records.write_jsonl(good, str(tmp_path / "j"))
     assert records.read_csv(spark, str(tmp_path / "c")).collect() == good.select(*records.FIELDS).collect() == spark.read.schema(records.SCHEMA).json(str(tmp_path / "j")).collect()

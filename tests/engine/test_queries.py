@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF
 from webskein import catalogue
+from webskein.catalogue import retrieval
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -56,7 +57,11 @@ def test_plans(spark):
     p = plan(catalogue.QUERIES["size_stats"](spark, SF))
     assert "ReadSchema: struct<text:string,lang:string>" in p and "BatchEvalPython" not in p
     p = plan(catalogue.QUERIES["cosine_topk"](spark, SF))
-    assert "WindowGroupLimit" in p and "ArrowEvalPython" not in p
+    assert "WindowGroupLimit" in p and "ArrowEvalPython" not in p and "NestedLoop" not in p
+    ix = retrieval.index(spark, SF)
+    terms = spark.createDataFrame([("license",)], "term string")
+    p = plan(ix.of(ix.postings, terms))
+    assert p.count("PartitionFilters: [isnotnull(bucket") or "PartitionFilters: [bucket" in p or "bucket IN" in p  # a query reads its terms' folders only
     for name in catalogue.QUERIES:
         if name.startswith(("strategy", "overlap", "coverage", "judgment", "provenance", "orphan")):
             assert "CartesianProduct" not in plan(catalogue.QUERIES[name](spark, SF)), name

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from webskein.catalogue import crawling, evaluation, indexing, retrieval
+from webskein.catalogue import crawling, evaluation, indexing, lifecycle, retrieval
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (retrieval, indexing, evaluation, crawling):
+for _part in (retrieval, indexing, lifecycle, evaluation, crawling):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webskein.catalogue.indexing import pages
 from webskein.functions import urls
 from webskein.operators import crawl, html
+from webskein.plans.staging import stage
 from webskein.sources import records, sitemap
 from webskein.streaming import ingest
 
@@ -43,6 +44,21 @@ def host_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_frontier_bfs(spark: SparkSession, d: str) -> DataFrame:
+    """Over all links of all pages, from each host's first page on, until nothing new is found."""
+    first = pages(spark, d).where(urls.is_http(F.col("url"))).groupBy(urls.host(F.col("url"))).agg(F.min_by("url", "page_id").alias("url"))
+    return crawl.frontier(first.select("url"), stage(link_rows(spark, d), "links"), 1000).select("url", "depth")
+
+
+def crawl_walk(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl of the page table by the whole loop: the table answers for its urls, and links to two sites are followed."""
+    p = pages(spark, d)
+    answers = p.select("url", F.lit(200).alias("status"), "html", F.lit(None).cast("string").alias("problem")).dropDuplicates(["url"])
+    fetch = lambda asked: asked.join(answers, "url", "left").select("url", F.coalesce("status", F.lit(404)).alias("status"), "html", "problem")
+    log = crawl.crawl(p.select("url"), fetch, max_depth=1, max_pages=None, admit=lambda u: crawl.admitted(u, include=[r"\.example\.(com|net)/"]))
+    return log.select("url", "depth", "status")
+
+
+def frontier_tree(spark: SparkSession, d: str) -> DataFrame:
     seeds = spark.createDataFrame([("https://h1/1",), ("https://h3/3",)], "url string")
     return crawl.frontier(seeds, host_graph(spark, d), 6).select("url", "depth")
 
@@ -52,6 +68,62 @@ def frontier_fair(spark: SparkSession, d: str) -> DataFrame:
     return crawl.frontier(spark.createDataFrame([("https://h1/1",)], "url string"), host_graph(spark, d), 8, max_pages=40, per_host=2).select("url", "depth", "seq")
 
 
+def frontier_states(spark: SparkSession, d: str) -> DataFrame:
+    """A queue of all pages after the first 100 were taken and half of them done."""
+    q = crawl.taken(pages(spark, d).select("page_id", "url", F.lit("queued").alias("state")).groupBy("url").agg(F.min("page_id").alias("page_id"), F.min("state").alias("state")), 100, "page_id")
+    done = q.where("state = 'active' and page_id % 2 = 0").select("url", (F.col("page_id") % 4 == 0).alias("ok"))
+    return crawl.queue_states(crawl.moved(q, done))
+
+
+def origins(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).select("page_id", urls.origin(F.col("url")).alias("origin"), urls.robots_url(F.col("url")).alias("robots"))
+
+
+def robots_cached(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of all origins from a cache of which half is old: where they come from."""
+    o = pages(spark, d).select(urls.origin(F.col("url")).alias("origin"))
+    rules = lambda df, name: df.withColumn("groups", F.array(F.lit(name)))
+    cached = rules(o.distinct(), "cached").withColumn("at", F.when(F.length("origin") % 2 == 0, 9000.0).otherwise(10.0))
+    got = crawl.robots_cache(cached, o, lambda new: rules(new, "fetched"), F.lit(10_000.0))
+    return got.select("origin", F.get("groups", F.lit(0)).alias("rules"), "at")
+
+
+def retry_waits(spark: SparkSession, d: str) -> DataFrame:
+    """Retry-After as seconds, dates in the future and past, and nonsense."""
+    i = F.col("event_id")
+    v = F.when(i % 5 == 0, F.concat((i % 100).cast("string"), F.lit(".5"))).when(i % 5 == 1, "Wed, 01 Jan 2025 00:02:00 GMT").when(i % 5 == 2, "Tue, 31 Dec 2024 23:00:00 GMT").when(i % 5 == 3, "soon").otherwise(F.lit(None).cast("string"))
+    return events(spark, d).select("event_id", crawl.retry_after(v, F.lit("2025-01-01 00:00:00").cast("timestamp")).alias("seconds"))
+
+
+def polite_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """Starts with each request's own gap."""
+    x = _log(spark, d).select("host", F.col("event_id").alias("id"), (F.unix_micros("ts") / 1e6).alias("arrival"))
+    return crawl.schedule_by(x, F.lit(300.0) + (F.col("id") % 4) * 200.0).select("host", "id", F.round("start", 3).alias("start"))
+
+
+def permanent_errors(spark: SparkSession, d: str) -> DataFrame:
+    x = _log(spark, d).where("status >= 400").select(crawl.error_class(F.col("status")).alias("error_type"), F.concat("host", F.lit("/"), "event_id").alias("url"), crawl.may_retry(F.col("attempt"), F.col("status")).alias("retry_scheduled"))
+    return crawl.permanent_urls(x).select("error_type", F.md5(F.array_join("urls", ",").cast("binary")).alias("urls_md5"))
+
+
+def crawl_diagnosis(spark: SparkSession, d: str) -> DataFrame:
+    """Why the crawls of each host came back empty."""
+    kinds = {"view": "URLPolicyError: private", "error": "Blocked by robots.txt", "click": "response exceeds 10 bytes"}
+    m = F.lit("HTTP 404")
+    for k, v in kinds.items():
+        m = F.when(F.col("event_type") == k, v).otherwise(m)
+    x = events(spark, d).select("event_type", m.alias("message"))
+    parts = [crawl.diagnosis(x.where(F.col("event_type") == k)).select(F.lit(k).alias("event_type"), "diagnosis") for k in (*kinds, "none")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def event_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.sliding(events(spark, d), "2 hours", "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*.html$\nCrawl-delay: 2\n\nUser-agent: skein\nUser-agent: other\nDisallow: /de/\nAllow: /de/\nDisallow: /fr/*?page=\n"
 
 
@@ -156,18 +228,38 @@ r AS (SELECT * FROM (VALUES (false, '/en/', '^/en/', false), (false, '/en/1', '^
 h AS (SELECT p.url, arg_max(allow, (length(pat), allow)) AS allow FROM p JOIN r ON p.s = r.s AND regexp_matches(path, rx) GROUP BY p.url)
 SELECT url, coalesce(allow, true) AS allowed FROM p LEFT JOIN h USING (url)"""
 
+#: Real links: src, dst of all pages, as page_links resolves them.
+EDGES_SQL = r"""ea AS (SELECT url AS src, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS x FROM pages),
+ed AS (SELECT DISTINCT src, regexp_replace(replace(CASE WHEN starts_with(x, '/') THEN origin || x ELSE x END, '&amp;', '&'), '#.*$', '') AS dst FROM ea)"""
+WALK_SQL = rf"""WITH RECURSIVE {EDGES_SQL}, fp AS (SELECT arg_min(url, page_id) AS url FROM (SELECT page_id, url, {_PARTS} FROM pages) GROUP BY host),
+r(url, depth) AS (SELECT url, 0 FROM fp UNION SELECT ed.dst, depth + 1 FROM r JOIN ed ON ed.src = r.url WHERE depth < 50) SELECT url, min(depth)::INT AS depth FROM r GROUP BY url"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         url_parts, same_origin_links, domain_top10, link_admission, link_frontier_bfs, frontier_fair, robots_decision, url_policy, status_histogram, failure_categories, retry_stats, rate_limit_schedule, request_intervals, crawl_progress,
-        queue_states, record_problems, record_keys, bounded_output, sitemap_urls, event_tumbling, event_session,
+        queue_states, record_problems, record_keys, bounded_output, sitemap_urls, event_tumbling, event_session, crawl_walk, frontier_tree, frontier_states, origins, robots_cached, retry_waits, polite_schedule, permanent_errors, crawl_diagnosis,
+        event_sliding,
     )
 }
 ORACLES = {
     "url_parts": f"SELECT page_id, regexp_replace(url, '#.*$', '') AS normal, {_PARTS}, CASE WHEN starts_with(lower(url), 'https') THEN 443 ELSE 80 END AS port, true AS is_http FROM pages",
     "domain_top10": f"SELECT host AS domain, count(*) AS n, min(page_id) AS first_seen FROM (SELECT page_id, {_PARTS} FROM pages) GROUP BY host ORDER BY n DESC, first_seen LIMIT 10",
     "link_admission": r"SELECT page_id, url FROM pages WHERE regexp_matches(url, '\.example\.(com|net)/') AND NOT regexp_matches(url, 'utm_source') AND NOT regexp_matches(url, 'ads-')",
-    "link_frontier_bfs": BFS_SQL,
+    "link_frontier_bfs": WALK_SQL,
+    "frontier_tree": BFS_SQL,
+    "crawl_walk": rf"""WITH {EDGES_SQL}, s AS (SELECT DISTINCT url FROM pages WHERE regexp_matches(url, '\.example\.(com|net)/')), n AS (SELECT DISTINCT dst AS url FROM ed JOIN s ON s.url = ed.src WHERE regexp_matches(dst, '\.example\.(com|net)/') AND dst NOT IN (SELECT url FROM s))
+SELECT url, 0::INT AS depth, 200 AS status FROM s UNION ALL SELECT url, 1::INT, CASE WHEN url IN (SELECT url FROM pages) THEN 200 ELSE 404 END FROM n""",
+    "frontier_states": "WITH q AS (SELECT url, min(page_id) AS i FROM pages GROUP BY url), a AS (SELECT *, row_number() OVER (ORDER BY i) <= 100 AS active FROM q) SELECT count(*) FILTER (WHERE NOT active OR i % 2 = 1) AS queued, 0::BIGINT AS active, count(*) FILTER (WHERE active AND i % 4 = 0) AS processed, count(*) FILTER (WHERE active AND i % 4 = 2) AS failed FROM a",
+    "origins": f"SELECT page_id, scheme || '://' || host AS origin, scheme || '://' || host || '/robots.txt' AS robots FROM (SELECT page_id, {_PARTS} FROM pages)",
+    "robots_cached": f"SELECT DISTINCT o AS origin, CASE WHEN length(o) % 2 = 0 THEN 'cached' ELSE 'fetched' END AS rules, CASE WHEN length(o) % 2 = 0 THEN 9000.0 ELSE 10000.0 END::DOUBLE AS at FROM (SELECT scheme || '://' || host AS o FROM (SELECT {_PARTS} FROM pages))",
+    "retry_waits": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id % 100 + 0.5 WHEN 1 THEN 120 ELSE 0 END::DOUBLE AS seconds FROM events",
+    "polite_schedule": f"""WITH RECURSIVE {LOG_SQL}, o AS (SELECT host, event_id AS id, epoch_us(ts) / 1e6 AS a, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS i FROM lg),
+s(host, i, id, start) AS (SELECT host, i, id, a FROM o WHERE i = 1 UNION ALL SELECT o.host, o.i, o.id, greatest(o.a, s.start + 300 + o.id % 4 * 200) FROM s JOIN o ON o.host = s.host AND o.i = s.i + 1) SELECT host, id, round(start, 3) AS start FROM s""",
+    "permanent_errors": f"WITH {LOG_SQL}, x AS (SELECT {CLASS_SQL} AS error_type, host || '/' || event_id AS url FROM lg WHERE status >= 400 AND NOT (status IN (429, 500, 503) AND attempt < CASE WHEN status = 500 THEN 2 ELSE 4 END)) SELECT error_type, md5(array_to_string(list_sort(list(url)), ',')) AS urls_md5 FROM x GROUP BY error_type",
+    "crawl_diagnosis": """SELECT * FROM (VALUES ('view', 'crawl was blocked by the configured URL network policy'), ('error', 'site access is blocked by robots.txt'), ('click', 'crawl response exceeded the server byte limit')) v(event_type, diagnosis) WHERE event_type IN (SELECT event_type FROM events)
+UNION ALL SELECT 'none', 'crawl returned no indexable pages; verify the URL, robots.txt, and site availability'""",
+    "event_sliding": "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY ALL",
     "robots_decision": ROBOTS_SQL,
     "url_policy": "SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'address' WHEN 1 THEN 'credentials' WHEN 2 THEN 'scheme' WHEN 3 THEN 'local name' WHEN 4 THEN 'port' WHEN 5 THEN 'address' ELSE 'none' END AS refused FROM pages",
     "status_histogram": f"WITH {LOG_SQL} SELECT status, count(*) AS n FROM lg GROUP BY status",

@@ -5,63 +5,82 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webskein.catalogue.retrieval import _toks, docs, index, term_scores_sql
+from webskein.catalogue.retrieval import _toks, docs, index, term_scores_sql, vector_ranking, vectors_sql
 from webskein.functions.text import token_estimate
-from webskein.operators import compare, evaluate, fusion, lexical
+from webskein.operators import compare, context, evaluate, fusion, lexical
 from webskein.plans.sizing import sized
-from webskein.plans.staging import stage
+from webskein.plans.staging import shared
 
 KS = (1, 3, 5, 10)
-#: Words of a passage that make up its query: of so many characters and more.
-LETTERS = 8
+STRATEGIES = ("bm25", "semantic", "hybrid")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, query (the longer words of a passage), category."""
+    """query_id, query (all tokens of a passage, each once), category, text."""
     b = spark.read.parquet(f"{d}/benchmark.parquet")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.filter(lexical.tokens(F.col("text")), lambda t: F.length(t) >= LETTERS), " ").alias("query"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), "text")
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.array_distinct(lexical.tokens(F.col("text"))), " ").alias("query"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), "text")
 
 
 def judgments(spark: SparkSession, d: str) -> DataFrame:
     """query_id, judgment_id, document_id, relevance: documents that hold a passage, found through its longest inner word."""
-    q = questions(spark, d).select("query_id", "text", F.slice(F.split("text", r"\s+"), 2, F.greatest(F.size(F.split("text", r"\s+")) - 2, F.lit(1))).alias("w"))
-    q = q.select("query_id", F.col("text").alias("passage"), F.element_at(F.array_sort(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"].alias("word"))
-    each = docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    # the text goes along only where a word fits
-    hit = each.select("doc_id", "word").hint("merge").join(sized(q), "word").select("doc_id", "query_id", "passage")
-    found = docs(spark, d).select("doc_id", "text").join(sized(hit), "doc_id").where(F.contains("text", F.col("passage")))
-    return stage(found.select("query_id", F.col("doc_id").cast("string").alias("judgment_id"), F.col("doc_id").alias("document_id"), (F.lit(1) + F.col("doc_id") % 3).cast("int").alias("relevance")), "judgments")
+
+    def found() -> DataFrame:
+        q = questions(spark, d).select("query_id", "text", F.slice(F.split("text", r"\s+"), 2, F.greatest(F.size(F.split("text", r"\s+")) - 2, F.lit(1))).alias("w"))
+        q = q.select("query_id", F.col("text").alias("passage"), F.element_at(F.array_sort(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"].alias("word"))
+        each = docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+        # the text goes along only where a word fits
+        hit = each.select("doc_id", "word").hint("merge").join(sized(q), "word").select("doc_id", "query_id", "passage")
+        holds = docs(spark, d).select("doc_id", "text").join(sized(hit), "doc_id").where(F.contains("text", F.col("passage")))
+        return holds.select("query_id", F.col("doc_id").cast("string").alias("judgment_id"), F.col("doc_id").alias("document_id"), (F.lit(1) + F.col("doc_id") % 3).cast("int").alias("relevance"))
+
+    return shared(spark, (d,), found, "judgments")
+
+
+def components(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, strategy, rank, key, raw_score of BM25 and vectors, 10 deep."""
+
+    def ranked() -> DataFrame:
+        q = questions(spark, d)
+        a = lexical.search(index(spark, d), q, 10)
+        b = vector_ranking(spark, d, q.select("query_id", F.col("text").alias("query")), 10)
+        return a.select("query_id", F.lit("bm25").alias("strategy"), "rank", "key", F.col("score").alias("raw_score")).union(b.select("query_id", F.lit("semantic"), "rank", "key", "score"))
+
+    return shared(spark, (d,), ranked, "components")
+
+
+def fused(spark: SparkSession, d: str) -> DataFrame:
+    return shared(spark, (d,), lambda: fusion.fuse(components(spark, d).withColumn("weight", F.lit(1.0)), limit=10), "fused")
 
 
 def retrieved(spark: SparkSession, d: str) -> DataFrame:
     """query_id, strategy, rank, key of two strategies and their fusion, 10 deep."""
-    phrases, ix = lexical.parsed(questions(spark, d)), index(spark, d)
-    found = stage(lexical.bm25(ix, phrases), "bm25")
-    a = lexical.top(found, 10, F.round("score", 9), F.col("key")).select("query_id", F.lit("bm25").alias("strategy"), "rank", "key", F.col("score").alias("raw_score"))
-    tf = lexical.matches(ix, phrases).groupBy("query_id", "key").agg(F.sum("tf").alias("raw_score"))
-    b = lexical.top(tf, 10, F.desc("raw_score"), F.col("key")).select("query_id", F.lit("semantic").alias("strategy"), "rank", "key", "raw_score")
-    both = stage(a.union(b), "rankings")
-    f = fusion.fuse(both.withColumn("weight", F.lit(1.0)), limit=10).select("query_id", F.lit("hybrid").alias("strategy"), "rank", "key", F.col("score").alias("raw_score"))
-    return both.union(f)
+    return components(spark, d).union(fused(spark, d).select("query_id", F.lit("hybrid").alias("strategy"), "rank", "key", F.col("score").alias("raw_score")))
+
 
+def credits(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, strategy, rank, grade, judgment_id; judged by document id alone."""
 
-def credits(spark: SparkSession, d: str, j: DataFrame | None = None) -> DataFrame:
-    """query_id (with its strategy), rank, grade, judgment_id; judged by document id alone."""
-    judged = judgments(spark, d) if j is None else j
-    r = retrieved(spark, d).select(F.struct("query_id", "strategy").alias("query_id"), "rank", F.col("key").alias("document_id"))
-    j = judged.crossJoin(F.broadcast(spark.range(3))).select(F.struct("query_id", F.get(F.array(*map(F.lit, ("bm25", "semantic", "hybrid"))), F.col("id").cast("int")).alias("strategy")).alias("query_id"), "judgment_id", "document_id", "relevance")
-    m = r.join(j, ["query_id", "document_id"]).select("query_id", "rank", "judgment_id", "relevance")
-    return evaluate.credited(r, m).select("query_id.query_id", "query_id.strategy", "rank", "grade", "judgment_id")
+    def judged() -> DataFrame:
+        r = retrieved(spark, d).select(F.struct("query_id", "strategy").alias("query_id"), "rank", F.col("key").alias("document_id"))
+        j = judgments(spark, d).select("*", F.explode(F.array(*map(F.lit, STRATEGIES))).alias("strategy")).withColumn("query_id", F.struct("query_id", "strategy"))
+        m = r.join(j, ["query_id", "document_id"]).select("query_id", "rank", "judgment_id", "relevance")
+        return evaluate.credited(r, m).select("query_id.query_id", "query_id.strategy", "rank", "grade", "judgment_id")
+
+    return shared(spark, (d,), judged, "credits")
 
 
 def metric_rows(spark: SparkSession, d: str) -> DataFrame:
     """query_id, strategy, category, k and metrics."""
-    q, j = questions(spark, d), judgments(spark, d)
-    s = q.select("query_id").crossJoin(F.broadcast(spark.createDataFrame([("bm25",), ("semantic",), ("hybrid",)], "strategy string"))).select(F.struct("query_id", "strategy").alias("query_id"))
-    jj = s.join(j.select(F.col("query_id").alias("qq"), "relevance"), F.col("query_id.query_id") == F.col("qq")).select("query_id", "relevance")
-    g = credits(spark, d, j).select(F.struct("query_id", "strategy").alias("query_id"), "rank", "grade")
-    m = evaluate.metrics(s, g, jj, KS)
-    return m.select("query_id.*", *(c for c in m.columns if c != "query_id")).join(q.select("query_id", "category"), "query_id")
+
+    def measured() -> DataFrame:
+        q, j = questions(spark, d), judgments(spark, d)
+        each = F.explode(F.array(*map(F.lit, STRATEGIES))).alias("strategy")
+        pair = F.struct("query_id", "strategy").alias("query_id")
+        g = credits(spark, d).select(pair, "rank", "grade")
+        m = evaluate.metrics(q.select("query_id", each).select(pair), g, j.select("query_id", "relevance", each).select(pair, "relevance"), KS)
+        return m.select("query_id.*", *(c for c in m.columns if c != "query_id")).join(q.select("query_id", "category"), "query_id")
+
+    return shared(spark, (d,), measured, "metric_rows")
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -91,7 +110,7 @@ def strategy_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 def win_loss(spark: SparkSession, d: str) -> DataFrame:
     m = metric_rows(spark, d).where("k = 5").withColumn("failed", F.lit(False)).withColumn("ndcg", F.round("ndcg", 9)).withColumn("rr", F.round("rr", 9))
-    return compare.outcomes(m, "bm25", "hybrid").groupBy("outcome", "success").agg(F.count("*").alias("n"))
+    return compare.outcomes(m, "bm25", "hybrid").groupBy("outcome", "success", "regression").agg(F.count("*").alias("n"))
 
 
 def overlap_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -117,6 +136,106 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return rounded(compare.bootstrap(long))
 
 
+def judged_items(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, strategy, rank, key, grade, judgment_id."""
+    return retrieved(spark, d).select("query_id", "strategy", "rank", "key").join(credits(spark, d), ["query_id", "strategy", "rank"])
+
+
+def query_rows(spark: SparkSession, d: str, strategy: str = "bm25") -> DataFrame:
+    """A strategy's queries at 5 as reports order them: query_id, failed, n_relevant, n_results, hit, ndcg, rr, first, missed, irrelevant_share."""
+    size = docs(spark, d).select(F.col("doc_id").alias("key"), token_estimate(F.col("text")).alias("n_tokens"))
+    items = judged_items(spark, d).where(F.col("strategy") == strategy).join(size, "key")
+    share = F.sum(F.when(F.col("grade") == 0, F.col("n_tokens")).otherwise(0)) / F.sum("n_tokens")
+    per = items.groupBy("query_id").agg(F.round(share, 9).alias("irrelevant_share"), F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first"), F.count_if(F.col("grade") > 0).alias("n_found"))
+    m = metric_rows(spark, d).where((F.col("strategy") == strategy) & (F.col("k") == 5)).select("query_id", "n_relevant", "n_results", "hit", F.round("ndcg", 9).alias("ndcg"), F.round("rr", 9).alias("rr"))
+    return m.join(per, "query_id", "left").select(F.lit(False).alias("failed"), "query_id", "n_relevant", "n_results", "hit", "ndcg", "rr", "first", (F.col("n_relevant") - F.coalesce("n_found", F.lit(0))).alias("missed"), F.coalesce("irrelevant_share", F.lit(0.0)).alias("irrelevant_share"))
+
+
+def strongest_queries(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.strongest(query_rows(spark, d)).select("query_id", "ndcg", "rr", "irrelevant_share"))
+
+
+def worst_queries(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.worst(query_rows(spark, d)).select("query_id", "penalty"))
+
+
+def false_positives(spark: SparkSession, d: str) -> DataFrame:
+    items = judged_items(spark, d).where("strategy = 'bm25'").join(query_rows(spark, d).select("query_id", "n_relevant", "irrelevant_share"), "query_id")
+    return rounded(evaluate.false_positives(items).select("query_id", "rank", F.col("key").alias("doc_id"), "irrelevant_share"))
+
+
+def missed_judgments(spark: SparkSession, d: str) -> DataFrame:
+    own = credits(spark, d).where("strategy = 'semantic'")
+    return evaluate.missed(judgments(spark, d), own).select("query_id", F.array_join("missed", ",").alias("missed"))
+
+
+def retrieval_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Rankings with faults planted by query."""
+    q = F.col("query_id")
+    r = components(spark, d).where("strategy = 'bm25'").select("query_id", F.when(q % 5 == 1, F.col("rank") + 1).otherwise(F.col("rank")).alias("rank"), F.when(q % 5 == 2, F.lit(" ")).otherwise(F.col("key").cast("string")).alias("document_id"), F.when(q % 5 == 3, F.lit(float("nan"))).otherwise(F.col("raw_score")).alias("score"), F.when(q % 5 == 4, 0).otherwise(1).alias("n_tokens"))
+    return evaluate.ranking_problems(r)
+
+
+def mapped_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose dataset id is found by canonical url, by url or not at all."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    known = p.where("page_id % 3 <> 2").select(F.concat(F.lit("d"), "page_id").alias("document_id"), "url")
+    r = p.select("page_id", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise("https://other/").alias("canonical_url"), "url", F.concat(F.lit("raw"), "page_id").alias("document_id"))
+    return evaluate.document_ids(r, known).select("page_id", "document_id")
+
+
+def mapped_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' sections by heading path: source and language, of which the dataset names some."""
+    x = docs(spark, d).select((F.col("doc_id") % 10).alias("document_id"), F.array("source", "lang").alias("heading_path"), "doc_id")
+    s = x.where("doc_id % 2 = 0").select(F.concat_ws(":", "document_id", F.array_join("heading_path", "/")).alias("section_id"), "document_id", "heading_path").distinct()
+    return evaluate.section_ids(x, s).select("doc_id", "section_id")
+
+
+def selected_context_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Context quality of what a budget of 600 tokens selects."""
+    size = docs(spark, d).select(F.col("doc_id").alias("key"), token_estimate(F.col("text")).alias("n_tokens"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    items = judged_items(spark, d).where("strategy = 'bm25'").join(size, "key")
+    chosen = context.select_context(items.select("query_id", "rank", "content_hash", F.col("key").alias("document_id"), "n_tokens", F.col("n_tokens").alias("source_tokens")), 600)
+    own = chosen.select("query_id", F.explode("selected").alias("s")).select("query_id", "s.rank")
+    return rounded(evaluate.context_quality(items.join(own, ["query_id", "rank"])))
+
+
+def run_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Why two runs over the judgments can't be compared: one has another budget and lacks a query."""
+    ids = F.array_sort(F.collect_set("query_id"))
+    both = []
+    for name, budget, rows in (("bm25", 3000, judgments(spark, d)), ("semantic", 2000, judgments(spark, d).where("query_id > 0"))):
+        both.append(rows.agg(ids.alias("query_ids")).select(F.lit(name).alias("strategy"), F.lit("set").alias("dataset_name"), F.lit("1").alias("dataset_version"), F.lit("x").alias("dataset_signature"), F.lit("c").alias("chunking"), F.lit(9).alias("n_chunks"), F.array(F.lit(1), F.lit(10)).alias("limits"), F.lit(budget).alias("token_budget"), "query_ids"))
+    return compare.run_differences(both[0].union(both[1]), 5)
+
+
+def category_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(compare.by_category(metric_rows(spark, d).where("k = 5"), STRATEGIES))
+
+
+def outcome_rows(spark: SparkSession, d: str) -> DataFrame:
+    return metric_rows(spark, d).where("k = 5").withColumn("failed", F.lit(False)).withColumn("ndcg", F.round("ndcg", 9)).withColumn("rr", F.round("rr", 9))
+
+
+def outcome_classes(spark: SparkSession, d: str) -> DataFrame:
+    return compare.classes(outcome_rows(spark, d)).select("class", F.array_join(F.transform("query_ids", lambda q: q.cast("string")), ",").alias("query_ids"))
+
+
+def query_evidence(spark: SparkSession, d: str) -> DataFrame:
+    gone = [evaluate.missed(judgments(spark, d), credits(spark, d).where(F.col("strategy") == s)).withColumn("strategy", F.lit(s)) for s in STRATEGIES]
+    out = compare.query_evidence(metric_rows(spark, d), judged_items(spark, d), gone[0].union(gone[1]).union(gone[2]))
+    listed = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["rank"], x["key"], x["grade"])), ",")
+    return rounded(out.select("query_id", "strategy", "recall", "ndcg", "first", listed.alias("items"), F.array_join("missed", ",").alias("missed")))
+
+
+def exclusive_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return compare.exclusive(retrieved(spark, d), "bm25", "semantic").select("query_id", F.col("key").alias("doc_id"), "strategy")
+
+
+def hybrid_contribution(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(compare.contribution(fused(spark, d), components(spark, d)))
+
+
 def latency_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.latency(spark.read.parquet(f"{d}/events.parquet"), "value", "event_type"))
 
@@ -139,10 +258,11 @@ def dataset_problems(spark: SparkSession, d: str) -> DataFrame:
 
 # SQL
 
-_BM25 = term_scores_sql("SELECT item_id AS query_id, p, tk[p] AS term FROM (SELECT item_id, tk, unnest(range(1, len(tk) + 1)) AS p FROM (SELECT item_id, list_filter(x, lambda y, i: length(y) >= {n} AND list_position(x, y) = i) AS tk FROM (SELECT item_id, {t} AS x FROM benchmark)))".replace("{n}", str(LETTERS)).replace("{t}", _toks("text")))
+_BM25 = term_scores_sql("SELECT item_id AS query_id, p, tk[p] AS term FROM (SELECT item_id, tk, unnest(range(1, len(tk) + 1)) AS p FROM (SELECT item_id, list_filter(x, lambda y, i: list_position(x, y) = i) AS tk FROM (SELECT item_id, {t} AS x FROM benchmark)))".replace("{t}", _toks("text")))
 RUN_SQL = f"""{_BM25},
 ra AS (SELECT query_id, 'bm25' AS strategy, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS rank FROM sc),
-rb AS (SELECT query_id, 'semantic' AS strategy, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY tf DESC, doc_id) AS rank FROM sc),
+{vectors_sql("SELECT item_id AS i, text AS t FROM benchmark")},
+rb AS (SELECT query_id, 'semantic' AS strategy, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM vs),
 rk AS (SELECT * FROM ra WHERE rank <= 10 UNION ALL SELECT * FROM rb WHERE rank <= 10),
 fu AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, count(*) AS n, min(rank) AS best, min(rank) FILTER (WHERE strategy = 'bm25') AS r1, min(rank) FILTER (WHERE strategy = 'semantic') AS r2 FROM rk GROUP BY ALL),
 fr AS (SELECT query_id, 'hybrid' AS strategy, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, n DESC, best, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS rank FROM fu),
@@ -163,10 +283,14 @@ su AS (SELECT strategy, k, count(*) FILTER (WHERE n_relevant > 0) AS n_positive,
 fb AS (SELECT j.query_id, j.doc_id, bool_or(coalesce(strategy = 'bm25', false)) AS in_a, bool_or(coalesce(strategy = 'semantic', false)) AS in_b, bool_or(coalesce(strategy = 'hybrid', false)) AS in_h FROM jd j LEFT JOIN rt ON rt.query_id = j.query_id AND rt.doc_id = j.doc_id AND rank <= 5 GROUP BY ALL)"""
 _r = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 
+QL_SQL = "ql AS (SELECT query_id, strategy, CASE WHEN n_relevant = 0 THEN (n_results = 0)::INT::DOUBLE ELSE round(ndcg, 9) END AS x, CASE WHEN n_relevant = 0 THEN -n_results::DOUBLE ELSE recall END AS y, CASE WHEN n_relevant = 0 THEN 0.0 ELSE round(rr, 9) END AS z FROM mt WHERE k = 5)"
+SIZED_SQL = "gz AS (SELECT gr.*, (length(text) + 3) // 4 AS t FROM gr JOIN documents USING (doc_id)), sh AS (SELECT query_id, round(sum(t) FILTER (WHERE grade = 0) / sum(t), 9) AS share, min(rank) FILTER (WHERE grade > 0) AS first, count(*) FILTER (WHERE grade > 0) AS found FROM gz WHERE strategy = 'bm25' GROUP BY 1), qr AS (SELECT query_id, n_relevant, n_results, hit, round(ndcg, 9) AS ndcg, round(rr, 9) AS rr, coalesce(share, 0) AS share, first, n_relevant - coalesce(found, 0) AS missed FROM mt LEFT JOIN sh USING (query_id) WHERE strategy = 'bm25' AND k = 5)"
+
 QUERIES = {
     f.__name__: f
     for f in (
-        judgment_set, ir_metrics_at_k, map_mrr_ndcg, metrics_by_category, strategy_deltas, win_loss, overlap_jaccard, coverage_partition, oracle_union_recall, fusion_recovery, bootstrap_interval, latency_summary, context_quality, dataset_problems,
+        judgment_set, ir_metrics_at_k, map_mrr_ndcg, metrics_by_category, strategy_deltas, win_loss, overlap_jaccard, coverage_partition, oracle_union_recall, fusion_recovery, bootstrap_interval, latency_summary, context_quality, dataset_problems, strongest_queries, worst_queries, false_positives, missed_judgments, retrieval_problems, mapped_ids, mapped_sections,
+        selected_context_quality, run_differences, category_pivot, outcome_classes, query_evidence, exclusive_candidates, hybrid_contribution,
     )
 }
 ORACLES = {
@@ -176,7 +300,7 @@ ORACLES = {
     "metrics_by_category": f"WITH {RUN_SQL} SELECT k, category, count(*) AS n, {', '.join(f'round(coalesce(avg({c}) FILTER (WHERE n_relevant > 0), 0), 6) AS {c}' for c in ('hit', 'precision', 'recall', 'ap', 'ndcg', 'rr'))} FROM mt WHERE strategy = 'bm25' GROUP BY GROUPING SETS ((k), (k, category))",
     "strategy_deltas": f"WITH {RUN_SQL} " + " UNION ALL ".join(f"SELECT a.k, '{m}' AS metric, round(a.{m}, 6) AS a, round(b.{m}, 6) AS b, round(b.{m} - a.{m}, 6) AS delta FROM su a JOIN su b ON a.k = b.k WHERE a.strategy = 'bm25' AND b.strategy = 'hybrid'" for m in ("hit", "precision", "recall", "map", "ndcg", "mrr")),
     "win_loss": f"""WITH {RUN_SQL}, ql AS (SELECT query_id, strategy, CASE WHEN n_relevant = 0 THEN (n_results = 0)::INT::DOUBLE ELSE round(ndcg, 9) END AS x, CASE WHEN n_relevant = 0 THEN -n_results::DOUBLE ELSE recall END AS y, CASE WHEN n_relevant = 0 THEN 0.0 ELSE round(rr, 9) END AS z FROM mt WHERE k = 5)
-SELECT CASE WHEN (b.x, b.y, b.z) > (a.x, a.y, a.z) THEN 'win' WHEN (b.x, b.y, b.z) < (a.x, a.y, a.z) THEN 'loss' ELSE 'tie' END AS outcome, CASE WHEN a.x > 0 AND b.x > 0 THEN 'both' WHEN a.x > 0 THEN 'bm25 only' WHEN b.x > 0 THEN 'hybrid only' ELSE 'neither' END AS success, count(*) AS n
+SELECT CASE WHEN (b.x, b.y, b.z) > (a.x, a.y, a.z) THEN 'win' WHEN (b.x, b.y, b.z) < (a.x, a.y, a.z) THEN 'loss' ELSE 'tie' END AS outcome, CASE WHEN a.x > 0 AND b.x > 0 THEN 'both' WHEN a.x > 0 THEN 'bm25 only' WHEN b.x > 0 THEN 'hybrid only' ELSE 'neither' END AS success, a.x > 0 AND (NOT b.x > 0 OR (b.x, b.y, b.z) < (a.x, a.y, a.z)) AS regression, count(*) AS n
 FROM ql a JOIN ql b USING (query_id) WHERE a.strategy = 'bm25' AND b.strategy = 'hybrid' GROUP BY ALL""",
     "overlap_jaccard": f"""WITH {RUN_SQL}, l AS (SELECT q.query_id, s.strategy, k, list(doc_id) FILTER (WHERE rank <= k) AS x FROM (SELECT DISTINCT query_id FROM rt) q, (SELECT DISTINCT strategy FROM rt) s, (VALUES (1), (3), (5), (10)) ks(k), rt WHERE rt.query_id = q.query_id AND rt.strategy = s.strategy GROUP BY ALL),
 p AS (SELECT a.strategy AS a, b.strategy AS b, a.k, len(list_intersect(a.x, b.x)) AS i, len(a.x) + len(b.x) - len(list_intersect(a.x, b.x)) AS u FROM l a JOIN l b ON a.query_id = b.query_id AND a.k = b.k AND a.strategy < b.strategy)
@@ -186,4 +310,30 @@ SELECT a, b, k, count(*) AS n_queries, sum(i)::BIGINT AS shared, sum(u)::BIGINT
     "fusion_recovery": f"WITH {RUN_SQL} SELECT count(*) AS single, count(*) FILTER (WHERE in_h) AS recovered, round(count(*) FILTER (WHERE in_h) / nullif(count(*), 0), 6) AS rate FROM fb WHERE in_a <> in_b",
     "latency_summary": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_disc(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY event_type",
     "context_quality": f"WITH {RUN_SQL} SELECT round(1000.0 * count(*) FILTER (WHERE grade > 0) / sum((length(text) + 3) // 4), 6) AS relevant_per_1000, round(sum((length(text) + 3) // 4) FILTER (WHERE grade = 0) / sum((length(text) + 3) // 4), 6) AS irrelevant_share FROM gr JOIN documents USING (doc_id) WHERE strategy = 'bm25'",
+    "strongest_queries": f"WITH {RUN_SQL}, {SIZED_SQL} SELECT query_id, round(ndcg, 6) AS ndcg, round(rr, 6) AS rr, round(share, 6) AS irrelevant_share FROM qr WHERE n_relevant > 0 ORDER BY qr.ndcg DESC, qr.rr DESC, qr.share, query_id DESC LIMIT 10",
+    "worst_queries": f"WITH {RUN_SQL}, {SIZED_SQL}, pe AS (SELECT query_id, CASE WHEN n_relevant = 0 THEN CASE WHEN n_results > 0 THEN 2000.0 + 10 * n_results ELSE 0 END ELSE 1000 * (1 - hit) + 100 * missed + 10 * (coalesce(first, 1) - 1) + 50 * share END::DOUBLE AS penalty FROM qr) SELECT query_id, round(penalty, 6) AS penalty FROM pe ORDER BY pe.penalty DESC, query_id DESC LIMIT 10",
+    "false_positives": f"WITH {RUN_SQL}, {SIZED_SQL} SELECT query_id, rank::INT AS rank, doc_id, round(share, 6) AS irrelevant_share FROM gr JOIN qr USING (query_id) WHERE strategy = 'bm25' AND grade = 0 ORDER BY n_relevant > 0, qr.share DESC, query_id, rank LIMIT 20",
+    "missed_judgments": f"WITH {RUN_SQL}, ms AS (SELECT query_id, doc_id::VARCHAR AS j FROM jd WHERE NOT EXISTS (SELECT 1 FROM rt WHERE strategy = 'semantic' AND rt.query_id = jd.query_id AND rt.doc_id = jd.doc_id)) SELECT query_id, array_to_string(list_sort(list(j)), ',') AS missed FROM ms GROUP BY 1",
+    "retrieval_problems": f"WITH {RUN_SQL} SELECT query_id, CASE query_id % 5 WHEN 1 THEN 'ranks' WHEN 2 THEN 'blank id' WHEN 3 THEN 'score' ELSE 'tokens' END AS problem FROM ra WHERE rank <= 10 AND query_id % 5 > 0 GROUP BY query_id",
+    "mapped_ids": "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'raw' ELSE 'd' END || page_id AS document_id FROM pages",
+    "mapped_sections": "WITH x AS (SELECT doc_id, doc_id % 10 AS i, source || '/' || lang AS h FROM documents), s AS (SELECT DISTINCT i, h FROM x WHERE doc_id % 2 = 0) SELECT doc_id, CASE WHEN s.h IS NOT NULL THEN x.i || ':' || x.h END AS section_id FROM x LEFT JOIN s ON s.i = x.i AND s.h = x.h",
+    "selected_context_quality": f"""WITH RECURSIVE {RUN_SQL}, hi AS (SELECT query_id, rank, grade, (length(text) + 3) // 4 AS t, sha256(text) AS h FROM gr JOIN documents USING (doc_id) WHERE strategy = 'bm25'),
+de AS (SELECT query_id, min(rank) AS rank, arg_min(t, rank) AS t, arg_min(grade, rank) AS grade FROM hi GROUP BY query_id, h), od AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM de),
+fo(query_id, i, used, t, grade) AS (SELECT DISTINCT query_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM od UNION ALL SELECT f.query_id, o.i, CASE WHEN used + o.t <= 600 THEN used + o.t ELSE used END, CASE WHEN used + o.t <= 600 THEN o.t ELSE 0 END, o.grade FROM fo f JOIN od o ON o.query_id = f.query_id AND o.i = f.i + 1)
+SELECT round(coalesce(1000.0 * count(*) FILTER (WHERE grade > 0 AND t > 0) / nullif(sum(t), 0), 0), 6) AS relevant_per_1000, round(coalesce(sum(t) FILTER (WHERE grade = 0) / nullif(sum(t), 0), 0), 6) AS irrelevant_share FROM fo""",
+    "run_differences": "SELECT 'no K=5' AS problem UNION ALL SELECT 'different token_budget' UNION ALL SELECT 'different query_ids' WHERE EXISTS (SELECT 1 FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE item_id <= 0)",
+    "category_pivot": f"WITH {RUN_SQL} SELECT category, " + ", ".join(f"round(coalesce(avg(rr) FILTER (WHERE strategy = '{s}' AND n_relevant > 0), 0), 6) AS {s}" for s in STRATEGIES) + " FROM mt WHERE k = 5 GROUP BY category",
+    "outcome_classes": f"""WITH {RUN_SQL}, {QL_SQL}, wq AS (SELECT l.query_id, (l.x, l.y, l.z) AS x, (v.x, v.y, v.z) AS y, (f.x, f.y, f.z) AS f, l.x > 0 AS lx, v.x > 0 AS vx, f.x > 0 AS fx FROM ql l JOIN ql v USING (query_id) JOIN ql f USING (query_id) WHERE l.strategy = 'bm25' AND v.strategy = 'semantic' AND f.strategy = 'hybrid'),
+cl AS (SELECT query_id, unnest(list_filter([CASE WHEN f > x AND f > y THEN 'hybrid wins' END, CASE WHEN f > x THEN 'hybrid beats bm25' END, CASE WHEN f > y THEN 'hybrid beats semantic' END, CASE WHEN x > y AND x > f THEN 'bm25 wins' END, CASE WHEN y > x AND y > f THEN 'semantic wins' END,
+  CASE WHEN (lx OR vx) AND (f < x OR f < y) THEN 'regression' END, CASE WHEN NOT (lx OR vx OR fx) THEN 'all fail' END], lambda c: c IS NOT NULL)) AS class FROM wq)
+SELECT class, array_to_string(list_sort(list(query_id)), ',') AS query_ids FROM cl GROUP BY class""",
+    "query_evidence": f"""WITH {RUN_SQL}, it AS (SELECT query_id, strategy, min(rank) FILTER (WHERE grade > 0)::INT AS first, string_agg(rank || ':' || doc_id || ':' || grade, ',' ORDER BY rank) AS items FROM gr GROUP BY ALL),
+ms AS (SELECT jd.query_id, s.strategy, array_to_string(list_sort(list(doc_id::VARCHAR)), ',') AS missed FROM jd, (VALUES ('bm25'), ('semantic'), ('hybrid')) s(strategy) WHERE NOT EXISTS (SELECT 1 FROM rt WHERE rt.strategy = s.strategy AND rt.query_id = jd.query_id AND rt.doc_id = jd.doc_id) GROUP BY ALL)
+SELECT query_id, strategy, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg, first, items, missed FROM mt LEFT JOIN it USING (query_id, strategy) LEFT JOIN ms USING (query_id, strategy) WHERE k = 5""",
+    "exclusive_candidates": f"WITH {RUN_SQL} SELECT query_id, doc_id, min(strategy) AS strategy FROM rk WHERE rank <= 5 GROUP BY query_id, doc_id HAVING count(*) = 1",
+    "hybrid_contribution": f"""WITH {RUN_SQL}, h AS (SELECT f.query_id, f.doc_id, f.rank, r1, r2, s1.score AS s1, s2.score AS s2 FROM fr f JOIN fu USING (query_id, doc_id) LEFT JOIN sc s1 ON r1 IS NOT NULL AND s1.query_id = f.query_id AND s1.doc_id = f.doc_id LEFT JOIN vs s2 ON r2 IS NOT NULL AND s2.query_id = f.query_id AND s2.doc_id = f.doc_id WHERE f.rank <= 5),
+ex AS (SELECT query_id, doc_id FROM rk WHERE rank <= 5 GROUP BY ALL HAVING count(*) = 1), ke AS (SELECT count(*) AS exclusive, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM h WHERE h.query_id = ex.query_id AND h.doc_id = ex.doc_id)) AS retained FROM ex),
+ag2 AS (SELECT count(*) AS n, count(*) FILTER (WHERE r1 IS NOT NULL AND r2 IS NOT NULL) AS dual, count(*) FILTER (WHERE r2 IS NULL) AS bm25_only, count(*) FILTER (WHERE r1 IS NULL) AS semantic_only, avg(1.0::DOUBLE / (60 + r1)) AS c1, avg(1.0::DOUBLE / (60 + r2)) AS c2, avg(s1) AS s1, avg(s2) AS s2, count(*) FILTER (WHERE r1 IS NOT NULL AND r2 IS NOT NULL AND rank < least(r1, r2)) AS promoted FROM h)
+SELECT n, dual, bm25_only, semantic_only, 0::BIGINT AS unattributed, round(dual / n, 6) AS dual_share, round(bm25_only / n, 6) AS bm25_only_share, round(semantic_only / n, 6) AS semantic_only_share, 0.0::DOUBLE AS unattributed_share, round(c1, 6) AS mean_bm25_contribution, round(c2, 6) AS mean_semantic_contribution,
+  round(s1, 6) AS mean_bm25_score, round(s2, 6) AS mean_semantic_score, promoted, round(coalesce(promoted / nullif(dual, 0), 0), 6) AS promotion_rate, exclusive, retained, round(coalesce(retained / nullif(exclusive, 0), 0), 6) AS retention_rate FROM ag2, ke""",
 }

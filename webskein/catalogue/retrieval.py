@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webskein.functions.text import FOLD_FROM, FOLD_TO, TOKEN, token_estimate
 from webskein.operators import context, fusion, lexical, semantic
-from webskein.plans.staging import stage
+from webskein.plans.staging import shared, stage
 
 TERMS = {"q1": "license Public", "q2": "stupid idiot clown", "q3": "der und die", "q4": "que los token", "q5": "Zzyzx ???"}
 PHRASES = {"p1": "General-Public", "p2": "All.rights reserved", "p3": "example.com"}
@@ -17,9 +17,50 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
-def index(spark: SparkSession, d: str) -> DataFrame:
-    """Token arrays, written once: every later step reads only these."""
-    return stage(lexical.tokenised(docs(spark, d), "doc_id", "text", "source", "lang"), "index")
+_indexes: dict[tuple, lexical.Index] = {}
+
+
+def index(spark: SparkSession, d: str) -> lexical.Index:
+    """Of whole documents, with source and language as title and heading; built once for a session and folder."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _indexes:
+        _indexes[key] = lexical.build(lexical.tokenised(docs(spark, d), "doc_id", "text", "source", "lang"))
+    return _indexes[key]
+
+
+DIMENSION = 64
+
+
+def model() -> semantic.HashedWords:
+    return semantic.HashedWords(DIMENSION, 1 << 30)
+
+
+def embedded(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, vector."""
+    kind = dict(texts.dtypes)[key]
+    out = semantic.embedded(texts.select(F.col(key).alias("chunk_hash"), F.col(text).alias("text")), model)
+    return out.select(F.col("chunk_hash").cast(kind).alias("key"), "vector")
+
+
+def document_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return shared(spark, (d,), lambda: embedded(docs(spark, d), "doc_id", "text"), "document_vectors")
+
+
+def vector_ranking(spark: SparkSession, d: str, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, key, score of the documents that are nearest by cosine. queries: query_id, query."""
+    q = embedded(queries, "query_id", "query").select(F.col("key").alias("query_id"), "vector")
+    return semantic.search(document_vectors(spark, d), q, k)
+
+
+def embedding_sql(rows: str) -> str:
+    """HashedWords in SQL: i, v (doubles that went through float32) of the rows' i, t."""
+    at = lambda k: f"(strpos('0123456789abcdef', h[{k}]) - 1)"
+    return f"""(SELECT i, list_transform(range(0, {DIMENSION}), lambda b: ((coalesce(m[b], 0) / n)::FLOAT)::DOUBLE) AS v FROM (
+  SELECT i, map_from_entries(list((b, x))) AS m, sqrt(sum(x * x)) AS n FROM (
+    SELECT i, b, CASE WHEN b = 0 AND NOT bool_or(x <> 0) OVER (PARTITION BY i) THEN 1.0 ELSE x END::DOUBLE AS x FROM (
+      SELECT i, {at(1)} % 4 * 16 + {at(2)} AS b, sum(1 - 2 * (1 - {at(10)} % 2)) AS x FROM (SELECT i, md5(w) AS h FROM (SELECT i, unnest(list_filter(string_split_regex(lower(coalesce(t, '')), '\\s+'), lambda y: y <> '')) AS w FROM ({rows}))) GROUP BY ALL
+      UNION ALL SELECT i, 0, 0 FROM ({rows}) WHERE trim(coalesce(t, '')) = ''))
+  GROUP BY i))"""
 
 
 def queries_frame(spark: SparkSession, q: dict[str, str]) -> DataFrame:
@@ -147,17 +188,25 @@ STORE_SQL = "WITH c AS (SELECT doc_id AS h FROM documents), v AS (SELECT vec_id
 
 
 def two_rankings(spark: SparkSession, d: str) -> DataFrame:
-    """The 20 best by BM25, and by plain weighted occurrences."""
-    ix, phrases = index(spark, d), lexical.parsed(queries_frame(spark, TERMS))
-    a = lexical.top(lexical.bm25(ix, phrases), 20, F.round("score", 9), F.col("key")).select("query_id", F.lit("bm25").alias("strategy"), F.lit(1.0).alias("weight"), "key", "rank", F.col("score").alias("raw_score"))
-    tf = lexical.matches(ix, phrases).groupBy("query_id", "key").agg(F.sum("tf").alias("raw_score"))
-    b = lexical.top(tf, 20, F.desc("raw_score"), F.col("key")).select("query_id", F.lit("semantic").alias("strategy"), F.lit(0.5).alias("weight"), "key", "rank", "raw_score")
-    return a.union(b)
+    """The 20 best by BM25, and by vectors."""
+    q = queries_frame(spark, TERMS)
+    lists = {"bm25": (lexical.search(index(spark, d), q, 20), 1.0), "semantic": (vector_ranking(spark, d, q, 20), 0.5)}
+    each = [r.select("query_id", F.lit(s).alias("strategy"), F.lit(w).alias("weight"), "key", "rank", F.col("score").alias("raw_score")) for s, (r, w) in lists.items()]
+    return stage(each[0].union(each[1]), "rankings")
+
+
+def vectors_sql(queries: str) -> str:
+    """Common table expressions up to ``vs`` (query_id, doc_id, score); queries: query that gives i, t."""
+    dot = "list_sum(list_transform(list_zip(d.v, q.v), lambda p: p[1] * p[2]))"
+    return f"""vd AS MATERIALIZED {embedding_sql("SELECT doc_id AS i, text AS t FROM documents")}, vq AS MATERIALIZED {embedding_sql(queries)},
+vs AS (SELECT q.i AS query_id, d.i AS doc_id, greatest(-1.0, least(1.0, {dot})) AS score FROM vd d, vq q)"""
 
 
+_TEXTS = f"SELECT * FROM (VALUES {', '.join(f'({i!r}, {t!r})' for i, t in TERMS.items())}) v(i, t)"
 RANKINGS_SQL = f"""{term_scores_sql(f"SELECT query_id, p, ph[1] AS term FROM (VALUES {_values(TERMS)}) v(query_id, p, ph)")},
 ra AS (SELECT query_id, 'bm25' AS strategy, 1.0 AS weight, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS rank FROM sc),
-rb AS (SELECT query_id, 'semantic' AS strategy, 0.5 AS weight, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY tf DESC, doc_id) AS rank FROM sc),
+{vectors_sql(_TEXTS)},
+rb AS (SELECT query_id, 'semantic' AS strategy, 0.5 AS weight, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM vs),
 rk AS (SELECT * FROM ra WHERE rank <= 20 UNION ALL SELECT * FROM rb WHERE rank <= 20),
 fu AS (SELECT query_id, doc_id, sum(weight / (60 + rank)) AS score, count(*) AS n_lists, min(rank) AS best, min(rank) FILTER (WHERE strategy = 'bm25') AS bm25_rank, min(rank) FILTER (WHERE strategy = 'semantic') AS semantic_rank FROM rk GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, n_lists DESC, best, bm25_rank NULLS LAST, semantic_rank NULLS LAST, doc_id)::INT AS rank FROM fu)"""
@@ -212,7 +261,8 @@ ORACLES = {
     "corpus_stats": f"WITH {INDEX_SQL}, {STATS_SQL} SELECT n AS n_chunks, round(a, 6) AS avg_tokens FROM st",
     "term_df_topk": f"WITH {INDEX_SQL}, e AS (SELECT doc_id, unnest(list_concat(list_concat(f0, f1), f2)) AS term FROM il) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM e GROUP BY term ORDER BY df DESC, cf DESC, term LIMIT 50",
     "cosine_topk": COSINE_SQL,
-    "embedding_readiness": STORE_SQL + " SELECT (SELECT count(*) FROM c) AS n_chunks, count(*) FILTER (WHERE m = 'm1') AS n_vectors, 256 * count(*) FILTER (WHERE m = 'm1') AS stored_bytes, count(*) FILTER (WHERE m = 'm2') AS n_other, (SELECT count(*) FROM c) > 0 AND (SELECT count(*) FROM c) = count(*) FILTER (WHERE m = 'm1') AS ready FROM v",
+    "embedding_readiness": STORE_SQL + """, x AS (SELECT count(*) AS n_chunks, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM v WHERE v.h = c.h AND m = 'm1')) AS n_vectors FROM c)
+SELECT n_chunks, n_vectors, n_chunks - n_vectors AS n_missing, (SELECT count(*) FROM v WHERE m = 'm1' AND h NOT IN (SELECT h FROM c)) AS n_stale, 256 * (SELECT count(*) FROM v WHERE m = 'm1') AS stored_bytes, (SELECT count(*) FROM v WHERE m = 'm2') AS n_other, n_chunks > 0 AND n_chunks = n_vectors AS ready FROM x""",
     "missing_embeddings": STORE_SQL + " SELECT h AS doc_id FROM c WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.h = c.h AND m = 'm1')",
     "stale_embeddings": STORE_SQL + " SELECT h AS chunk_id FROM v WHERE m = 'm1' AND NOT EXISTS (SELECT 1 FROM c WHERE c.h = v.h)",
     "vector_problems": "SELECT CASE WHEN vec_id % 10 = 3 THEN 'dimension' WHEN vec_id % 10 = 4 THEN 'not normalised' ELSE 'none' END AS problem, count(*) AS n FROM embeddings GROUP BY 1",

@@ -38,6 +38,21 @@ def is_http(url: Column) -> Column:
     return F.coalesce(url.rlike("(?i)" + PATTERN) & ~url.rlike(r"\s") & ~url.rlike(r"^[^:]*://[^/?#]*\\"), F.lit(False))
 
 
+def origin(url: Column) -> Column:
+    """scheme://host, with a port that isn't the scheme's own; null unless http(s)."""
+    own = F.when(scheme(url) == "https", 443).otherwise(80)
+    return F.when(is_http(url), F.concat(scheme(url), F.lit("://"), host(url), F.when(port(url) == own, "").otherwise(F.concat(F.lit(":"), port(url).cast("string")))))
+
+
+def robots_url(url: Column) -> Column:
+    return F.concat(origin(url), F.lit("/robots.txt"))
+
+
+def any_host(h: Column) -> Column:
+    """canonical_host of ASCII names, and of the IDNA form of others."""
+    return F.when(h.rlike(r"^[\x00-\x7F]*$"), canonical_host(h)).otherwise(canonical_host(ascii_host(h)))
+
+
 def same_origin(a: Column, b: Column) -> Column:
     return (scheme(a) == scheme(b)) & (host(a) == host(b)) & (port(a) == port(b))
 

@@ -26,12 +26,53 @@ def quality(rows: DataFrame) -> DataFrame:
 
 
 def outcomes(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """query_id, outcome (win of b, loss, tie), success (both, a only, b only, neither) by a result's being above nothing."""
+    """query_id, outcome (win of b, loss, tie), success (both, a only, b only, neither) by a result's being above nothing, regression (a succeeded and b is worse)."""
     q = quality(rows)
     x, y = (q.where(F.col("strategy") == s).select("query_id", F.col("q").alias(n)) for s, n in ((a, "x"), (b, "y")))
     up = lambda c: F.col(f"{c}.a") > 0
     success = F.when(up("x") & up("y"), "both").when(up("x"), f"{a} only").when(up("y"), f"{b} only").otherwise("neither")
-    return x.join(y, "query_id").select("query_id", F.when(F.col("y") > F.col("x"), "win").when(F.col("y") < F.col("x"), "loss").otherwise("tie").alias("outcome"), success.alias("success"))
+    regression = up("x") & (~up("y") | (F.col("y") < F.col("x")))
+    return x.join(y, "query_id").select("query_id", F.when(F.col("y") > F.col("x"), "win").when(F.col("y") < F.col("x"), "loss").otherwise("tie").alias("outcome"), success.alias("success"), regression.alias("regression"))
+
+
+RUN = ("dataset_name", "dataset_version", "dataset_signature", "chunking", "n_chunks", "limits", "token_budget")
+
+
+def run_differences(runs: DataFrame, focus: int = 5) -> DataFrame:
+    """problem: why runs can't be compared; none if they can. runs: strategy, RUN's columns (limits: array<int>), query_ids (array, in order)."""
+    columns = [*RUN, "query_ids"]
+    wide = runs.agg(*(F.count_distinct(F.struct(c)).alias(c) for c in columns), F.count_if(F.coalesce("dataset_signature", F.lit("")) == "").alias("unsigned"), F.count_if(~F.coalesce(F.array_contains("limits", focus), F.lit(False))).alias("unfocused"), F.count("*").alias("n"), F.count_distinct("strategy").alias("strategies"))
+    found = [F.when(F.col(c) > 1, f"different {c}") for c in columns]
+    found += [F.when(F.col("unsigned") > 0, "no dataset signature"), F.when(F.col("unfocused") > 0, f"no K={focus}"), F.when(F.col("strategies") < F.col("n"), "repeated strategy")]
+    return wide.select(F.explode(F.array_compact(F.array(*found))).alias("problem"))
+
+
+def by_category(rows: DataFrame, strategies: tuple[str, ...], metric: str = "rr") -> DataFrame:
+    """category and a column for each strategy: the mean of ``metric`` over its positive queries (0 without one; null without the category). rows: query_id, strategy, category, n_relevant, metric."""
+    mean = F.coalesce(F.avg(F.when(F.col("n_relevant") > 0, F.col(metric))), F.lit(0.0))
+    return rows.groupBy("category").pivot("strategy", list(strategies)).agg(mean)
+
+
+def classes(rows: DataFrame, a: str = "bm25", b: str = "semantic", fused: str = "hybrid") -> DataFrame:
+    """class, query_ids (sorted): the seven outcomes of a fused strategy and its components. Columns as for quality()."""
+    q = quality(rows).groupBy("query_id").agg(*(F.max(F.when(F.col("strategy") == s, F.col("q"))).alias(n) for s, n in ((a, "x"), (b, "y"), (fused, "f"))))
+    x, y, f = F.col("x"), F.col("y"), F.col("f")
+    up = lambda c: c["a"] > 0
+    tests = {
+        f"{fused} wins": (f > x) & (f > y), f"{fused} beats {a}": f > x, f"{fused} beats {b}": f > y, f"{a} wins": (x > y) & (x > f), f"{b} wins": (y > x) & (y > f),
+        "regression": (up(x) | up(y)) & (f < F.greatest(x, y)), "all fail": ~(up(x) | up(y) | up(f)),
+    }
+    names = F.array_compact(F.array(*(F.when(t, n) for n, t in tests.items())))
+    return q.select("query_id", F.explode(names).alias("class")).groupBy("class").agg(F.array_sort(F.collect_list("query_id")).alias("query_ids"))
+
+
+def query_evidence(rows: DataFrame, items: DataFrame, missed: DataFrame, k: int = 5) -> DataFrame:
+    """A row for each query and strategy: first (rank of the first relevant item), recall and ndcg at k, items (rank, key, grade, judgment_id in rank order), missed.
+
+    rows: query_id, strategy, k, recall, ndcg; items: query_id, strategy, rank, key, grade, judgment_id; missed: query_id, strategy, missed."""
+    own = items.groupBy("query_id", "strategy").agg(F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first"), F.array_sort(F.collect_list(F.struct("rank", "key", "grade", "judgment_id"))).alias("items"))
+    by = ["query_id", "strategy"]
+    return rows.where(F.col("k") == k).select(*by, "recall", "ndcg").join(own, by, "left").join(missed, by, "left")
 
 
 def overlap(retrieved: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
@@ -75,12 +116,29 @@ def recovery(judgments: DataFrame, credited: DataFrame, a: str, b: str, fused: s
     return one.join(has, ["query_id", "judgment_id"], "left").agg(F.count("*").alias("single"), F.count_if(F.coalesce("ok", F.lit(False))).alias("recovered")).withColumn("rate", F.try_divide("recovered", "single"))
 
 
-def composition(fused: DataFrame, k: int = 5) -> DataFrame:
-    """One row: shares of a fused top k that stand in both lists, in one only; mean ranks there (nulls left out)."""
+def exclusive(retrieved: DataFrame, a: str, b: str, k: int = 5) -> DataFrame:
+    """query_id, key, strategy of candidates that one of two strategies alone has in its top k: their symmetric difference. retrieved: query_id, strategy, rank, key."""
+    own = retrieved.where(F.col("strategy").isin(a, b) & (F.col("rank") <= k)).groupBy("query_id", "key").agg(F.collect_set("strategy").alias("by"))
+    return own.where(F.size("by") == 1).select("query_id", "key", F.col("by")[0].alias("strategy"))
+
+
+def contribution(fused: DataFrame, retrieved: DataFrame, a: str = "bm25", b: str = "semantic", k: int = 5) -> DataFrame:
+    """One row of a fused top k: shares of items from both lists, one, none; means over those that have them; promotions (above both ranks) of dual items; exclusive candidates and how many stay.
+
+    fused: query_id, rank, key, contributions and ranks as fuse() gives them; retrieved: query_id, strategy, rank, key of the components."""
     x = fused.where(F.col("rank") <= k)
-    a, b = F.col("bm25_rank").isNotNull(), F.col("semantic_rank").isNotNull()
-    n = F.count("*")
-    return x.agg(n.alias("n"), F.try_divide(F.count_if(a & b), n).alias("dual"), F.try_divide(F.count_if(a & ~b), n).alias("bm25_only"), F.try_divide(F.count_if(b & ~a), n).alias("semantic_only"), F.avg("bm25_rank").alias("mean_bm25_rank"), F.avg("semantic_rank").alias("mean_semantic_rank"))
+    one, two = F.col(f"{a}_rank"), F.col(f"{b}_rank")
+    dual, n = one.isNotNull() & two.isNotNull(), F.count("*")
+    of = lambda s, c: F.get(F.filter("contributions", lambda p: p["strategy"] == s), F.lit(0))[c]
+    kinds = {"dual": dual, f"{a}_only": one.isNotNull() & two.isNull(), f"{b}_only": one.isNull() & two.isNotNull(), "unattributed": one.isNull() & two.isNull()}
+    share = lambda p, q: F.coalesce(F.try_divide(p, q), F.lit(0.0))
+    own = x.agg(
+        n.alias("n"), *(F.count_if(c).alias(m) for m, c in kinds.items()), *(share(F.count_if(c), n).alias(f"{m}_share") for m, c in kinds.items()),
+        *(F.avg(of(s, "contribution")).alias(f"mean_{s}_contribution") for s in (a, b)), *(F.avg(of(s, "raw_score")).alias(f"mean_{s}_score") for s in (a, b)),
+        F.count_if(dual & (F.col("rank") < F.least(one, two))).alias("promoted"), share(F.count_if(dual & (F.col("rank") < F.least(one, two))), F.count_if(dual)).alias("promotion_rate"),
+    )
+    kept = exclusive(retrieved, a, b, k).join(x.select("query_id", "key", F.lit(True).alias("kept")), ["query_id", "key"], "left").agg(F.count("*").alias("exclusive"), F.count_if("kept").alias("retained"))
+    return own.crossJoin(kept.withColumn("retention_rate", share(F.col("retained"), F.col("exclusive"))))
 
 
 def percentile(ordered: list[float], q: float) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webskein.functions.urls import address_class, host, is_http, percent_normal, port
+from webskein.operators import html
 from webskein.plans.staging import stage
 
 TRANSIENT = (408, 429, 500, 502, 503, 504)
@@ -81,9 +82,74 @@ def policy(urls: DataFrame, column: str = "url", allow_hosts: Sequence[str] | No
     )
 
 
+def moved(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """A frontier's next state. queue: url, state; done: url, ok. Active urls that are done become processed or failed, other active ones go back, and a failed or processed url never moves again."""
+    after = F.when(F.col("state") != "active", F.col("state")).when(F.col("ok"), "processed").when(~F.col("ok"), "failed").otherwise("queued")
+    return queue.join(done.groupBy("url").agg(F.max("ok").alias("ok")), "url", "left").select("url", after.alias("state"))
+
+
+def taken(queue: DataFrame, n: int, order: str = "url") -> DataFrame:
+    """The first n queued urls become active."""
+    first = queue.where("state = 'queued'").orderBy(order).limit(n).select("url", F.lit(True).alias("go"))
+    return queue.join(first, "url", "left").withColumn("state", F.when(F.col("go"), "active").otherwise(F.col("state"))).drop("go")
+
+
+def crawl(
+    seeds: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    max_depth: int = 3,
+    max_pages: int | None = 1000,
+    admit: Callable[[DataFrame], DataFrame] | None = None,
+    handle: Callable[[DataFrame], DataFrame] | None = None,
+    save: Callable[[DataFrame], None] | None = None,
+    attempts: int = 3,
+) -> DataFrame:
+    """A bounded breadth-first crawl: url, depth, status, problem of every attempt, in levels that are fetched, parsed, handed on and saved as tables.
+
+    ``fetch`` takes a table of urls and returns url, status, html, problem; ``admit`` drops links and seeds (domains, patterns, policy, robots). ``handle`` turns a level's pages (url, depth, html) into what ``save``
+    stores, which is tried ``attempts`` times, so it must take repeats. Seeds may come from sitemaps; ``max_pages`` counts attempts and cuts a level in order of discovery; None: no limit."""
+    admit = admit or (lambda df: df)
+    level = stage(admit(seeds.select("url").distinct()).withColumn("seq", F.struct(F.lit("").alias("src"), F.lit(0).alias("pos"), "url")), "level")
+    seen, log, left = level.select("url"), None, max_pages
+    for d in range(max_depth + 1):
+        now = stage((level if left is None else level.orderBy("seq").limit(left)).select("url"), "now")
+        n = now.count()
+        if not n:
+            break
+        got = stage(fetch(now).select("url", "status", "html", "problem"), "fetched")
+        pages = got.where("html is not null").select("url", "html", F.lit(d).alias("depth"))
+        if save is not None:
+            for attempt in range(1, attempts + 1):
+                try:
+                    save(handle(pages) if handle else pages)
+                    break
+                except Exception:
+                    if attempt == attempts:
+                        raise
+        rows = got.select("url", F.lit(d).alias("depth"), "status", "problem")
+        log, left = (rows if log is None else log.unionByName(rows)), None if left is None else left - n
+        if left == 0 or d == max_depth:
+            break
+        found = edges(html.parse_pages(pages.select(F.monotonically_increasing_id().alias("page_id"), "url", "html")))
+        new = found.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("src", "pos", F.col("dst").alias("url"))).alias("seq"))
+        level = stage(admit(new).join(seen, "url", "left_anti").select("url", "seq"), "level")
+        seen = seen.union(level.select("url"))
+    return log if log is not None else seeds.sparkSession.createDataFrame([], "url string, depth int, status int, problem string")
+
+
 # robots
 
 
+def robots_cache(cached: DataFrame, origins: DataFrame, fetch: Callable[[DataFrame], DataFrame], now: Column, ttl: float = 3600.0) -> DataFrame:
+    """origin, groups, at: every origin's rules, from the cache while younger than ``ttl`` seconds, and fetched once for each origin otherwise.
+
+    cached: origin, groups, at (seconds); ``fetch`` takes a table of distinct origins and returns origin, groups."""
+    wanted = origins.select("origin").where("origin is not null").distinct()
+    fresh = cached.where(F.col("at") > now - ttl).groupBy("origin").agg(F.max_by(F.struct("groups", "at"), "at").alias("x")).select("origin", "x.groups", "x.at").join(wanted, "origin", "left_semi")
+    stale = stage(wanted.join(fresh.select("origin"), "origin", "left_anti"), "origins")
+    return fresh.unionByName(fetch(stale).select("origin", "groups", now.cast("double").alias("at")))
+
+
 def parse_robots(text: str) -> list[dict]:
     """Groups of a robots file: user_agents, allow, disallow, crawl_delay. Consecutive agent lines share a group."""
     groups, agents_open = [], False
@@ -159,6 +225,19 @@ def schedule(requests: DataFrame, gap: float, key: str = "host", at: str = "arri
     return shifted.withColumn("start", F.max("__x").over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col("__i") * gap).drop("__i", "__x")
 
 
+def interval(per_second: float, min_delay: float, crawl_delay: Column, jitter: float, *key: str) -> Column:
+    """Seconds between two starts of a host: what the rate allows, or the longer of our delay and the site's with a jitter that follows from ``key``."""
+    u = F.pmod(F.xxhash64(*key), F.lit(1 << 20)) / float(1 << 20)
+    return F.greatest(F.lit(1.0 / per_second), F.greatest(F.lit(float(min_delay)), F.coalesce(crawl_delay, F.lit(0.0))) + jitter * u)
+
+
+def schedule_by(requests: DataFrame, gap: Column, key: str = "host", at: str = "arrival") -> DataFrame:
+    """As schedule(), where each request has its own ``gap`` to the one before: with g_i the sum of gaps up to i, start_i = g_i + max over j <= i of (arrival_j - g_j)."""
+    w = W.partitionBy(key).orderBy(at, "id").rowsBetween(W.unboundedPreceding, 0)
+    x = requests.withColumn("__g", F.sum(gap).over(w)).withColumn("__x", F.col(at) - F.col("__g"))
+    return x.withColumn("start", F.max("__x").over(w) + F.col("__g")).drop("__g", "__x")
+
+
 def intervals(requests: DataFrame, key: str = "host", at: str = "start") -> DataFrame:
     """n and mean seconds between consecutive requests of a key."""
     d = F.col(at) - F.lag(at).over(W.partitionBy(key).orderBy(at))
@@ -175,6 +254,15 @@ def backoff(attempt: Column, status: Column, retry_after: Column, base: float =
     return F.greatest(F.when(status == 429, 2 * x).otherwise(x), F.coalesce(retry_after, F.lit(0.0)))
 
 
+def retry_after(value: Column, now: Column) -> Column:
+    """Seconds that a Retry-After header asks for: a number, or an HTTP date; 0 for anything else and for what is past."""
+    seconds = value.try_cast("double")
+    date = F.regexp_extract(value, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
+    until = F.unix_micros(F.try_to_timestamp(F.concat(F.when(F.length(date) == 19, F.concat(F.lit("0"), date)).otherwise(F.nullif(date, F.lit(""))), F.lit(" +00:00")), F.lit("dd MMM yyyy HH:mm:ss xxx"))) / 1e6
+    wait = F.when(seconds.isNotNull(), F.when(F.isnan(seconds) | (F.abs(seconds) == float("inf")), 0.0).otherwise(seconds)).otherwise(until - F.unix_micros(now) / 1e6)
+    return F.greatest(F.lit(0.0), F.coalesce(wait, F.lit(0.0)))
+
+
 def may_retry(attempt: Column, status: Column, limit: int = 3) -> Column:
     return (error_class(status).isin("transient", "network")) & (attempt < F.when(status == 500, 2).otherwise(limit + 1))
 
@@ -185,6 +273,18 @@ def retry_statistics(errors: DataFrame) -> DataFrame:
     return errors.groupBy("error_type").agg(F.count("*").alias("errors"), F.count_if(r).alias("retries"), F.avg(F.when(r, F.col("retry_delay"))).alias("mean_delay"), F.count_distinct(F.when(~r, F.col("url"))).alias("permanent_urls"))
 
 
+def permanent_urls(errors: DataFrame) -> DataFrame:
+    """error_type, urls: the sorted urls that won't be tried again."""
+    return errors.where(~F.col("retry_scheduled")).groupBy("error_type").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+
+
+def diagnosis(errors: DataFrame, message: str = "message") -> DataFrame:
+    """One row: why a crawl came back empty, by the gravest of its errors."""
+    has = lambda words: F.coalesce(F.bool_or(F.contains(F.col(message), F.lit(words))), F.lit(False))
+    why = F.when(has("URLPolicyError"), "crawl was blocked by the configured URL network policy").when(has("Blocked by robots.txt"), "site access is blocked by robots.txt").when(has("response exceeds"), "crawl response exceeded the server byte limit")
+    return errors.agg(why.otherwise("crawl returned no indexable pages; verify the URL, robots.txt, and site availability").alias("diagnosis"))
+
+
 FAILURES = (("timeout", "timeout"), ("timed out", "timeout"), ("robots", "robots"), ("429", "rate limited"), ("rate limit", "rate limited"), ("404", "not found"), ("403", "forbidden"), ("500", "server error"), ("503", "server error"), ("connection", "connection"), ("ssl", "tls"))
 
 

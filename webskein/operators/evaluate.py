@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webskein.functions.text import evidence
+from webskein.plans.staging import free, stage
 
 #: judgments: query_id, judgment_id, document_id, canonical_url, section_id, heading_path, evidence, relevance (0 to 3).
 #: retrieved: query_id, rank, document_id, canonical_url, section_id, heading_path, text.
@@ -118,6 +120,77 @@ def worst(rows: DataFrame, n: int = 10) -> DataFrame:
     return rows.withColumn("penalty", penalty).orderBy(F.desc("penalty"), F.desc("query_id")).limit(n)
 
 
+def strongest(rows: DataFrame, n: int = 10) -> DataFrame:
+    """The n best positive queries that didn't fail; rows: query_id, failed, n_relevant, ndcg, rr, irrelevant_share."""
+    return rows.where(~F.col("failed") & (F.col("n_relevant") > 0)).orderBy(F.desc("ndcg"), F.desc("rr"), F.col("irrelevant_share"), F.desc("query_id")).limit(n)
+
+
+def false_positives(items: DataFrame, n: int = 20) -> DataFrame:
+    """The n first retrieved items of grade 0: of negative queries first, then by their query's share of irrelevant tokens. items: query_id, rank, grade, n_relevant, irrelevant_share."""
+    return items.where("grade = 0").orderBy(F.when(F.col("n_relevant") == 0, 0).otherwise(1), F.desc("irrelevant_share"), "query_id", "rank").limit(n)
+
+
+def missed(judgments: DataFrame, credited: DataFrame) -> DataFrame:
+    """query_id, missed: the sorted judgments with a grade that no retrieved item got, of each query that has any."""
+    got = credited.where("judgment_id is not null").select("query_id", "judgment_id").distinct()
+    left = judgments.where("relevance > 0").select("query_id", "judgment_id").join(got, ["query_id", "judgment_id"], "left_anti")
+    return left.groupBy("query_id").agg(F.array_sort(F.collect_set("judgment_id")).alias("missed"))
+
+
+def document_ids(retrieved: DataFrame, documents: DataFrame) -> DataFrame:
+    """``retrieved`` with document_id as the dataset knows it: by canonical url, else by url, else as it came. documents: document_id, url."""
+    known = documents.select(F.col("url").alias("known_url"), F.col("document_id").alias("known_id"))
+    by = lambda df, c, name: df.join(known.select(F.col("known_url").alias(c), F.col("known_id").alias(name)), c, "left")
+    out = by(by(retrieved, "canonical_url", "by_canonical"), "url", "by_url")
+    return out.withColumn("document_id", F.coalesce("by_canonical", "by_url", "document_id")).select(*retrieved.columns)
+
+
+def section_ids(retrieved: DataFrame, sections: DataFrame) -> DataFrame:
+    """``retrieved`` with the section_id that the dataset gives to its document and heading path. sections: section_id, document_id, heading_path."""
+    own = sections.groupBy("document_id", "heading_path").agg(F.min("section_id").alias("known_section"))
+    out = retrieved.drop("section_id").join(own, ["document_id", "heading_path"], "left")
+    return out.withColumnRenamed("known_section", "section_id")
+
+
+def run_queries(queries: DataFrame, search: Callable[[DataFrame], DataFrame], warmups: int = 3, repeats: int = 3) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(retrieved, samples, warnings): a strategy's results for all queries, the seconds of each repeat, and what went wrong.
+
+    ``search`` answers a table of queries (query_id, query) by one plan, and is run once on the first ``warmups`` queries, then ``repeats`` times on all. If the batch fails, queries are run
+    one by one, so that only those that fail themselves have no results: they come back with ``failed``, one row of null rank each. An order that changes between repeats is a warning."""
+    spark, warnings, samples, first = queries.sparkSession, [], [], None
+    if repeats <= 0:
+        raise ValueError("repeat latency must be positive")
+    try:
+        search(queries.orderBy("query_id").limit(warmups)).collect()
+    except Exception as e:  # noqa: BLE001 - a strategy is the user's
+        warnings.append(f"warm-up failed: {type(e).__name__}")
+    try:
+        for i in range(repeats):
+            began = time.perf_counter()
+            got = stage(search(queries), "retrieved")
+            samples.append((i, time.perf_counter() - began))
+            if first is None:
+                first = got
+            else:
+                differs = first.select("query_id", "rank", "key").exceptAll(got.select("query_id", "rank", "key"))
+                if not differs.isEmpty():
+                    warnings.append(f"repeat {i} ranks {differs.select('query_id').distinct().count()} queries in another order")
+                free(got)
+        out = first.withColumn("failed", F.lit(False))
+    except Exception as e:  # noqa: BLE001
+        warnings.append(f"batch failed: {type(e).__name__}")
+        out, ids = None, [r[0] for r in queries.select("query_id").orderBy("query_id").collect()]
+        for q in ids:
+            one = queries.where(F.col("query_id") == q)
+            try:
+                part = stage(search(one), "retrieved").withColumn("failed", F.lit(False))
+            except Exception as e2:  # noqa: BLE001
+                warnings.append(f"{q}: {type(e2).__name__}")
+                part = one.select("query_id", F.lit(None).cast("int").alias("rank"), F.lit(True).alias("failed"))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out, spark.createDataFrame(samples, "repeat int, seconds double"), warnings
+
+
 def ranking_problems(retrieved: DataFrame) -> DataFrame:
     """query_id, problem of rankings that can't be scored."""
     g = retrieved.groupBy("query_id").agg(

@@ -37,6 +37,32 @@ def problems(rankings: DataFrame) -> DataFrame:
     return g.select("query_id", "strategy", what.alias("problem")).where("problem is not null")
 
 
+def disagreements(rankings: DataFrame, *columns: str) -> DataFrame:
+    """query_id, key of candidates that the lists describe differently in any of ``columns``."""
+    return rankings.groupBy("query_id", "key").agg(F.count_distinct(F.struct(*columns)).alias("n")).where("n > 1").select("query_id", "key")
+
+
+def representatives(rankings: DataFrame, column: str, order: tuple[str, ...] = ("bm25", "semantic")) -> DataFrame:
+    """query_id, key and ``column`` as the first list in ``order`` has it; lists that aren't named come last, by name."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("strategy"))
+    by = F.struct(F.when(place == 0, len(order) + 1).otherwise(place), "strategy")
+    return rankings.groupBy("query_id", "key").agg(F.min_by(column, by).alias(column), F.min_by("strategy", by).alias("from_strategy"))
+
+
+def readiness(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
+    """One row of both sides' readiness. lexical: one row with n_chunks; semantic: one row with ready."""
+    one = lexical.select((F.col("n_chunks") > 0).alias("lexical_ready"))
+    return one.crossJoin(semantic.select(F.col("ready").alias("semantic_ready"))).withColumn("ready", F.col("lexical_ready") & F.col("semantic_ready"))
+
+
+class RetrievalError(RuntimeError):
+    """A component failed; ``strategy`` names it."""
+
+    def __init__(self, strategy: str, error: Exception):
+        super().__init__(f"{strategy}: {type(error).__name__}: {error}")
+        self.strategy = strategy
+
+
 def evidence(fused: DataFrame, order: tuple[str, str] = ("bm25", "semantic")) -> DataFrame:
     """query_id: candidates, in both lists, in one only."""
     a, b = (F.col(f"{s}_rank").isNotNull() for s in order)

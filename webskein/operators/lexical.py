@@ -1,18 +1,20 @@
 """BM25 over three weighted fields, for a batch of queries.
 
-An index is two tables: ``postings`` input rows (one per chunk, with its token arrays) and corpus statistics. Only tokens that some query asks for are
-exploded, so that the corpus is never shuffled as a whole; the statistics are one aggregate over array sizes.
+An index is built once and kept: postings (a row for each term and chunk, with positions) and terms (their frequencies), both in folders by a hash of the term, and two numbers. A batch of
+queries reads only the folders of its terms. Building moves every token once, by term and salt, so that a common term is spread over tasks.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webskein.functions.text import query_tokens, tokens
 from webskein.plans.sizing import sized
-from webskein.plans.staging import stage
+from webskein.plans.staging import new_path, run_once, stage
 
 WEIGHTS = (1.0, 5.0, 3.0)
 K1, B = 1.2, 0.75
@@ -26,15 +28,77 @@ def tokenised(chunks: DataFrame, key: str, text: str, title: str | None = None,
     return out.withColumn("n_tokens", F.size("f0") + F.size("f1") + F.size("f2"))
 
 
+#: A position is its field's number in the high bits and its place there in the low ones.
+FIELD_BITS = 40
+SALTS = 8
+#: Postings of a folder, about.
+FOLDER = 4_000_000
+#: Scores are summed as whole multiples of 2**-UNIT, so that a sum doesn't depend on its order.
+UNIT = 40
+
+
 def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: n_chunks, avg_tokens."""
     return index.agg(F.count("*").alias("n_chunks"), F.avg("n_tokens").alias("avg_tokens"))
 
 
-def term_frequencies(index: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """postings: bucket, term, key, n_tokens, tf (weighted occurrences), at (positions); terms: bucket, term, df, cf."""
+
+    postings: DataFrame
+    terms: DataFrame
+    buckets: int
+    n_chunks: int
+    avg_tokens: float
+
+    def of(self, table: DataFrame, terms: DataFrame) -> DataFrame:
+        """The rows of ``table`` in the folders of ``terms`` (term)."""
+        asked = [r[0] for r in terms.select(bucket(self.buckets)).distinct().collect()]  # as many as folders, at most
+        return table.where(F.col("bucket").isin(asked) if asked else F.lit(False)).drop("bucket")
+
+
+def bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(n)).cast("int").alias("bucket")
+
+
+def weight(position: Column) -> Column:
+    return F.get(F.array(*map(F.lit, WEIGHTS)), F.shiftright(position, FIELD_BITS).cast("int"))
+
+
+def total(weights: Column) -> Column:
+    return F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
+
+
+def build(chunks: DataFrame) -> Index:
+    """The index of tokenised() chunks, written to the shared folder."""
+    spark = chunks.sparkSession
+    n, average, tokens_ = chunks.agg(F.count("*"), F.coalesce(F.avg("n_tokens"), F.lit(0.0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    buckets = min(4096, max(8, tokens_ // FOLDER))
+
+    def field(i: int) -> Column:
+        return F.transform(f"f{i}", lambda t, j: F.struct(t.alias("term"), (F.lit(i << FIELD_BITS).cast("long") + j).alias("at")))
+
+    placed = F.concat(*map(field, range(len(WEIGHTS))))
+    each = chunks.select("key", "n_tokens", F.explode(placed).alias("x")).select("key", "n_tokens", "x.term", "x.at")
+    each = each.withColumn("bucket", bucket(buckets)).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).repartition("bucket", "salt")
+    postings = each.groupBy("bucket", "salt", "term", "key", "n_tokens").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    postings = postings.select("term", "key", "n_tokens", total(F.transform("at", weight)).alias("tf"), "at", "bucket")
+    paths = []
+    with run_once(spark):
+        for name, df in (("postings", postings), ("terms", None)):
+            if df is None:
+                df = spark.read.parquet(paths[0]).groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum(F.size("at")).alias("cf")) if n and tokens_ else spark.createDataFrame([], "bucket int, term string, df long, cf long")
+            paths.append(new_path(spark, name))
+            df.write.option("compression", "zstd").partitionBy("bucket").parquet(paths[-1])
+    kinds = {f.name: f.dataType.simpleString() for f in postings.schema.fields}
+    read = lambda path, schema: spark.read.schema(schema).parquet(path)
+    return Index(read(paths[0], ", ".join(f"{k} {t}" for k, t in kinds.items())), read(paths[1], "term string, df long, cf long, bucket int"), buckets, n, average)
+
+
+def term_frequencies(index: Index) -> DataFrame:
     """term, df (chunks that have it), cf (occurrences)."""
-    each = index.select("key", F.explode(F.concat("f0", "f1", "f2")).alias("term"))
-    return each.groupBy("key", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index.terms.select("term", "df", "cf")
 
 
 def parsed(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
@@ -43,47 +107,39 @@ def parsed(queries: DataFrame, query_id: str = "query_id", query: str = "query")
     return lit.select("query_id", "p", tokens(F.col("literal")).alias("phrase")).where(F.size("phrase") > 0)
 
 
-def occurrences(field: Column, phrase: Column) -> Column:
-    """How often a phrase's tokens stand in a row."""
-    n = F.size(phrase)
-    one = F.size(F.filter(field, lambda t: t == F.get(phrase, F.lit(0))))
-    many = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(field) - n + 1, F.lit(1))), lambda i: F.slice(field, i, n) == phrase))
-    return F.when(n == 1, one).when(F.size(field) < n, 0).otherwise(many)
+def idf(n: int, df: Column) -> Column:
+    """A term in half of all chunks or more still weighs 1e-6."""
+    x = F.log((F.lit(n) - df + 0.5) / (df + 0.5))
+    return F.when(x > 0, x).otherwise(1e-6)
 
 
-def matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """query_id, p, key, n_tokens, tf: weighted occurrences of each phrase in each chunk that has it.
+def long_phrases(index: Index, longer: DataFrame) -> DataFrame:
+    """query_id, p, key, n_tokens, tf of phrases of several tokens: the places of the first one where all others follow."""
+    each = longer.select("query_id", "p", F.size("phrase").alias("m"), F.posexplode("phrase").alias("i", "term"))
+    there = index.of(index.postings, each).hint("merge").join(sized(each), "term")
+    all_ = there.groupBy("query_id", "p", "m", "key", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("i", "at"))).alias("x")).where(F.size("x") == F.col("m"))
+    starts = F.aggregate(F.slice("x", 2, F.col("m")), F.get("x", F.lit(0))["at"], lambda s, y: F.array_intersect(s, F.transform(y["at"], lambda z: z - y["i"])))
+    return all_.select("query_id", "p", "key", "n_tokens", total(F.transform(starts, weight)).alias("tf")).where("tf > 0")
 
-    Tokens are exploded as narrow rows and kept only where some phrase begins with them. Longer phrases are then looked for in place, in the chunks that have their first token."""
-    wanted = phrases.select(F.get("phrase", F.lit(0)).alias("term"), "phrase").distinct()
-    terms = sized(wanted.select("term").distinct())
-    weighed = F.concat(*(F.transform(f"f{i}", lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))) for i, w in enumerate(WEIGHTS)))
-    each = index.select("key", "n_tokens", F.explode(weighed).alias("x")).select("key", "n_tokens", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
-    has = each.hint("merge").join(terms, "term").groupBy("key", "n_tokens", "term").agg(F.sum("w").alias("tf"))
-    asked = phrases.select("query_id", "p", "phrase", F.get("phrase", F.lit(0)).alias("term"))
-    found = has.hint("merge").join(sized(asked.where(F.size("phrase") == 1)), "term").select("query_id", "p", "key", "n_tokens", "tf")
-    longer = asked.where(F.size("phrase") > 1)
-    if not longer.isEmpty():
-        there = has.hint("merge").join(sized(longer), "term").select("query_id", "p", "key", "phrase")
-        tf = sum((F.lit(w) * occurrences(F.col(f"f{i}"), F.col("phrase")) for i, w in enumerate(WEIGHTS)), F.lit(0.0))
-        found = found.union(index.hint("merge").join(there, "key").select("query_id", "p", "key", "n_tokens", tf.alias("tf")).where("tf > 0"))
-    return found
 
+def bm25(index: Index, phrases: DataFrame) -> DataFrame:
+    """query_id, key, score (the lower the better), over all chunks with any phrase of the query. Texts with equal contributions have equal scores."""
 
-def bm25(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """query_id, key, score (the lower the better), over all chunks with any phrase of the query.
+    def part(tf: Column, weight: Column) -> Column:
+        x = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / index.avg_tokens))
+        return F.round(x * 2.0**UNIT).cast("long").alias("part")
 
-    A phrase in half of all chunks or more still weighs 1e-6. Contributions are added in phrase order, so that equal texts have equal scores."""
-    found = stage(matches(index, phrases), "matches")
-    df = found.groupBy("query_id", "p").agg(F.count("*").alias("df"))
-    stats = corpus_stats(index)
-    idf = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # stats is one row
-    weights = df.crossJoin(stats).select("query_id", "p", "avg_tokens", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
-    each = found.join(sized(weights), ["query_id", "p"]).select("query_id", "key", F.struct("p", part.alias("x")).alias("part"))
-    total = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda s, x: s + x["x"])
-    return each.groupBy("query_id", "key").agg((-total).alias("score"))
+    if not index.n_chunks:
+        return phrases.select("query_id", F.lit(None).cast("string").alias("key"), F.lit(0.0).alias("score")).limit(0)
+    single = phrases.where(F.size("phrase") == 1).select("query_id", "p", F.get("phrase", F.lit(0)).alias("term"))
+    weighed = single.join(index.of(index.terms, single), "term").select("query_id", "term", idf(index.n_chunks, F.col("df")).alias("idf"))
+    found = index.of(index.postings, single).hint("merge").join(sized(weighed), "term").select("query_id", "key", part(F.col("tf"), F.col("idf")))
+    longer = phrases.where(F.size("phrase") > 1)
+    if not longer.isEmpty():
+        there = stage(long_phrases(index, longer), "phrases")
+        rare = there.groupBy("query_id", "p").agg(F.count("*").alias("df")).select("query_id", "p", idf(index.n_chunks, F.col("df")).alias("idf"))
+        found = found.union(there.join(sized(rare), ["query_id", "p"]).select("query_id", "key", part(F.col("tf"), F.col("idf"))))
+    return found.groupBy("query_id", "key").agg((-F.sum("part") / 2.0**UNIT).alias("score"))
 
 
 def top(scores: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -91,7 +147,7 @@ def top(scores: DataFrame, k: int, *order: Column) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, key, score of each query's k best; equal scores (to 9 digits) go by key. A query without tokens has no rows."""
     if k <= 0:
         raise ValueError("limit must be positive")

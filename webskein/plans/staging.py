@@ -12,7 +12,7 @@ import atexit
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 _path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Of what is executed to write a table: shuffle files go at its end, and batches for Python are small, also where rows hold long texts or sets.
+RUN = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,21 +46,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """What is executed within gives its shuffle files back at its end; for plans that run once."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def run_once(spark: SparkSession) -> Iterator[None]:
+    """What is executed within gives its shuffle files back at its end and uses bounded batches; for plans that run once."""
+    before = {k: spark.conf.get(k, None) for k in RUN}
+    for k, v in RUN.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with shuffles_freed(spark):
+    with run_once(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _path_of[out] = path
@@ -72,6 +76,17 @@ def free(*tables: DataFrame) -> None:
             delete(t.sparkSession, path)
 
 
+_shared: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """A staged table that all plans of a session use: made once for its key, which names what it was made of."""
+    key = (spark.sparkContext.applicationId, name, *key)
+    if key not in _shared:
+        _shared[key] = stage(make(), name)
+    return _shared[key]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +56,9 @@ def archive(records: DataFrame, path: str) -> int:
     """Append records that aren't there yet; the same batch again adds nothing. Returns how many were new."""
     spark = records.sparkSession
     new = records.select(*FIELDS).withColumn("record_key", record_key()).dropDuplicates(["record_key"])
-    try:
-        stored = spark.read.parquet(path).select("record_key")
-    except Exception:  # noqa: BLE001 - nothing is there yet
-        stored = None
-    if stored is not None:
-        new = new.join(stored, "record_key", "left_anti")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):  # any failure to read what is there is an error
+        new = new.join(spark.read.parquet(path).select("record_key"), "record_key", "left_anti")
     n = new.persist().count()
     if n:
         new.write.mode("append").parquet(path)
@@ -65,10 +66,22 @@ def archive(records: DataFrame, path: str) -> int:
     return n
 
 
-def bounded_json(hits: DataFrame, cap: int = 65_536) -> DataFrame:
-    """query_id, rank, json of the best-ranked hits whose serialised sizes add up to ``cap`` bytes at most; the lowest-ranked go."""
+def write_json_array(records: DataFrame, path: str, indent: int | None = 2, most: int = 100_000) -> int:
+    """Records as one JSON array in a local file, beside it first and then in its place. More than ``most`` records are refused: they belong in JSON Lines."""
+    rows = [json.loads(r[0]) for r in records.select(F.to_json(F.struct(*FIELDS))).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} records")
+    beside = f"{path}.part"
+    with open(beside, "w", encoding="utf-8") as f:
+        json.dump(rows, f, indent=indent, ensure_ascii=False)
+    os.replace(beside, path)
+    return len(rows)
+
+
+def bounded_json(hits: DataFrame, cap: int = 65_536, columns: Sequence[str] | None = None) -> DataFrame:
+    """query_id, rank, json of the best-ranked hits whose serialised sizes add up to ``cap`` bytes at most; the lowest-ranked go. ``columns``: what a hit's object holds, in order."""
     from pyspark.sql import Window as W
 
-    row = F.to_json(F.struct(*(c for c in hits.columns if c != "query_id")))
+    row = F.to_json(F.struct(*(columns or (c for c in hits.columns if c != "query_id"))))
     w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     return hits.select("query_id", "rank", row.alias("json")).withColumn("used", F.sum(F.octet_length("json")).over(w)).where(F.col("used") <= cap)
