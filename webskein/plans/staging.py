@@ -12,10 +12,11 @@ import atexit
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _written: list[tuple[SparkSession, str]] = []
 _path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -69,6 +70,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stage_by(df: DataFrame, column: str, values: Iterable, name: str) -> list[DataFrame]:
+    """stage() of rows of several kinds at once: a scan for each value of ``column``, which can be freed by itself."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with run_once(spark):
+        df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    schema, out = T.StructType([f for f in df.schema.fields if f.name != column]), []
+    for v in values:
+        own = f"{path}/{column}={v}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        out.append(spark.read.schema(schema).parquet(own) if there else spark.createDataFrame([], schema))
+        if there:
+            _path_of[out[-1]] = own
+    return out
+
+
 def free(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads; other DataFrames are left alone."""
     for t in tables:
