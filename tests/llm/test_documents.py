@@ -205,15 +205,15 @@ def test_language_without_labels(spark):
 
 
 def brute_ppm(train, text):
-    cnt = {k: defaultdict(Counter) for k in (5, 2, 1, 0)}
-    wrap = lambda t: bytes((254,)) * 5 + t.encode().lower() + b"\xff"
+    cnt = {k: defaultdict(Counter) for k in (4, 2, 1, 0)}
+    wrap = lambda t: bytes((254,)) * 4 + t.encode().lower() + b"\xff"
     for t in train:
         a = wrap(t)
-        for i in range(5, len(a)):
+        for i in range(4, len(a)):
             for k in cnt:
                 cnt[k][a[i - k : i]][a[i]] += 1
     a, s = wrap(text), 0.0
-    for i in range(5, len(a)):
+    for i in range(4, len(a)):
         out, p = set(), 1.0
         for k in cnt:
             n = {x: y for x, y in cnt[k].get(a[i - k : i], {}).items() if x not in out}

@@ -1,11 +1,11 @@
 """Language-model scoring: prediction by partial matching over bytes, beside a word unigram base.
 
-The model is a byte-context trie pretrained on all training documents, with contexts of ``DEEP`` = 5 bytes, and of 2, 1 and none. Symbols are the bytes
+The model is a byte-context trie pretrained on all training documents, with contexts of ``DEEP`` = 4 bytes, and of 2, 1 and none. Symbols are the bytes
 of the text with A-Z lower-cased and an end; no UTF-8 text holds 0xFE and 0xFF, so these stand for what is before the start and for the end. A symbol unseen in a context escapes
 to the next shorter one, with the escape estimate D / (T + D) (D distinct symbols, T occurrences), where the symbols of the longer context are excluded from the shorter one's counts.
 Below order 0 all remaining symbols are equally likely. ``score`` is the log10 probability of the text and its end.
 
-The trie's upper part has at most 2**16 contexts of 2**8 symbols: two tables of 67 MB, which bounds the broadcast whatever the corpus. The contexts of five bytes grow with the corpus, and so do the words of the base
+The trie's upper part has at most 2**16 contexts of 2**8 symbols: two tables of 67 MB, which bounds the broadcast whatever the corpus. The contexts of four bytes grow with the corpus, and so do the words of the base
 (n_tokens, n_known, train_tokens, base_score); no bound holds for either, and they stay distributed. A task codes its texts in batches of about ``batch_mb`` and writes them with tables of their own: distinct words, grams and contexts.
 These tables, not the texts, are joined with the counts over the corpus, and come back to the texts by batch, where symbols find their grams by hashing. A hot word or context is one row for a batch, however often it
 occurs; a context's symbols, 256 at most, move as one value.
@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from webskein.llm.text import GOLD, hashes, words
-from webskein.plans.staging import free, stage
+from webskein.plans.staging import free, stage, stage_by
 
 END_WORD = np.uint64(xxh3_64_intdigest(b"\xff"))  # no word has this byte
 START, END = 0xFE, 0xFF
-DEEP = 5
-LISTS = "batch long, doc_id array<long>, held_out array<boolean>, n_tokens array<int>"
-BINARY = ("symbols", "tokens", "words", "word_counts", "contexts", "grams", "gram_counts", "short", "short_counts")
-CODED = ", ".join([LISTS, *(f"{x} binary" for x in BINARY)])
+DEEP = 4
+LISTS = "kind int, batch long, doc_id array<long>, held_out array<boolean>, n_tokens array<int>"
+#: By kind of row: a batch's texts, its tables, its counts.
+TEXTS, TABLES, COUNTS = ("symbols", "tokens"), ("words", "contexts"), ("word", "word_counts", "grams", "gram_counts", "short", "short_counts")
+CODED = ", ".join([LISTS, *(f"{x} binary" for x in (*TEXTS, *TABLES, *COUNTS))])
 STEP = 1 << 20
 
 
@@ -47,7 +48,7 @@ def wrapped(text: bytes) -> bytes:
 
 
 def grams(a: np.ndarray) -> np.ndarray:
-    """Each symbol with the DEEP ones before it, 48 bits, from the first that has so many. a: texts as wrapped() gives them, joined."""
+    """Each symbol with the DEEP ones before it, 40 bits, from the first that has so many. a: texts as wrapped() gives them, joined."""
     out = np.zeros(len(a) - DEEP, np.int64)
     for i in range(DEEP + 1):
         out <<= 8
@@ -63,10 +64,19 @@ def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def counted(g: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of those to keep, with their counts; a bounded piece at a time."""
+    parts = [np.unique(g[at : at + STEP][keep[at : at + STEP]], return_counts=True) for at in range(0, len(g), STEP)]
+    return summed(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _coder(parts: int, rest: int, batch_mb: int):
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * len(BINARY)]
+    types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * len((*TEXTS, *TABLES, *COUNTS))]
     names = [x.split()[0] for x in CODED.split(", ")]
 
+    def row(**values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in zip(names, types)], names=names)
+
     def run(batches):
         first, k, size = TaskContext.get().partitionId() << 32, 0, 0
         ids, held, lengths, coded, texts = [], [], [], [], []
@@ -77,19 +87,19 @@ def _coder(parts: int, rest: int, batch_mb: int):
             table, tokens = np.unique(np.concatenate(coded), return_inverse=True)
             counts = np.bincount(tokens[np.repeat(learned, lengths)], minlength=len(table))
             a = np.frombuffer(b"".join(texts), np.uint8)
-            g = grams(a)
+            g, symbol = grams(a), a[DEEP:] != START
             of = np.repeat(learned, [len(t) for t in texts])[DEEP:]
-            symbol = a[DEEP:] != START
-            code, n = np.unique(g[symbol & of], return_counts=True)
-            unseen = np.unique(g[symbol & ~of] >> 8)
-            contexts = np.unique(np.concatenate([code >> 8, unseen]))
+            code, n = counted(g, symbol & of)
+            contexts = np.unique(np.concatenate([code >> 8, counted(g, symbol & ~of)[0] >> 8]))
             short, m = summed(code & 0xFFFFFF, n)
-            packed = [a.tobytes(), tokens.astype("<u4").tobytes(), table.tobytes(), counts.astype("<i8").tobytes(), *(x.astype("<i8").tobytes() for x in (contexts, code, n, short, m))]
-            row = [first + k, list(ids), list(held), list(lengths), *packed]
+            packed = lambda x: x.astype("<i8").tobytes()
+            yield row(kind=0, batch=first + k, doc_id=list(ids), held_out=list(held), n_tokens=list(lengths), symbols=a.tobytes(), tokens=tokens.astype("<u4").tobytes())
+            yield row(kind=1, batch=first + k, words=table.tobytes(), contexts=packed(contexts))
+            seen = counts > 0
+            yield row(kind=2, word=table[seen].tobytes(), word_counts=packed(counts[seen]), grams=packed(code), gram_counts=packed(n), short=packed(short), short_counts=packed(m))
             k, size = k + 1, 0
             for x in (ids, held, lengths, coded, texts):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -98,9 +108,9 @@ def _coder(parts: int, rest: int, batch_mb: int):
                 lengths.append(len(coded[-1])), held.append(is_held_out(i, parts, rest))
                 size += len(t) + 64
                 if size > batch_mb << 20:
-                    yield flush()
+                    yield from flush()
         if ids:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -228,7 +238,7 @@ class Places:
 
 
 class Deep:
-    """The contexts of five bytes that a batch needs, over the upper trie."""
+    """The contexts of four bytes that a batch needs, over the upper trie."""
 
     def __init__(self, trie: Trie, ctx: np.ndarray, dist: list[bytes]):
         self.trie, kinds = trie, np.array([len(d) // 5 for d in dist], np.int64)
@@ -272,23 +282,25 @@ class Deep:
         return out
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = 7, rest: int = 2, batch_mb: int = 8) -> DataFrame:
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = 7, rest: int = 2, batch_mb: int = 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from documents whose crc32(id) mod ``parts`` isn't ``rest``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    coded = stage(rows.mapInArrow(_coder(parts, rest, batch_mb), CODED), "coded")
+    texts, tables, found = stage_by(rows.mapInArrow(_coder(parts, rest, batch_mb), CODED), "kind", range(3), "coded")
     # the upper trie: at most 2**24 codes
-    found = coded.select("short", "short_counts").mapInArrow(_rows("code long, n long"), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    trie = spark.sparkContext.broadcast(Trie(found["code"].to_numpy(), found["n"].to_numpy()))
-    deep = coded.select("grams", "gram_counts").mapInArrow(_rows("code long, n long"), "code long, n long")
-    deep = stage(deep.repartition(F.shiftright("code", 8)).sortWithinPartitions("code").mapInArrow(_contexts, "ctx long, dist binary"), "contexts")
-    counts = stage(coded.select("words", "word_counts").mapInArrow(_rows("word long, n long"), "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    pairs = lambda x, y, name: found.select(x, y).mapInArrow(_rows(f"{name} long, n long"), f"{name} long, n long")
+    upper = pairs("short", "short_counts", "code").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    trie = spark.sparkContext.broadcast(Trie(upper["code"].to_numpy(), upper["n"].to_numpy()))
+    deep = pairs("grams", "gram_counts", "code").repartition(F.shiftright("code", 8)).sortWithinPartitions("code").mapInArrow(_contexts, "ctx long, dist binary")
+    deep = stage(deep, "contexts")
+    counts = stage(pairs("word", "word_counts", "word").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    free(found)
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # the batches' own tables with the corpus's counts
-    asked = lambda column, name: coded.select("batch", column).mapInArrow(_rows(f"batch long, k long, {name} long", True), f"batch long, k long, {name} long")
-    known = asked("words", "word").join(counts.where("c > 0"), "word").select("batch", F.col("k").alias("key"), "c", F.lit(None).cast("binary").alias("dist"))
+    asked = lambda column, name: tables.select("batch", column).mapInArrow(_rows(f"batch long, k long, {name} long", True), f"batch long, k long, {name} long")
+    known = asked("words", "word").join(counts, "word").select("batch", F.col("k").alias("key"), "c", F.lit(None).cast("binary").alias("dist"))
     known = stage(known.union(asked("contexts", "ctx").join(deep, "ctx").select("batch", F.col("ctx").alias("key"), F.lit(None).cast("long").alias("c"), "dist")), "known")
-    free(deep, counts)
+    free(tables, deep, counts)
     out = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -305,7 +317,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts
         values = [pa.array(x["doc_id"], pa.int64()), pa.array(x["held_out"], pa.bool_()), pa.array(lengths), pa.array(seen), pa.array(base), pa.array(model.scores(np.frombuffer(x["symbols"], np.uint8)))]
         return pa.Table.from_arrays(values, names=out)
 
-    slim = coded.select("batch", "doc_id", "held_out", "n_tokens", "symbols", "tokens")
+    slim = texts.select("batch", "doc_id", "held_out", "n_tokens", "symbols", "tokens")
     scored = slim.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
