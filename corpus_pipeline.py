@@ -9,7 +9,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``, further ones included. run() writes each stage's result as
 Parquet to the shared folder and reads it back as the next one's ``docs``.
 
-Rows of null id are never near-duplicates; rows that repeat an id and a text are copies of each other and all but one go in stage 2.
+Defined results. Rows of null id are never near-duplicates; rows that repeat an id and a text are copies of each other and all but one go in stage 2. A null text or one without a letter goes in stage 1; a stage that is given
+such rows by themselves keeps them (2 to 4), and the last gives them no ids. Very long texts are taken whole. Empty tables stay empty. Further columns may have any names, those that the operators use inside included.
 """
 
 from __future__ import annotations
