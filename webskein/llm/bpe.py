@@ -43,7 +43,7 @@ ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 ANY_WORD = regex.compile(WORD.replace(r"\s", BLANK))
 #: Runs of the same class, that a cut within a word goes on with: letters, or neither letters, numbers nor blanks.
 LETTERS, OTHERS = regex.compile(r"\p{L}+"), regex.compile(rf"[^{BLANK}\p{{L}}\p{{N}}]+")
-MEMO = 1 << 17  # words
+MEMO = 1 << 18  # words
 MEMO_LENGTH = 48
 PIECE = 1 << 16
 NEVER = 1 << 60
@@ -86,6 +86,7 @@ class Bpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.pieces[i] = token.encode()
         alphabet = byte_alphabet()
+        self.byte_of = {c: b for b, c in enumerate(alphabet)}
         self.inner = [vocab[c] for c in alphabet]
         self.last = [vocab[c + self.suffix] for c in alphabet]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -291,7 +292,6 @@ class Decoder:
     def __init__(self, bpe: Bpe, joined: bool = True):
         self.bpe, self.joined, self.started = bpe, joined, False
         self.rest = codecs.getincrementaldecoder("utf-8")("replace")
-        self.of = {c: b for b, c in enumerate(byte_alphabet())}
 
     def push(self, ids: list[int] | array) -> str:
         if not ids:
@@ -308,7 +308,7 @@ class Decoder:
                 self.rest.reset()
                 continue
             ends = bool(self.bpe.suffix) and token.endswith(self.bpe.suffix)
-            raw = bytes(self.of[c] for c in (token.removesuffix(self.bpe.suffix) if ends else token))
+            raw = bytes(self.bpe.byte_of[c] for c in (token.removesuffix(self.bpe.suffix) if ends else token))
             out.append(self.rest.decode(raw + b" " * ends))
         return "".join(out)
 
