@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ LISTS = "kind int, batch long, doc_id array<long>, held_out array<boolean>, n_to
 #: By kind of row: a batch's texts, its tables, its counts.
 TEXTS, TABLES, COUNTS = ("symbols", "tokens"), ("words", "contexts"), ("word", "word_counts", "grams", "gram_counts", "short", "short_counts")
 CODED = ", ".join([LISTS, *(f"{x} binary" for x in (*TEXTS, *TABLES, *COUNTS))])
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def is_held_out(doc_id: int | None, parts: int, rest: int) -> bool:
@@ -64,10 +65,18 @@ def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def counted(g: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of those to keep, with their counts; a bounded piece at a time."""
-    parts = [np.unique(g[at : at + STEP][keep[at : at + STEP]], return_counts=True) for at in range(0, len(g), STEP)]
-    return summed(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def counted(a: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of the symbols to keep, with their counts; a bounded piece at a time."""
+    parts = [np.unique(grams(a[at : at + STEP + DEEP])[keep[at : at + STEP]], return_counts=True) for at in range(0, len(a) - DEEP, STEP)]
+    return summed(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.tobytes(), 1)
+
+
+def opened(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x), kind)
 
 
 def _coder(parts: int, rest: int, batch_mb: int):
@@ -87,13 +96,12 @@ def _coder(parts: int, rest: int, batch_mb: int):
             table, tokens = np.unique(np.concatenate(coded), return_inverse=True)
             counts = np.bincount(tokens[np.repeat(learned, lengths)], minlength=len(table))
             a = np.frombuffer(b"".join(texts), np.uint8)
-            g, symbol = grams(a), a[DEEP:] != START
-            of = np.repeat(learned, [len(t) for t in texts])[DEEP:]
-            code, n = counted(g, symbol & of)
-            contexts = np.unique(np.concatenate([code >> 8, counted(g, symbol & ~of)[0] >> 8]))
+            symbol, of = a[DEEP:] != START, np.repeat(learned, [len(t) for t in texts])[DEEP:]
+            code, n = counted(a, symbol & of)
+            contexts = np.unique(np.concatenate([code >> 8, counted(a, symbol & ~of)[0] >> 8]))
             short, m = summed(code & 0xFFFFFF, n)
             packed = lambda x: x.astype("<i8").tobytes()
-            yield row(kind=0, batch=first + k, doc_id=list(ids), held_out=list(held), n_tokens=list(lengths), symbols=a.tobytes(), tokens=tokens.astype("<u4").tobytes())
+            yield row(kind=0, batch=first + k, doc_id=list(ids), held_out=list(held), n_tokens=list(lengths), symbols=squeezed(a), tokens=squeezed(tokens.astype("<u4")))
             yield row(kind=1, batch=first + k, words=table.tobytes(), contexts=packed(contexts))
             seen = counts > 0
             yield row(kind=2, word=table[seen].tobytes(), word_counts=packed(counts[seen]), grams=packed(code), gram_counts=packed(n), short=packed(short), short_counts=packed(m))
@@ -240,11 +248,15 @@ class Places:
 class Deep:
     """The contexts of four bytes that a batch needs, over the upper trie."""
 
-    def __init__(self, trie: Trie, ctx: np.ndarray, dist: list[bytes]):
-        self.trie, kinds = trie, np.array([len(d) // 5 for d in dist], np.int64)
-        self.symbols = np.frombuffer(b"".join(d[:k] for d, k in zip(dist, kinds)), np.uint8)
-        self.n = np.frombuffer(b"".join(d[k:] for d, k in zip(dist, kinds)), "<f4").astype(np.float64)
+    def __init__(self, trie: Trie, ctx: np.ndarray, dist: pa.BinaryArray):
+        ends = np.frombuffer(dist.buffers()[1], np.int32)[dist.offset : dist.offset + len(dist) + 1].astype(np.int64) if len(dist) else np.zeros(1, np.int64)
+        data = np.frombuffer(dist.buffers()[2], np.uint8) if len(dist) else np.zeros(0, np.uint8)
+        self.trie, kinds = trie, np.diff(ends) // 5
         self.owner, first = np.repeat(np.arange(len(ctx)), kinds), np.cumsum(kinds) - kinds
+        place = np.arange(len(self.owner)) - first[self.owner]
+        self.symbols = data[ends[self.owner] + place]
+        at = ends[self.owner] + kinds[self.owner] + 4 * place
+        self.n = np.ascontiguousarray(data[at[:, None] + np.arange(4)]).view("<f4")[:, 0].astype(np.float64)
         row = trie.row.take(ctx & 0xFFFF).astype(np.int64)
         shorter = trie.counts.take(row.repeat(kinds) * 256 + self.symbols).astype(np.float64)
         add = lambda x: np.add.reduceat(x, first) if len(ctx) else x
@@ -307,14 +319,14 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts
         x = {n: left[n][0].as_py() for n in left.column_names}
         is_word = right["dist"].is_null().to_numpy()
         key = right["key"].to_numpy()
-        lengths, token = np.array(x["n_tokens"], np.int64), np.frombuffer(x["tokens"], "<u4")
+        lengths, token = np.array(x["n_tokens"], np.int64), opened(x["tokens"], "<u4")
         c = np.zeros(int(token.max()) + 1, np.int64)
         c[key[is_word]] = right["c"].drop_null().to_numpy()
         at = np.cumsum(lengths) - lengths
         base = np.add.reduceat(np.log10(c + 1.0)[token], at) - lengths * np.log10(n + (v + 1.0))
         seen = np.add.reduceat((c > 0).astype(np.int64)[token], at)
-        model = Deep(trie.value, key[~is_word], right["dist"].drop_null().to_pylist())
-        values = [pa.array(x["doc_id"], pa.int64()), pa.array(x["held_out"], pa.bool_()), pa.array(lengths), pa.array(seen), pa.array(base), pa.array(model.scores(np.frombuffer(x["symbols"], np.uint8)))]
+        model = Deep(trie.value, key[~is_word], right["dist"].drop_null().combine_chunks())
+        values = [pa.array(x["doc_id"], pa.int64()), pa.array(x["held_out"], pa.bool_()), pa.array(lengths), pa.array(seen), pa.array(base), pa.array(model.scores(opened(x["symbols"], np.uint8)))]
         return pa.Table.from_arrays(values, names=out)
 
     slim = texts.select("batch", "doc_id", "held_out", "n_tokens", "symbols", "tokens")
