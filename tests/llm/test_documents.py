@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from xxhash import xxh3_64_intdigest
 
 from webskein.llm import bpe, decontaminate, graph, langid, neardup, ppm, quality, secrets
 from webskein.llm.text import words
@@ -195,6 +196,39 @@ def test_language_identification(spark, sf):
     assert sorted(str(r.doc_id) for r in langid.known_languages(odd, model).collect())[0] == "4"
 
 
+def plain_prediction(model, text):
+    """The prediction by plain loops, given the model: hashed n-grams one by one, their table rows summed, softmax."""
+    if text is None or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0
+    a = [48 if 48 <= ord(c) <= 57 else ord(c) for c in f" {text.lower()} "]
+    total, n = [0.0] * len(model.labels), 0
+    for size in langid.ORDERS:
+        for i in range(len(a) - size + 1):
+            h = size * 0x9E3779B1 & 0xFFFFFFFF
+            for c in a[i : i + size]:
+                h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+                h ^= h >> 15
+            h = (h * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - langid.BITS)
+            n += 1
+            for k in range(len(total)):
+                total[k] += float(model.table[k][h])
+    x = [(v / n + float(b)) / model.temperature for v, b in zip(total, model.bias)]
+    e = [math.exp(v - max(x)) for v in x]
+    return model.labels[e.index(max(e))], max(e) / sum(e)
+
+
+def test_language_predictions_equal_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs, ~langid.held_out("doc_id", 3, 1))
+    odd = [None, "", "1 2", "Ünï 漢字 123", "x"]
+    texts = {r.doc_id: r.text for r in docs.where("length(text) < 3000").collect()} | {-1 - i: t for i, t in enumerate(odd)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in langid.identify(df, model).collect():
+        lang, score = plain_prediction(model, texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6)
+        assert r.rejected == (lang == "und" or r.score < model.threshold)
+
+
 def test_language_without_labels(spark):
     df = table(spark, ["some text"], langs=[None])
     assert [r.lang_pred for r in langid.identify(df, langid.train(df, langid.held_out("doc_id", 3, 1).isNotNull())).collect()] == ["und"]
@@ -396,6 +430,32 @@ def test_bpe_table(spark):
 # quality
 
 
+def plain_grade(model, text):
+    """Expected grade and tail by plain loops, given the weights."""
+    raw = (text or "").encode().split()
+    if not raw:
+        return 0.0, 0.0
+    b = text.encode()
+    signs = sum(33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127 for c in b)
+    bare = re.sub(rb"[!-/:-@\[-`{-~]", b" ", b.lower()).split()
+    shape = ["length %d" % min(12, len(raw).bit_length()), "distinct %d %d" % (min(6, len(raw).bit_length() // 2), 10 * len(set(raw)) // len(raw)), "signs %d" % min(20, 40 * signs // len(b))]
+    shape += ["capitals %d" % (10 * sum(65 <= c < 91 for c in b) // len(b)), "repeats %d" % (20 * sum(x == y for x, y in zip(raw, raw[1:])) // len(raw))]
+    buckets = {xxh3_64_intdigest(w) >> (64 - quality.BITS) for w in [*bare, *(b"\0" + x.encode() for x in shape)]}
+    f = sum(float(model.weights[k]) for k in buckets)
+    tails = [1 - 1 / (1 + math.exp(-max(-60.0, min(60.0, float(t) - f)))) for t in model.thresholds]
+    return sum(tails), tails[-1]
+
+
+def test_quality_equals_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()} | {-1: None, -2: "", -3: " \n", -4: "Ünï, WORD word word!"}
+    for r in quality.grade(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect():
+        grade, tail = plain_grade(model, texts[r.doc_id])
+        assert r.expected_grade == pytest.approx(grade, abs=1e-6) and r.tail_prob == pytest.approx(tail, abs=1e-6)
+        assert r.kept == (r.tail_prob >= model.cut and r.tail_prob > 0)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(4)
     texts, rates = [], []

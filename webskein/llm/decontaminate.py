@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webskein.llm.quality import PLAIN
-from webskein.llm.text import GOLD, M2, hashes, mix
+from webskein.llm.text import GOLD, M2, filtered, hashes, mix
 
 MASKS = ("11101101", "1101001101", "11001010111")
 LONGEST = max(map(len, MASKS))
@@ -155,13 +155,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     """The rows of ``docs`` that overlap no item, with all their columns."""
     for block in blocks(items, item_id, item_text, block_mb):
         shared = docs.sparkSession.sparkContext.broadcast(Index(block, matched))
-
-        def run(batches, shared=shared):
-            for b in batches:
-                texts = b.column(b.schema.get_field_index(text)).to_pylist()
-                yield b.filter(pa.array([t is None or not shared.value.find(t.encode("utf-8", "surrogatepass")) for t in texts], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filtered(docs, text, lambda texts, shared=shared: [t is None or not shared.value.find(t.encode("utf-8", "surrogatepass")) for t in texts])
     return docs
 
 

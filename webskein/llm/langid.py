@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webskein.llm.ngrams import codes, pieces
+from webskein.llm.text import filtered
 
 BITS = 16
 DIM = 24
@@ -146,15 +147,13 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 def known_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with all their columns."""
-    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def known(texts: list) -> list[bool]:
         m = shared.value
-        for b in batches:
-            got = [m.predict(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            yield b.filter(pa.array([g[0] != "und" and g[1] >= m.threshold for g in got], pa.bool_()))
+        return [g[0] != "und" and g[1] >= m.threshold for g in map(m.predict, texts)]
 
-    return docs.mapInArrow(run, schema)
+    return filtered(docs, text, known)
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

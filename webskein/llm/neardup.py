@@ -396,7 +396,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **h
     marked = docs.withColumn(a, F.col(f"`{doc_id}`").cast("long")).withColumn(b, k1).withColumn(c, k2)
     out = marked.join(bounded(gone), keys, "left_anti")
     if not copies.isEmpty():
-        out = out.join(bounded(copies), keys, "left_anti").unionByName(out.join(bounded(copies), keys, "left_semi").dropDuplicates(keys))
+        out = out.join(bounded(copies), keys, "left_anti").union(out.join(bounded(copies), keys, "left_semi").dropDuplicates(keys))
     return out.select(*(F.col(f"`{x}`") for x in columns))
 
 

@@ -9,7 +9,8 @@ Training uses at most ``sample`` rated rows, drawn by the hash of their id: a do
 the cut on the tail probability P(grade >= 2) is the value that ``lose`` of the held-back good rows fall under, but at most one half.
 
 Defined results. A null or wordless text has grade and tail 0 and isn't kept. Rows with a null rating train nothing; of several ratings of an id the
-lowest grade counts. Without any rating, every text with a word is kept with the grade 2. Each input row gives one row; only the named columns are read.
+lowest grade counts. Without any rating, every text with a word is kept with the grade 2. Each input row gives one row, repeated and null ids included; an empty table gives no rows. Very long texts are
+read whole, one at a time. Only the named columns are read; others may have any names.
 """
 
 from __future__ import annotations

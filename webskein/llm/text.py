@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -59,3 +62,15 @@ def unused(columns: list[str], *names: str) -> list[str]:
             n += "_"
         out.append(n)
     return out
+
+
+def filtered(docs: DataFrame, text: str, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` chooses by their texts, a batch at a time, with all columns; these go by place, so that any names will do."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
