@@ -244,6 +244,8 @@ QUERIES = {
 }
 ORACLES = {
     "url_parts": f"SELECT page_id, regexp_replace(url, '#.*$', '') AS normal, {_PARTS}, CASE WHEN starts_with(lower(url), 'https') THEN 443 ELSE 80 END AS port, true AS is_http FROM pages",
+    "same_origin_links": rf"""WITH {EDGES_SQL}, x AS (SELECT url, link FROM (SELECT DISTINCT page_id, url, regexp_replace(replace(CASE WHEN starts_with(x, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || x ELSE x END, '&amp;', '&'), '#.*$', '') AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS x FROM pages)))
+SELECT host, count(*) AS links, count(*) FILTER (WHERE lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*')) = lower(regexp_extract(link, '^[A-Za-z]+://[^/?#]*'))) AS same_origin FROM (SELECT url, link, {_PARTS} FROM x) GROUP BY host""",
     "domain_top10": f"SELECT host AS domain, count(*) AS n, min(page_id) AS first_seen FROM (SELECT page_id, {_PARTS} FROM pages) GROUP BY host ORDER BY n DESC, first_seen LIMIT 10",
     "link_admission": r"SELECT page_id, url FROM pages WHERE regexp_matches(url, '\.example\.(com|net)/') AND NOT regexp_matches(url, 'utm_source') AND NOT regexp_matches(url, 'ads-')",
     "link_frontier_bfs": WALK_SQL,
