@@ -92,21 +92,26 @@ def _coder(parts: int, rest: int, batch_mb: int):
 
         def flush():
             nonlocal k, size
-            learned = ~np.array(held, bool)
-            table, tokens = np.unique(np.concatenate(coded), return_inverse=True)
+            learned, sizes = ~np.array(held, bool), [len(t) for t in texts]
+            hashed = np.concatenate(coded)
+            coded.clear()
+            table, tokens = np.unique(hashed, return_inverse=True)
+            del hashed
             counts = np.bincount(tokens[np.repeat(learned, lengths)], minlength=len(table))
+            tokens = squeezed(tokens.astype("<u4"))
             a = np.frombuffer(b"".join(texts), np.uint8)
-            symbol, of = a[DEEP:] != START, np.repeat(learned, [len(t) for t in texts])[DEEP:]
+            texts.clear()
+            symbol, of = a[DEEP:] != START, np.repeat(learned, sizes)[DEEP:]
             code, n = counted(a, symbol & of)
             contexts = np.unique(np.concatenate([code >> 8, counted(a, symbol & ~of)[0] >> 8]))
             short, m = summed(code & 0xFFFFFF, n)
             packed = lambda x: x.astype("<i8").tobytes()
-            yield row(kind=0, batch=first + k, doc_id=list(ids), held_out=list(held), n_tokens=list(lengths), symbols=squeezed(a), tokens=squeezed(tokens.astype("<u4")))
+            yield row(kind=0, batch=first + k, doc_id=list(ids), held_out=list(held), n_tokens=list(lengths), symbols=squeezed(a), tokens=tokens)
             yield row(kind=1, batch=first + k, words=table.tobytes(), contexts=packed(contexts))
             seen = counts > 0
             yield row(kind=2, word=table[seen].tobytes(), word_counts=packed(counts[seen]), grams=packed(code), gram_counts=packed(n), short=packed(short), short_counts=packed(m))
             k, size = k + 1, 0
-            for x in (ids, held, lengths, coded, texts):
+            for x in (ids, held, lengths):
                 x.clear()
 
         for b in batches:
