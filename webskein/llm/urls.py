@@ -96,7 +96,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     scores = window_scores(judged.select("w").distinct(), keys, totals).select("w", "lr", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     # exploded rows look as small to the planner as what they come from: they are merged, never broadcast
     by_row = stage(judged.withColumn("salt", (F.col("row_id") % SALTS).cast("int")).hint("merge").join(scores.hint("merge"), ["w", "salt"]).groupBy("row_id").agg(F.avg("lr").alias("score")), "scores")
-    scored = rows.join(by_row, "row_id", "left")
+    # a scan of compressed scores looks smaller to the planner than it is: merged too
+    scored = rows.hint("merge").join(by_row.hint("merge"), "row_id", "left")
     fit = scored.where("held and ruled is not null").agg(F.avg(F.when(F.col("ruled") == "allow", F.col("score"))), F.avg(F.when(F.col("ruled") == "block", F.col("score")))).first()
     threshold = (fit[0] + fit[1]) / 2 if fit[0] is not None and fit[1] is not None else 0.0
     by_method = F.when(F.coalesce("score", F.lit(0.0)) >= threshold, "allow").otherwise("block")
