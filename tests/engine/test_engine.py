@@ -7,7 +7,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from webskein import cli, report, serving
+from webskein.catalogue import evaluation
 from webskein.config import CrawlConfig
 from webskein.engine import Engine
 from webskein.operators import fusion, semantic
@@ -90,6 +92,20 @@ def test_crawl_and_tools(spark, tmp_path):
     assert serving.Tools(e).context({"query": "storage", "budget": 5})["used_tokens"] <= 5
 
 
+def test_reports_of_crawls_and_evaluations(spark, tmp_path):
+    log = spark.createDataFrame([("https://a/1", 200, 1, 1.0, 1), ("https://a/2", 503, 1, 2.0, 2), ("https://b/1", 404, 1, 3.0, 3)], "url string, status int, attempt int, seconds double, page_id long")
+    report.crawl_report(str(tmp_path / "c.json"), log, 6)
+    said = json.loads((tmp_path / "c.json").read_text())
+    assert said["Progress"] == [{"pages": 3, "succeeded": 1, "failed": 2, "rate": 1.0, "percent": 50.0, "eta": 3.0}] and [e["errors"] for e in said["Errors"]] == [1, 1] and said["Domains"][0]["n"] == 2
+    sf = SF
+    m = evaluation.outcome_rows(spark, sf)
+    report.evaluation_report(str(tmp_path / "e.md"), "BM25", m.where("strategy = 'bm25'").drop("strategy", "failed"), evaluation.query_rows(spark, sf), evaluation.judged_items(spark, sf).where("strategy = 'bm25'").join(evaluation.query_rows(spark, sf).select("query_id", "n_relevant", "irrelevant_share"), "query_id"), spark.createDataFrame([(0, 0.5), (1, 1.5)], "repeat int, seconds double"), ["one warning"])
+    text = (tmp_path / "e.md").read_text()
+    assert all(f"## {x}" in text for x in ("Means", "Categories", "Latency", "Strongest queries", "Worst queries", "False positives")) and "one warning" in text and "| 2 | 1.0000 |" in text
+    report.comparison_report(str(tmp_path / "p.html"), "Two", m, ("bm25", "hybrid"), evaluation.outcome_classes(spark, sf))
+    assert "<h2>Classes</h2>" in (tmp_path / "p.html").read_text() and "<h2>Differences</h2>" in (tmp_path / "p.html").read_text()
+
+
 def test_reports_and_command_line(spark, tmp_path, capsys):
     df = spark.createDataFrame([("a|b", 0.5, None)], "name string, x double, y int")
     for kind in ("md", "html", "json"):

@@ -15,11 +15,17 @@ from webskein.plans.staging import stage
 KIND = T.StructType([T.StructField("kind", T.StringType()), T.StructField("locations", T.ArrayType(T.StringType())), T.StructField("problem", T.StringType())])
 
 
+#: Bytes of a sitemap that is read.
+MOST = 10 << 20
+
+
 def parse(xml: str | None) -> dict:
     """kind (urlset, sitemapindex), locations, problem. Document types and entities are refused; namespaces don't matter; an entry without a location is a problem."""
     bad = lambda why: {"kind": None, "locations": [], "problem": why}
     if xml is None or not xml.strip():
         return bad("empty")
+    if len(xml.encode("utf-8", "surrogatepass")) > MOST:
+        return bad("too large")
     if re.search(r"<!\s*(DOCTYPE|ENTITY)", xml, re.I):
         return bad("document type")
     try:
