@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from xxhash import xxh3_64_intdigest
 
 from webskein.llm import bpe, decontaminate, graph, langid, neardup, ppm, quality, secrets
-from webskein.llm.text import words
+from webskein.llm.text import filtered, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, spans int, score string"
 
@@ -399,6 +399,18 @@ def test_bpe_streams_in_bounded_memory():
     assert own.early > 10_000
 
 
+def test_filters_take_texts_in_small_batches(spark):
+    """A stage's worker holds about a megabyte of texts at a time, or one longer text."""
+    texts = [None, "", *("x" * 1000 for _ in range(3000)), "y" * 3_000_000, None]
+
+    def keep(part):
+        assert len(part) == 1 or sum(len(t or "") for t in part) <= 1 << 20, len(part)
+        return [t is not None for t in part]
+
+    got = filtered(table(spark, texts).coalesce(1), "text", keep).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == [i for i, t in enumerate(texts) if t is not None]
+
+
 def test_bpe_special_tokens_long_words_and_lookahead():
     check("a<|startoftext|>B <|endoftext|><|endoftext|>!")
     rng = np.random.default_rng(2)

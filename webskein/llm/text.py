@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -64,12 +65,24 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def small(batches: Iterable[pa.RecordBatch], at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose texts, in column ``at``, have about ``size`` bytes, or of a single longer one, so that all that is made of a batch at once stays small. Nothing is copied."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def filtered(docs: DataFrame, text: str, keep: Callable[[list], list[bool]]) -> DataFrame:
     """The rows of ``docs`` that ``keep`` chooses by their texts, a batch at a time, with all columns; these go by place, so that any names will do."""
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, at):
             yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
