@@ -399,6 +399,17 @@ def test_bpe_streams_in_bounded_memory():
     assert own.early > 10_000
 
 
+def test_bpe_words_learned_together_equal_the_library():
+    own, rng = bpe.Bpe(PATH), np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("aeinorstöéß漢'.,9"), rng.integers(1, 28))) for _ in range(60)) for _ in range(20)]
+    own.ahead([None, "", *texts])
+    assert {c for t in texts for c in bpe.CHUNK.findall(bpe.normal(t))} <= set(own.memo)
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+    words = ["a", "tion", "ab" * 12, "ö", "zq"]
+    assert own.side_by_side(words) == [own.word(w) for w in words]
+
+
 def test_filters_take_texts_in_small_batches(spark):
     """A stage's worker holds about a megabyte of texts at a time, or one longer text."""
     texts = [None, "", *("x" * 1000 for _ in range(3000)), "y" * 3_000_000, None]

@@ -5,7 +5,8 @@ feed only rules of later rank whose right side begins with w, so that a longest
 
 One path serves every text. ``Transducer`` takes text piece by piece. It cuts where neither normalising nor a special token can reach across, splits what is certain into words, and carries an unfinished word on; a word longer than a
 piece goes on as symbols. ``window`` reads a word's symbols, emits every token that ends before the lookahead as soon as twice that length is read, goes on from the last boundary
-emitted, and empties at the word's end. Short words come from a small memo of what the window gave. Memory is constant however long a text or a word is
+emitted, and empties at the word's end. Short words come from a small memo; it has two generations, so that frequent words stay when rare ones have filled it. Words of a few texts that the memo lacks are learned
+together, before these are streamed: as the rows of one array, where each step merges the best pair of every word. Memory is constant however long a text or a word is
 (only a run of combining marks is held whole).
 
 ``Decoder`` is a state machine that turns one id after the other into text: as the tokenizers library does without a decoder (tokens joined by blanks), or from the byte alphabet into UTF-8
@@ -34,6 +35,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webskein.llm.text import small
+
 #: White space of the Unicode property, which str.split() exceeds by four control characters.
 BLANK = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[^{BLANK}]+")
@@ -43,11 +46,15 @@ ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 ANY_WORD = regex.compile(WORD.replace(r"\s", BLANK))
 #: Runs of the same class, that a cut within a word goes on with: letters, or neither letters, numbers nor blanks.
 LETTERS, OTHERS = regex.compile(r"\p{L}+"), regex.compile(rf"[^{BLANK}\p{{L}}\p{{N}}]+")
-MEMO = 1 << 18  # words
+MEMO = 1 << 16  # words and chunks of a generation
 MEMO_LENGTH = 48
 PIECE = 1 << 16
+AHEAD = 1 << 18  # code points of short texts whose words are learned together
 NEVER = 1 << 60
 HEAP = 96  # symbols from which merging takes a heap
+SIDE = 24  # bytes of a word that merges side by side with others
+FEW, MANY = 64, 2048  # words for which that pays, and that are taken at once
+NONE = 0xFFFFF  # no symbol: stands behind a word's end
 
 
 def byte_alphabet() -> list[str]:
@@ -91,10 +98,15 @@ class Bpe:
         self.last = [vocab[c + self.suffix] for c in alphabet]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {vocab[a] << 20 | vocab[b]: (r << 20) | vocab[a + b] for r, (a, b) in enumerate(merges)}
+        self.keys = np.array([*sorted(self.ranks), 1 << 62])  # nothing has the last one
+        self.values = np.array([self.ranks.get(k, NEVER) for k in self.keys.tolist()])
+        self.symbols = np.array([*self.inner, *self.last, NONE])
+        self.pairs = self.looked_up(self.symbols[:, None], self.symbols[None, :])
         # a word's last byte is one symbol with the suffix
         one = lambda s: s[: -len(self.suffix) - 1] + chr(0xE000 + ord(s[-len(self.suffix) - 1])) if self.suffix and s.endswith(self.suffix) else s
         self.lookahead = lookahead([(one(a), one(b)) for a, b in merges])
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before
         self.early = self.ended = 0  # tokens given out before their word's end; words that ended
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -143,18 +155,82 @@ class Bpe:
         x = Window(self)
         return array("I", x.push(w) + x.end()).tobytes()
 
-    def chunk(self, c: str) -> bytes:
+    def looked_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """ranks of many pairs."""
+        key = left << 20 | right
+        at = self.keys.searchsorted(key)
+        return np.where(self.keys[at] == key, self.values[at], NEVER)
+
+    def side_by_side(self, words: list[str]) -> list[bytes]:
+        """word() of many words of at most SIDE bytes. Each step merges one pair, of lowest rank and leftmost, in all words that still have one."""
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        width = int(size.max())
+        at = np.full((len(raw), width), 512)
+        at[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
+        row = np.arange(len(raw))
+        at[row, size - 1] += 256
+        ids, found = self.symbols[at], self.pairs[at[:, :-1], at[:, 1:]]
+        out = np.full(ids.shape, NONE)
+        while width > 1:
+            best = found.argmin(1)
+            value = found[np.arange(len(row)), best]
+            go = value != NEVER
+            if not go.all():
+                out[row[~go], :width] = ids[~go]
+                row, ids, found, best, value = row[go], ids[go], found[go], best[go], value[go]
+            if not len(row):
+                break
+            i = np.arange(len(row))
+            stay = np.ones(ids.shape, bool)
+            stay[i, best + 1] = False
+            width -= 1
+            ids = ids[stay].reshape(-1, width)
+            ids[i, best] = value & 0xFFFFF
+            stay = np.ones(found.shape, bool)
+            stay[i, best] = False
+            found = found[stay].reshape(-1, width - 1)
+            if width > 1:
+                for j in (np.maximum(best - 1, 0), np.minimum(best, width - 2)):
+                    found[i, j] = self.looked_up(ids[i, j], ids[i, j + 1])
+        out[row, :width] = ids
+        self.ended += len(raw)
+        there = out != NONE
+        flat, ends = out[there].astype("<u4").tobytes(), (4 * there.sum(1).cumsum()).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, found: dict[str, bytes]) -> None:
+        if len(self.memo) >= MEMO:
+            self.memo, self.old = {}, self.memo
+        self.memo.update({w: ids for w, ids in found.items() if len(w) <= MEMO_LENGTH})
+
+    def chunks(self, cs: set[str]) -> dict[str, bytes]:
         """The ids of what stands between blanks."""
-        if c.isalpha():
-            out = self.word(c)
-        else:
-            get, parts = self.memo.get, ASCII_WORD.findall(c) if c.isascii() else ANY_WORD.findall(c)
-            out = b"".join([get(w) or self.word(w) for w in parts])
-        if len(c) <= MEMO_LENGTH:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[c] = out
-        return out
+        done = {c: self.old[c] for c in cs & self.old.keys()}
+        new = cs.difference(done)
+        parts = {c: (ASCII_WORD if c.isascii() else ANY_WORD).findall(c) for c in new if not c.isalpha()}
+        words = {w for ws in parts.values() for w in ws}.union(new.difference(parts))
+        for held in (self.memo, self.old):
+            done |= {w: held[w] for w in words & held.keys()}
+        words.difference_update(done)
+        short = [w for w in words if len(w) <= SIDE and (w.isascii() or len(w.encode()) <= SIDE)]
+        if len(short) < FEW:
+            short = []
+        for at in range(0, len(short), MANY):
+            done.update(zip(short[at : at + MANY], self.side_by_side(short[at : at + MANY])))
+        done |= {w: self.word(w) for w in words.difference(short)}
+        done |= {c: b"".join([done[w] for w in ws]) for c, ws in parts.items() if len(ws) > 1}
+        self.learn(done)
+        return done
+
+    def ahead(self, texts: Iterable[str | None]) -> None:
+        """Learn the words of short texts together. This only fills the memo: whatever isn't learned here, stream() finds by itself."""
+        new: set[str] = set()
+        for t in texts:
+            if t and len(t) <= PIECE:
+                new.update(t.lower().split() if t.isascii() else CHUNK.findall(normal(t)))
+        new.difference_update(self.memo)
+        self.chunks(new)
 
     def stream(self, text: str | None) -> Iterator[bytes]:
         """Ids of a whole text piece by piece, as little-endian 32-bit integers."""
@@ -171,9 +247,16 @@ class Bpe:
         return b"".join(self.stream(text))
 
 
+def normal(text: str) -> str:
+    # character by character: without the rule for a final sigma
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 class Window:
     """A word's symbols, of which at most twice the lookahead are held. push() gives the tokens that are stable, end() the rest."""
 
+    __slots__ = ("bpe", "held", "last")
+
     def __init__(self, bpe: Bpe):
         self.bpe, self.held, self.last = bpe, [], -1  # the last byte waits, as its symbol is another one at the word's end
 
@@ -247,11 +330,7 @@ class Transducer:
 
     def plain(self, text: str, final: bool) -> Iterator[bytes]:
         """A stretch without special tokens; ``final``: its last word ends with it."""
-        if text.isascii():
-            text = text.lower()
-        else:
-            # character by character: without the rule for a final sigma
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = text.lower() if text.isascii() else normal(text)
         if self.window:
             m = self.same.match(text)
             stop = m.end() if m else 0
@@ -278,8 +357,11 @@ class Transducer:
             yield from self.go_on(part)
 
     def joined(self, parts: list[str]) -> bytes:
-        get, chunk = self.bpe.memo.get, self.bpe.chunk
-        return b"".join([get(p) or chunk(p) for p in parts])
+        out = list(map(self.bpe.memo.get, parts))
+        if None in out:
+            new = self.bpe.chunks({p for p, ids in zip(parts, out) if ids is None})
+            out = [ids or new[p] for p, ids in zip(parts, out)]
+        return b"".join(out)
 
     def go_on(self, part: str) -> Iterator[bytes]:
         for at in range(0, len(part), 4096):
@@ -331,14 +413,17 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
     """doc_id, keep's columns, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids. path: the tokenizer's file, at the same place on all executors."""
     keep = keep or {}
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *(c.alias(n) for n, c in keep.items()), F.col(text).alias("__text"))
+    at = len(rows.columns) - 1
 
     def run(batches):
         bpe = load(path)
-        for b in batches:
+        for b in small(batches, at, AHEAD):
             n, one, two, ids = [], [], [], []
-            for t in b.column(b.num_columns - 1):
+            texts = b.column(at).to_pylist()
+            bpe.ahead(texts)
+            for t in texts:
                 decoder, raw, said, count, own = Decoder(bpe), hashlib.sha256(), hashlib.sha256(), 0, []
-                for part in bpe.stream(t.as_py()):
+                for part in bpe.stream(t):
                     raw.update(part)
                     said.update(decoder.push(array("I", part)).encode())
                     count += len(part) // 4

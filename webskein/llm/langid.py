@@ -54,6 +54,7 @@ class Model:
         """In pieces over the whole text."""
         total, n = np.zeros(len(self.labels)), 0
         for p in pieces(codes(text), ORDERS, BITS):
+            p = p.astype(np.intp)  # once, not for each label
             for k in range(len(self.labels)):
                 total[k] += self.table[k].take(p).sum(dtype=np.float64)
             n += len(p)

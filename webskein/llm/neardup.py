@@ -68,7 +68,7 @@ def minwise(s: np.ndarray) -> np.ndarray:
     for at in range(0, len(s), 4096):
         part = s[at : at + 4096]
         for k in range(K):
-            out[k] = min(out[k], ((part * _SEEDS[k]) >> np.uint64(32)).astype(np.uint32).min())
+            out[k] = min(out[k], int((part * _SEEDS[k]).min()) >> 32)
     return out
 
 
