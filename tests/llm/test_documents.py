@@ -399,6 +399,13 @@ def test_bpe_streams_in_bounded_memory():
     assert own.early > 10_000
 
 
+def test_bpe_signs_newer_than_the_library():
+    check(":\u209d")
+    signs = [0x558, 0x88F, 0xC5C, 0x1C89, 0x208F, 0x209D, 0x209F, 0xA7CB, 0xA7CE, 0xA7CF, 0xA7D2, 0xA7DC, 0x10D50, 0x10D65, 0x11DE0, 0x12550, 0x16EA0, 0x16EB8, 0x16FF4, 0x323B0, 0x3FC3F]
+    for c in map(chr, signs):
+        check(f"{c} a{c} !{c} 9{c}{c}é")
+
+
 def test_bpe_words_learned_together_equal_the_library():
     own, rng = bpe.Bpe(PATH), np.random.default_rng(5)
     texts = [" ".join("".join(rng.choice(list("aeinorstöéß漢'.,9"), rng.integers(1, 28))) for _ in range(60)) for _ in range(20)]

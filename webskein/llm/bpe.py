@@ -44,8 +44,22 @@ CONTROL = re.compile("[\x1c-\x1f]")
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 ANY_WORD = regex.compile(WORD.replace(r"\s", BLANK))
+#: Letters and numbers that ``regex`` has and the library's older tables haven't: it takes them as other signs.
+NEWER = "".join(
+    "-".join(chr(int(x, 16)) for x in r.split("-"))
+    for r in (
+        "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 "
+        "16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+    ).split()
+)
+HAS_NEWER = re.compile(f"[{NEWER}]")
 #: Runs of the same class, that a cut within a word goes on with: letters, or neither letters, numbers nor blanks.
-LETTERS, OTHERS = regex.compile(r"\p{L}+"), regex.compile(rf"[^{BLANK}\p{{L}}\p{{N}}]+")
+ONE_LETTER, ONE_OTHER = rf"[\p{{L}}--[{NEWER}]]", rf"[[{NEWER}]||[^{BLANK}\p{{L}}\p{{N}}]]"
+LETTERS, OTHERS = regex.compile(f"(?V1){ONE_LETTER}+"), regex.compile(f"(?V1){ONE_OTHER}+")
+EXACT_WORD = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{ONE_LETTER}+|[\p{{N}}--[{NEWER}]]|{ONE_OTHER}+")
+#: Capitals that the library lower-cases and Python's older tables don't.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7DC: 0x19B} | {c: c + 1 for c in (0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)} | {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+HAS_CAPITAL = re.compile(f"[{''.join(map(chr, LOWER))}]")
 MEMO = 1 << 16  # words and chunks of a generation
 MEMO_LENGTH = 48
 PIECE = 1 << 16
@@ -208,7 +222,7 @@ class Bpe:
         """The ids of what stands between blanks."""
         done = {c: self.old[c] for c in cs & self.old.keys()}
         new = cs.difference(done)
-        parts = {c: (ASCII_WORD if c.isascii() else ANY_WORD).findall(c) for c in new if not c.isalpha()}
+        parts = {c: split(c) for c in new if not c.isalpha()}
         words = {w for ws in parts.values() for w in ws}.union(new.difference(parts))
         for held in (self.memo, self.old):
             done |= {w: held[w] for w in words & held.keys()}
@@ -249,7 +263,15 @@ class Bpe:
 
 def normal(text: str) -> str:
     # character by character: without the rule for a final sigma
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return text.translate(LOWER) if HAS_CAPITAL.search(text) else text
+
+
+def split(chunk: str) -> list[str]:
+    """The words of what stands between blanks."""
+    if chunk.isascii():
+        return ASCII_WORD.findall(chunk)
+    return (EXACT_WORD if HAS_NEWER.search(chunk) else ANY_WORD).findall(chunk)
 
 
 class Window:
@@ -345,7 +367,7 @@ class Transducer:
         if final or not parts or not text.endswith(parts[-1]):
             yield self.joined(parts)
             return
-        words = ANY_WORD.findall(parts.pop())
+        words = split(parts.pop())
         self.open = words.pop()
         if self.open in ("r", "v", "l") and words and words[-1] == "'":  # perhaps 're, 've or 'll
             self.open = words.pop() + self.open
