@@ -138,8 +138,10 @@ def missed(judgments: DataFrame, credited: DataFrame) -> DataFrame:
 
 
 def document_ids(retrieved: DataFrame, documents: DataFrame) -> DataFrame:
-    """``retrieved`` with document_id as the dataset knows it: by canonical url, else by url, else as it came. documents: document_id, url."""
-    known = documents.select(F.col("url").alias("known_url"), F.col("document_id").alias("known_id"))
+    """``retrieved`` with document_id as the dataset knows it: by canonical url, else by url, else as it came. documents: document_id, url.
+
+    Each row comes back once: of documents that repeat a url, the one with the smallest id counts."""
+    known = documents.groupBy(F.col("url").alias("known_url")).agg(F.min("document_id").alias("known_id"))
     by = lambda df, c, name: df.join(known.select(F.col("known_url").alias(c), F.col("known_id").alias(name)), c, "left")
     out = by(by(retrieved, "canonical_url", "by_canonical"), "url", "by_url")
     return out.withColumn("document_id", F.coalesce("by_canonical", "by_url", "document_id")).select(*retrieved.columns)
