@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from webskein.catalogue import evaluation
-from webskein.operators import evaluate, lexical
+from webskein.operators import evaluate, lexical, semantic
 
 
 def test_document_ids_keep_one_row_where_urls_repeat(spark):
@@ -39,3 +39,26 @@ def test_postings_keep_places_and_fields(spark):
     got = {(r.key, r.term): (r.n_tokens, r.tf, r["at"]) for r in index.postings.collect()}
     assert got == {(1, "a"): (4, 6.0, [1, field]), (1, "b"): (4, 2.0, [0, 2]), (3, "a"): (3, 1.0, [0]), (3, "b"): (3, 10.0, [field, field + 1])}
     assert {(r.term, r.df, r.cf) for r in index.terms.collect()} == {("a", 2, 3), ("b", 2, 4)}
+
+
+def test_vector_search_holds_few_scores_at_once(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (200, 4)).astype(float)
+    x[~x.any(1), 0] = 1
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, vector array<double>")
+    want = []
+    for q in range(0, 200, 10):
+        s = sorted(range(200), key=lambda i: (-round(float(np.clip(x[q] @ x[i], -1, 1)), 9), i))
+        want += [(q, r + 1, i) for r, i in enumerate(s[:9])]
+    got = semantic.search(df, df.where("key % 10 = 0").select(F.col("key").alias("query_id"), "vector"), 9, block=8, pack=60, cells=64)
+    assert sorted((r.query_id, r.rank, r.key) for r in got.collect()) == sorted(want)
+    parts = lexical.first_k(np.array([1.0, float("nan"), 2.0, 1.0]), 3)
+    assert parts.tolist() == [2, 0, 3]
+
+
+def test_words_are_hashed_once_and_forgotten(monkeypatch):
+    provider = semantic.HashedWords(8)
+    two = provider.embed(["a b a", "c"])
+    monkeypatch.setattr(semantic, "WORDS", 0)
+    assert provider.embed(["a b a", "c"]) == two and set(provider.places) == {"c"}

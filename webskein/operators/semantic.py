@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webskein.operators.lexical import top
+from webskein.operators.lexical import first_k, top
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -32,10 +32,10 @@ def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(x), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, normalised: bool = True, block: int = 4096, pack: int = 65_536) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, normalised: bool = True, block: int = 4096, pack: int = 65_536, cells: int = 1 << 22) -> DataFrame:
     """query_id, rank, key, score, best first, equal scores (to 9 digits) by key. vectors: key, vector; queries: query_id, vector.
 
-    Every vector meets every query, as asked for: rows are packed and queries blocked by hash, each pack and block meet in one equi-join, and one matrix product scores them. A
+    Every vector meets every query, as asked for: rows are packed and queries blocked by hash, each pack and block meet in one equi-join, and matrix products of about ``cells`` scores at once score them. A
     pack sends a query's k best and no more. A query or row of another dimension than its block's is an error."""
     blocks, packs = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (vectors, pack)))
     ids = dict(vectors.dtypes)["key"], dict(queries.dtypes)["query_id"]
@@ -44,19 +44,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, normalised: bool
         names = ["query_id", "key", "score"]
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_arrays([right["query_id"].slice(0, 0), left["key"].slice(0, 0), pa.array([], pa.float64())], names=names)
-        x, q = _matrix(left["vector"]), _matrix(right["vector"])
-        s = q @ x.T
+        key = left["key"].combine_chunks()
+        by_key = np.argsort(key.to_numpy(zero_copy_only=False), kind="stable")
+        x, q = _matrix(left["vector"])[by_key], _matrix(right["vector"])
         if not normalised:
             one, two = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
             if not one.all() or not two.all():
                 raise ValueError("zero vector")
-            s /= two[:, None] * one[None, :]
-        s = np.clip(s, -1.0, 1.0)
-        key = left["key"].combine_chunks().to_numpy(zero_copy_only=False)
-        by_key = np.argsort(key, kind="stable")
-        top_k = by_key[np.argsort(-np.round(s[:, by_key], 9), axis=1, kind="stable")[:, :k]]
-        row = np.repeat(np.arange(len(q)), top_k.shape[1])
-        return pa.Table.from_arrays([right["query_id"].take(pa.array(row)), left["key"].take(pa.array(top_k.reshape(-1))), pa.array(s[row, top_k.reshape(-1)])], names=names)
+            x, q = x / one[:, None], q / two[:, None]
+        row, column, score = [], [], []
+        step = max(1, cells // len(x))
+        for at in range(0, len(q), step):
+            s = np.clip(q[at : at + step] @ x.T, -1.0, 1.0)
+            for i, own in enumerate(s):
+                there = first_k(np.round(own, 9), k)
+                row.append(np.full(len(there), at + i))
+                column.append(there)
+                score.append(own[there])
+        return pa.Table.from_arrays([right["query_id"].take(pa.array(np.concatenate(row))), key.take(pa.array(by_key[np.concatenate(column)])), pa.array(np.concatenate(score))], names=names)
 
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     here = vectors.select("key", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("key"), F.lit(packs)).alias("pack"), every(blocks).alias("block"))
@@ -131,19 +136,38 @@ class Provider(Protocol):
         """Input lengths in the model's tokens."""
 
 
+#: Words whose buckets are kept between texts, about; then they are forgotten.
+WORDS = 1 << 18
+
+
+class Places(dict):
+    """Twice a word's bucket, and one more where its sign is positive."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        h = hashlib.md5(word.encode()).digest()
+        self[word] = place = 2 * (int.from_bytes(h[:4], "little") % self.dimension) + (h[4] & 1)
+        return place
+
+
 class HashedWords:
     """A provider without a model: words hashed into ``dimension`` signed buckets, to unit length. The same text has the same vector everywhere."""
 
     def __init__(self, dimension: int = 64, limit: int = 8192):
         self.dimension, self.limit = dimension, limit
+        self.places = Places(dimension)
         self.fingerprint = hashlib.sha256(f"hashed words {dimension} {limit}".encode()).hexdigest()
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dimension))
         for i, t in enumerate(texts):
-            for w in t.lower().split()[: self.limit]:
-                h = hashlib.md5(w.encode()).digest()
-                out[i, int.from_bytes(h[:4], "little") % self.dimension] += 1 if h[4] & 1 else -1
+            if len(self.places) > WORDS:
+                self.places.clear()
+            found = np.bincount(np.fromiter(map(self.places.__getitem__, t.lower().split()[: self.limit]), np.int64), minlength=2 * self.dimension)
+            out[i] = found[1::2] - found[::2]
             out[i, 0] += not out[i].any()
         return (out / np.sqrt((out * out).sum(1))[:, None]).tolist()
 
