@@ -160,10 +160,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_i
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         quantiser, mean, unit = model.value
         ids, norms, rest = (left[c].to_numpy() for c in ("vec_id", "norm", "rest"))
-        codes = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(len(ids), -1).T.astype(np.int64) + np.arange(books)[:, None] * words
+        codes = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(len(ids), -1).T.astype(np.int64)
+        # one lookup for two books, an odd last one alone
+        codes = [codes[b] * words + codes[b + 1] if b + 1 < books else codes[b] for b in range(0, books, 2)]
         vectors = np.ascontiguousarray(_matrix(left["v"].combine_chunks(), None).T)
         q_ids, q = right["vec_id"].to_numpy(), _matrix(right["v"].combine_chunks())
-        flat, longest = quantiser.flat.astype(np.float64), float(norms.max())
+        flat, longest, entries = quantiser.flat.astype(np.float64), float(norms.max()), np.empty(len(ids))
 
         def measured(i: int, which: np.ndarray) -> np.ndarray:
             """Distances on the original vectors, component by component as SQL adds them."""
@@ -175,10 +177,11 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_i
         out = []
         for i, own_id in enumerate(q_ids):
             z = (q[i] - mean) / unit
-            t, size = flat @ z, float(z @ z)
+            t, size = 2 * (flat @ z).reshape(books, words), float(z @ z)
             looked_up = norms + size
-            for b in range(books):
-                looked_up -= 2 * t.take(codes[b])
+            for b, code in enumerate(codes):
+                table = (t[2 * b][:, None] + t[2 * b + 1]).ravel() if 2 * b + 1 < books else t[2 * b]
+                looked_up -= table.take(code, out=entries, mode="clip")
             other = ids != own_id
             first = np.argpartition(looked_up, share)[:share] if len(ids) > share else np.arange(len(ids))
             first = first[other[first]]
